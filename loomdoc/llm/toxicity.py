@@ -1,0 +1,179 @@
+"""Toxicity by weak supervision.
+
+1. A bounded, hash-chosen sample of labelled training rows gives terms, whole words and
+   word beginnings, that mark toxic texts; a short lexicon is always among them. Near
+   copies in the sample count once.
+2. The terms are dealt to lexicon voters; two pattern voters look at form. A voter fires or
+   is silent, so a document is a set of votes, and the corpus a histogram over those sets
+   (at most 2**VOTERS rows), taken over all documents.
+3. A generative label model (two latent classes) estimates by EM on that histogram how often
+   each voter fires in either class, starting from and anchored by the training rows. Voters
+   that still fire together within a class are correlated; each vote counts by one over the
+   sum of its correlations.
+4. A linear classifier is fitted to the posterior labels of the whole histogram and scores
+   every document.
+"""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import str_texts, table, written
+
+#: Insults that are voters in every corpus.
+LEXICON = ("idiot", "moron", "stupid", "imbecile", "scum", "loser", "pathetic", "worthless", "disgusting", "dumbass", "bastard", "retard")
+#: Labelled rows that terms are learned from, at most.
+LABELLED_ROWS = 10_000
+#: Terms that are voters at most; lengths of word beginnings; voters that share the terms.
+TERMS, PREFIXES, LEXICONS = 512, (4, 5, 6), 10
+VOTERS = LEXICONS + 2
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> set[str]:
+    return set(_WORD.findall(text.lower()))
+
+
+def held_out(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+
+
+def _sample(docs: DataFrame, rows: int) -> DataFrame:
+    """toxic and words of the sample's documents, near copies folded."""
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            words = [_WORD.findall(t.lower()) for t in str_texts(batch.column(0))]
+            # near copies mostly share the least hash of their three-word shingles
+            least = [min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1 for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), batch.column(1), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], ["sketch", "toxic", "words"])
+
+    chosen = docs.mapInArrow(run, "sketch long, toxic int, words array<string>")
+    return chosen.groupBy("sketch").agg(F.max(F.struct("toxic", "words")).alias("x")).select("x.toxic", "x.words")
+
+
+def learn_terms(sample: DataFrame) -> list[str]:
+    """Terms that mark toxic texts of the sample; a beginning of a word ends in *."""
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < toxic < n:
+        return list(LEXICON)
+    starts = [F.transform(F.filter("words", lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in PREFIXES]
+    counts = sample.select("toxic", F.explode(F.array_distinct(F.concat("words", *starts))).alias("term")).groupBy("term").agg(F.sum("toxic").alias("hit"), F.count("*").alias("all"))
+    # twice the log likelihood gain of a toxic share of its own; 30 leaves no chance finds among millions of terms
+    share, base = F.col("hit") / F.col("all"), float(toxic / n)
+    gain = 2 * (F.col("hit") * F.log(share / base) + F.coalesce((F.col("all") - F.col("hit")) * F.log((1 - share + 1e-12) / (1 - base)), F.lit(0.0)))
+    best = counts.where((F.col("hit") >= 3) & ((F.col("hit") + 1) / (F.col("all") + 2) >= 0.75)).where(gain >= 30)
+    found = [r.term for r in best.orderBy(F.desc("hit"), F.desc(F.length("term")), "term").limit(8 * TERMS).collect()]
+    terms: list[str] = []
+    for t in [*found, *LEXICON]:
+        if len(terms) < TERMS + len(LEXICON) and t not in terms and not any(t[:k].rstrip("*") + "*" in terms for k in PREFIXES if len(t.rstrip("*")) >= k):
+            terms.append(t)
+    return terms
+
+
+def votes(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """doc_id and votes: bit j is set if voter j fires."""
+    bit = {t: 1 << (i % LEXICONS) for i, t in enumerate(terms)}
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = bit.keys()
+        for batch in batches:
+            out = []
+            for text in str_texts(batch.column(1)):
+                words, vote, hits = words_of(text), 0, 0
+                for found in (words & known, *({w[:k] + "*" for w in words} & known for k in PREFIXES)):
+                    hits += len(found)
+                    for t in found:
+                        vote |= bit[t]
+                vote |= (hits >= 2) << LEXICONS  # several terms
+                vote |= (text.count("!") * 20 > len(text)) << (LEXICONS + 1)  # shouting
+                out.append(vote)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], ["doc_id", "votes"])
+
+    return docs.mapInArrow(run, "doc_id long, votes int")
+
+
+class LabelModel:
+    """Two latent classes over vote sets; fit() estimates accuracies and correlations."""
+
+    def fit(self, patterns: np.ndarray, counts: np.ndarray, known: np.ndarray, rounds: int = 40) -> LabelModel:
+        """patterns: vote sets; counts: documents of each; known: training rows of each by label, n x 2."""
+        fires = (patterns[:, None] >> np.arange(VOTERS) & 1).astype(float)
+        anchor = known * (counts.sum() / max(known.sum(), 1)) if known.sum() else np.zeros_like(known)
+        post = np.where(known.sum(1) > 0, (known[:, 1] + 0.1) / (known.sum(1) + 0.2), np.where(patterns & (1 << LEXICONS) - 1, 0.8, 0.02))
+        self.weight = np.ones(VOTERS)
+        for step in range(rounds + 1):
+            by_class = np.stack([counts * (1 - post), counts * post], 1) + anchor
+            self.prior = (by_class.sum(0) + 1) / (by_class.sum() + 2)
+            self.rate = (fires.T @ by_class + np.array([0.02, 0.5])) / (by_class.sum(0) + 1)  # voters x 2
+            if step == rounds - 1:  # correlations within the classes, then one more round that discounts them
+                mean = self.rate[:, None, :] * self.rate[None, :, :]
+                joint = np.einsum("pi,pj,pc->ijc", fires, fires, by_class) / np.maximum(by_class.sum(0), 1e-9)
+                spread = np.sqrt(self.rate * (1 - self.rate)) + 1e-9
+                self.correlation = ((joint - mean) / (spread[:, None, :] * spread[None, :, :]) @ self.prior).clip(0, 1)
+                np.fill_diagonal(self.correlation, 1)
+                self.weight = 1 / self.correlation.sum(1)
+            post = self.posterior(patterns)
+        return self
+
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        fires = (patterns[:, None] >> np.arange(VOTERS) & 1).astype(float)
+        on, off = np.log(self.rate[:, 1] / self.rate[:, 0]), np.log((1 - self.rate[:, 1]) / (1 - self.rate[:, 0]))
+        odds = np.log(self.prior[1] / self.prior[0]) + (fires * on + (1 - fires) * off) @ self.weight
+        return 1 / (1 + np.exp(-odds.clip(-30, 30)))
+
+
+def fit_linear(patterns: np.ndarray, counts: np.ndarray, target: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Intercept and a weight for each voter of a logistic regression on soft labels, by Newton steps."""
+    x = np.concatenate([np.ones((len(patterns), 1)), patterns[:, None] >> np.arange(VOTERS) & 1], 1).astype(float)
+    w, keep = np.zeros(VOTERS + 1), np.diag([1e-3] + [ridge] * VOTERS)
+    loss = lambda w: (counts * (np.logaddexp(0, x @ w) - target * (x @ w))).sum() + w @ keep @ w / 2
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + keep, x.T @ (counts * (p - target)) + keep @ w)
+        scale = 1.0
+        while scale > 1e-6 and loss(w - scale * step) > loss(w):
+            scale /= 2
+        w = w - scale * step
+        if abs(scale * step).max() < 1e-8:
+            break
+    return w
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, threshold: float = 0.3) -> DataFrame:
+    """One row a document: doc_id, held_out, votes, score, predicted.
+
+    Training rows have a label and a crc32 of the id, as text, that is not 2 modulo 4; of a
+    repeated id the largest label counts. A null or empty text gets no votes and the score
+    that this has; a null id is not held out. Without training rows the lexicon alone votes.
+    An empty docs gives no rows. Scores depend on the text only.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    train = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    # at most labelled_rows rows of two numbers, so it can go to every task
+    train = F.broadcast(written(train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows), "train"))
+    terms = learn_terms(written(_sample(texts.join(train, "doc_id").select("text", "toxic"), labelled_rows), "sample"))
+    cast = written(votes(texts, terms), "votes")
+    all_counts = {r.votes: r.n for r in cast.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    seen = {(r.votes, r.toxic): r.n for r in cast.join(train, "doc_id").groupBy("votes", "toxic").agg(F.count("*").alias("n")).collect()}
+    patterns = np.array(sorted(all_counts) or [0], np.int64)
+    counts = np.array([all_counts.get(int(p), 0) for p in patterns], float)
+    known = np.array([[seen.get((int(p), y), 0) for y in (0, 1)] for p in patterns], float)
+    model = LabelModel().fit(patterns, counts, known)
+    w = fit_linear(patterns, counts, model.posterior(patterns))
+    logit = sum((F.shiftright("votes", j).bitwiseAND(1) * float(w[j + 1]) for j in range(VOTERS)), F.lit(float(w[0])))
+    out = cast.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "votes", (1 / (1 + F.exp(-logit))).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
