@@ -3,13 +3,14 @@
 1. A bounded, hash-chosen sample of labelled training rows gives terms, whole words and
    word beginnings, that mark toxic texts; a short lexicon is always among them. Near
    copies in the sample count once.
-2. The terms are dealt to lexicon voters; two pattern voters look at form. A voter fires or
-   is silent, so a document is a set of votes, and the corpus a histogram over those sets
-   (at most 2**VOTERS rows), taken over all documents.
+2. The words are dealt to lexicon voters and the word beginnings to pattern voters; one more
+   voter says no where no term is found. A voter fires or abstains, so a document is a set of
+   votes, and the corpus a histogram over those sets (at most 2**VOTERS rows), taken over all
+   documents.
 3. A generative label model (two latent classes) estimates by EM on that histogram how often
-   each voter fires in either class, starting from and anchored by the training rows. Voters
-   that still fire together within a class are correlated; each vote counts by one over the
-   sum of its correlations.
+   each voter fires in either class, starting from and anchored by the training rows. Only
+   votes are evidence, abstaining is not. Voters that still fire together within a class are
+   correlated; each vote counts by one over the sum of its correlations.
 4. A linear classifier is fitted to the posterior labels of the whole histogram and scores
    every document.
 """
@@ -28,9 +29,13 @@ from .common import str_texts, table, written
 LEXICON = ("idiot", "moron", "stupid", "imbecile", "scum", "loser", "pathetic", "worthless", "disgusting", "dumbass", "bastard", "retard")
 #: Labelled rows that terms are learned from, at most.
 LABELLED_ROWS = 10_000
-#: Terms that are voters at most; lengths of word beginnings; voters that share the terms.
-TERMS, PREFIXES, LEXICONS = 512, (4, 5, 6), 10
-VOTERS = LEXICONS + 2
+#: Terms that are voters at most; lengths of word beginnings; voters that share the words, and the beginnings.
+TERMS, PREFIXES, LEXICONS, PATTERNS = 512, (4, 5, 6), 8, 4
+#: Least share of toxic texts among those of the sample that hold a term.
+MARKS = 0.9
+#: The last voter, which says no, fires where no term is found.
+CLEAN = LEXICONS + PATTERNS
+VOTERS = CLEAN + 1
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,28 +64,39 @@ def _sample(docs: DataFrame, rows: int) -> DataFrame:
     return chosen.groupBy("sketch").agg(F.max(F.struct("toxic", "words")).alias("x")).select("x.toxic", "x.words")
 
 
+def _starts(k: int):
+    """The beginnings, k letters long, of the words of at least that length."""
+    return F.transform(F.filter("words", lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+
 def learn_terms(sample: DataFrame) -> list[str]:
     """Terms that mark toxic texts of the sample; a beginning of a word ends in *."""
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < n:
         return list(LEXICON)
-    starts = [F.transform(F.filter("words", lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in PREFIXES]
+    starts = [_starts(k) for k in PREFIXES]
     counts = sample.select("toxic", F.explode(F.array_distinct(F.concat("words", *starts))).alias("term")).groupBy("term").agg(F.sum("toxic").alias("hit"), F.count("*").alias("all"))
     # twice the log likelihood gain of a toxic share of its own; 30 leaves no chance finds among millions of terms
     share, base = F.col("hit") / F.col("all"), float(toxic / n)
     gain = 2 * (F.col("hit") * F.log(share / base) + F.coalesce((F.col("all") - F.col("hit")) * F.log((1 - share + 1e-12) / (1 - base)), F.lit(0.0)))
-    best = counts.where((F.col("hit") >= 3) & ((F.col("hit") + 1) / (F.col("all") + 2) >= 0.75)).where(gain >= 30)
-    found = [r.term for r in best.orderBy(F.desc("hit"), F.desc(F.length("term")), "term").limit(8 * TERMS).collect()]
+    best = counts.where((F.col("hit") >= 3) & ((F.col("hit") + 1) / (F.col("all") + 2) >= MARKS)).where(gain >= 30)
+    found = best.orderBy(F.desc("hit"), F.col("term").endswith("*"), F.desc(F.length("term")), "term").limit(8 * TERMS).collect()
     terms: list[str] = []
-    for t in [*found, *LEXICON]:
-        if len(terms) < TERMS + len(LEXICON) and t not in terms and not any(t[:k].rstrip("*") + "*" in terms for k in PREFIXES if len(t.rstrip("*")) >= k):
+    hits = {t: -1 for t in LEXICON} | {r.term: r.hit for r in found}
+    for t in [*(r.term for r in found), *LEXICON]:
+        stem = t.rstrip("*")
+        covered = any(stem[:k] + "*" in terms for k in PREFIXES if len(stem) >= k)  # a shorter beginning takes it in
+        same = t.endswith("*") and any(c.startswith(stem) and hits[c] == hits[t] for c in terms)  # takes in no more than a longer term
+        if len(terms) < TERMS + len(LEXICON) and t not in terms and not covered and not same:
             terms.append(t)
     return terms
 
 
 def votes(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id and votes: bit j is set if voter j fires."""
-    bit = {t: 1 << (i % LEXICONS) for i, t in enumerate(terms)}
+    words = [t for t in terms if not t.endswith("*")]
+    starts = [t for t in terms if t.endswith("*")]
+    bit = {t: 1 << (i % LEXICONS) for i, t in enumerate(words)} | {t: 1 << (LEXICONS + i % PATTERNS) for i, t in enumerate(starts)}
 
     def run(batches):
         import pyarrow as pa
@@ -89,14 +105,11 @@ def votes(docs: DataFrame, terms: list[str]) -> DataFrame:
         for batch in batches:
             out = []
             for text in str_texts(batch.column(1)):
-                words, vote, hits = words_of(text), 0, 0
+                words, vote = words_of(text), 0
                 for found in (words & known, *({w[:k] + "*" for w in words} & known for k in PREFIXES)):
-                    hits += len(found)
                     for t in found:
                         vote |= bit[t]
-                vote |= (hits >= 2) << LEXICONS  # several terms
-                vote |= (text.count("!") * 20 > len(text)) << (LEXICONS + 1)  # shouting
-                out.append(vote)
+                out.append(vote or 1 << CLEAN)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], ["doc_id", "votes"])
 
     return docs.mapInArrow(run, "doc_id long, votes int")
@@ -109,7 +122,7 @@ class LabelModel:
         """patterns: vote sets; counts: documents of each; known: training rows of each by label, n x 2."""
         fires = (patterns[:, None] >> np.arange(VOTERS) & 1).astype(float)
         anchor = known * (counts.sum() / max(known.sum(), 1)) if known.sum() else np.zeros_like(known)
-        post = np.where(known.sum(1) > 0, (known[:, 1] + 0.1) / (known.sum(1) + 0.2), np.where(patterns & (1 << LEXICONS) - 1, 0.8, 0.02))
+        post = np.where(known.sum(1) > 0, (known[:, 1] + 0.1) / (known.sum(1) + 0.2), np.where(patterns >> CLEAN & 1, 0.02, 0.8))
         self.weight = np.ones(VOTERS)
         for step in range(rounds + 1):
             by_class = np.stack([counts * (1 - post), counts * post], 1) + anchor
@@ -127,8 +140,7 @@ class LabelModel:
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         fires = (patterns[:, None] >> np.arange(VOTERS) & 1).astype(float)
-        on, off = np.log(self.rate[:, 1] / self.rate[:, 0]), np.log((1 - self.rate[:, 1]) / (1 - self.rate[:, 0]))
-        odds = np.log(self.prior[1] / self.prior[0]) + (fires * on + (1 - fires) * off) @ self.weight
+        odds = np.log(self.prior[1] / self.prior[0]) + fires @ (np.log(self.rate[:, 1] / self.rate[:, 0]) * self.weight)
         return 1 / (1 + np.exp(-odds.clip(-30, 30)))
 
 
