@@ -1,13 +1,215 @@
-"""The query catalogue of the document operators."""
+"""The query catalogue of the document operators, each with SQL over the flat tables.
 
+Documents are orders with their items nested: doc is struct<key, prio, status, items>, and
+items are ordered by line, part, supplier and price, which is unique within an order.
+"""
 
-def flagship(spark, sf_dir):
-    return spark.range(1)
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomdoc.functions import paths as N
+from loomdoc.functions import values as V
+from loomdoc.functions.paths import Path
+from loomdoc.functions.values import Value
+from loomdoc.operators import arrays as A
+from loomdoc.operators import collection as C
+from loomdoc.operators import leaves as L
+from loomdoc.operators import patches, reshape
+from loomdoc.operators import pointers as P
+from loomdoc.plans import limits
+from loomdoc.sources import documents as S
+from loomdoc.streaming import subscriptions as B
 
-def oracle_sql():
-    return {}
+ITEMS = Path().name("items")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return S.read(spark, f"{sf_dir}/{name}.parquet")
+
+
+def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key and doc. One shuffle gathers an order's items; the join reuses its partitioning."""
+    fields = {"n": "l_linenumber", "part": "l_partkey", "supp": "l_suppkey", "price": "l_extendedprice", "qty": "l_quantity", "disc": "l_discount", "flag": "l_returnflag"}
+    item = F.struct(*(F.col(c).alias(n) for n, c in fields.items()))
+    kept = lambda i: F.struct(*(i[n].alias(n) for n in ("n", "qty", "price", "disc", "flag")))
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.transform(F.array_sort(F.collect_list(item)), kept).alias("items"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("prio"), F.col("o_orderstatus").alias("status"))
+    return items.join(orders, "key").select("key", F.struct("key", "prio", "status", "items").alias("doc"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = ITEMS.where(lambda v: (v["qty"] > 30) & (v["disc"] >= 0.05)).name("qty")
+    docs = order_docs(spark, sf_dir)
+    return N.select_values(docs, hit, "doc", ("doc.prio",)).groupBy("prio").agg(F.sum("value").alias("qty"), F.count("*").alias("n"))
+
+
+#: The flat form of the documents, for the SQL.
+I = """WITH i AS (SELECT l_orderkey AS key, o_orderpriority AS prio, o_orderstatus AS status, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS cnt,
+ l_linenumber AS n, l_quantity AS qty, l_extendedprice AS price, l_discount AS disc, l_returnflag AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+ WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)) """
+
+Q: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
+
+
+def add(name: str, sql: str | None, run: Callable) -> None:
+    Q[name] = run
+    if sql:
+        SQL[name] = sql
+
+
+def nodes(name: str, path: Path, sql: str) -> None:
+    """A query of a path over the orders: key, pointer, value."""
+    add(name, I + sql, lambda spark, sf: N.query(order_docs(spark, sf), path, "doc", ("key",)).drop("ord"))
+
+
+def per_doc(name: str, make: Callable[[Value], Column], sql: str) -> None:
+    """A query with one value for each order: key, value."""
+    add(name, I + sql, lambda spark, sf: order_docs(spark, sf).select("key", make(N.root(order_docs(spark, sf), "doc")).alias("value")))
+
+
+_P = "'/items/' || pos || "
+_SEL = "SELECT key, '/items/' || pos || '/{0}' AS pointer, {0} AS value FROM i "
+
+# selectors
+nodes("sel_name", Path().name("prio"), "SELECT DISTINCT key, '/prio' AS pointer, prio AS value FROM i")
+nodes("sel_name_missing", Path().name("zz"), "SELECT key, '' AS pointer, CAST(NULL AS varchar) AS value FROM i WHERE false")
+nodes("sel_index_first", ITEMS.index(0).name("qty"), _SEL.format("qty") + "WHERE pos = 0")
+nodes("sel_index_last", ITEMS.index(-1).name("qty"), _SEL.format("qty") + "WHERE pos = cnt - 1")
+nodes("sel_slice", ITEMS.slice(1, 3).name("qty"), _SEL.format("qty") + "WHERE pos BETWEEN 1 AND 2")
+nodes("sel_slice_step", ITEMS.slice(None, None, 2).name("qty"), _SEL.format("qty") + "WHERE pos % 2 = 0")
+nodes("sel_slice_negative", ITEMS.slice(-2).name("qty"), _SEL.format("qty") + "WHERE pos >= cnt - 2")
+nodes("sel_slice_zero", ITEMS.slice(0, 9, 0).name("qty"), _SEL.format("qty") + "WHERE false")
+add("sel_slice_reverse", I + "SELECT key, cnt - 1 - pos AS ord, qty AS value FROM i", lambda s, sf: N.query(order_docs(s, sf), ITEMS.slice(None, None, -1).name("qty"), "doc", ("key",)).select("key", F.col("ord").cast("long").alias("ord"), "value"))
+nodes("sel_wildcard_array", ITEMS.each().name("qty"), _SEL.format("qty"))
+nodes("sel_wildcard_object", ITEMS.index(0).union(Path().name("qty"), Path().name("price")), _SEL.format("qty") + "WHERE pos = 0 UNION ALL " + _SEL.format("price") + "WHERE pos = 0")
+nodes("sel_union_names", ITEMS.each().union(Path().name("qty"), Path().name("disc")), _SEL.format("qty") + "UNION ALL " + _SEL.format("disc"))
+nodes("sel_union_dup", ITEMS.union(Path().index(0), Path().index(0)).name("qty"), _SEL.format("qty") + "WHERE pos = 0 UNION ALL " + _SEL.format("qty") + "WHERE pos = 0")
+nodes("seg_descendant_name", Path().descend("qty"), _SEL.format("qty"))
+add("sel_parent", I + "SELECT key, '/items/' || pos AS pointer FROM i", lambda s, sf: N.parents(N.query(order_docs(s, sf), ITEMS.each().name("qty"), "doc", ("key",)), ("key",)))
+add("sel_property", I + "SELECT key, unnest(['n', 'qty', 'price', 'disc', 'flag']) AS name FROM i WHERE pos = 0", lambda s, sf: order_docs(s, sf).select("key", F.explode(V.keys(ITEMS.index(0).one(N.root(order_docs(s, sf), "doc"))).col).alias("name")))
+
+# filters
+for _name, _test, _where in (
+    ("eq", lambda v: v["qty"] == 30, "qty = 30"), ("ne", lambda v: v["qty"] != 30, "qty <> 30"), ("lt", lambda v: v["qty"] < 10, "qty < 10"), ("le", lambda v: v["qty"] <= 10, "qty <= 10"), ("gt", lambda v: v["qty"] > 40, "qty > 40"), ("ge", lambda v: v["qty"] >= 40, "qty >= 40"),
+    ("and_or_not", lambda v: (v["qty"] > 30) & ~((v["disc"] == 0) | (v["flag"] == "R")), "qty > 30 AND NOT (disc = 0 OR flag = 'R')"), ("exists", lambda v: v["flag"].exists(), "flag IS NOT NULL"), ("missing_ne", lambda v: v["zz"] != 1, "true"),
+    ("missing_eq_missing", lambda v: v["zz"] == v["yy"], "true"), ("type_mismatch", lambda v: v["flag"] > 1, "false"), ("arith", lambda v: v["qty"] * v["price"] > 2000000, "qty * price > 2000000"), ("div_zero", lambda v: (v["qty"] / 0).exists(), "false"), ("mod", lambda v: v["qty"] % 7 == 0, "qty % 7 = 0"),
+    ("match", lambda v: V.match(v["flag"], "[AR]"), "regexp_full_match(flag, '[AR]')"), ("search", lambda v: V.search(v["flag"], "N|R"), "regexp_matches(flag, 'N|R')"),
+):
+    nodes(f"filt_{_name}", ITEMS.where(_test).name("qty"), _SEL.format("qty") + f"WHERE {_where}")
+add("filt_root_ref", I + "SELECT key, qty AS value FROM i WHERE qty > 10 * length(status) + 30", lambda s, sf: (lambda d: N.select_values(d, ITEMS.where(lambda v: v["qty"] > V.length(N.root(d, "doc")["status"]) * 10 + 30).name("qty"), "doc", ("key",)))(order_docs(s, sf)))
+add("filt_nested", I + "SELECT DISTINCT key FROM i WHERE qty > 49", lambda s, sf: (lambda d: d.where(N.exists(d, ITEMS.where(lambda v: v["qty"] > 49), "doc")).select("key"))(order_docs(s, sf)))
+add("filt_event_props", "SELECT event_id, CAST(props->>'$.k' AS double) AS k FROM events WHERE CAST(props->>'$.k' AS double) > 50", lambda s, sf: table(s, sf, "events").select("event_id", S.variant_value(S.parsed(F.col("props")), "k", kind="double").alias("k")).where("k > 50"))
+add("variant_members", "SELECT event_id, 'k' AS key, CAST(props->>'$.k' AS double) AS k FROM events", lambda s, sf: S.members(table(s, sf, "events").select("event_id", S.parsed(F.col("props")).alias("v")), "v").select("event_id", "key", F.expr("cast(value as double)").alias("k")))
+
+# functions
+_Q = lambda d: ITEMS.each().name("qty").array(d)
+_F = lambda d: ITEMS.each().name("flag").array(d)
+_G = " FROM i GROUP BY key, prio, status"
+for _name, _make, _sql in (
+    ("length", lambda d: V.length(d["prio"]).col, "length(prio)"), ("count", lambda d: V.count(_Q(d)).col, "count(*)"), ("min", lambda d: V.minimum(_Q(d)).col, "min(qty)"), ("max", lambda d: V.maximum(_Q(d)).col, "max(qty)"), ("sum", lambda d: V.total(_Q(d)).col, "sum(qty)"), ("avg", lambda d: F.round(V.average(_Q(d)).col, 6), "round(avg(qty), 6)"),
+    ("type", lambda d: V.type_of(d["items"]).col, "'array'"), ("keys", lambda d: F.array_join(V.keys(d).col, ","), "'key,prio,status,items'"), ("starts_with", lambda d: V.starts_with(d["prio"], "1-"), "starts_with(prio, '1-')"), ("ends_with", lambda d: V.ends_with(d["prio"], "W"), "ends_with(prio, 'W')"),
+    ("contains", lambda d: V.contains(d["prio"], "O"), "contains(prio, 'O')"), ("contains_array", lambda d: V.contains(_Q(d), 30), "bool_or(qty = 30)"), ("lower", lambda d: V.lower(d["prio"]).col, "lower(prio)"), ("upper", lambda d: V.upper(d["prio"]).col, "upper(prio)"), ("trim", lambda d: V.trim(Value(F.concat(F.lit("\t "), d["prio"].col, F.lit("\n")), V.S)).col, "prio"),
+    ("substring", lambda d: V.substring(d["prio"], 4, 1).col, "substring(prio, 2, 3)"), ("split", lambda d: V.first(V.split(d["prio"], "-")).col, "string_split(prio, '-')[1]"), ("first", lambda d: V.first(_Q(d)).col, "arg_min(qty, pos)"), ("last", lambda d: V.last(_Q(d)).col, "arg_max(qty, pos)"), ("reverse", lambda d: V.first(V.reverse(_Q(d))).col, "arg_max(qty, pos)"),
+    ("sort", lambda d: V.first(V.sort(_Q(d))).col, "min(qty)"), ("unique", lambda d: V.count(V.unique(_F(d))).col, "count(DISTINCT flag)"), ("floor", lambda d: V.floor(V.first(_Q(d)) / 4).col, "floor(arg_min(qty, pos) / 4)"), ("ceil", lambda d: V.ceil(V.first(_Q(d)) / 4).col, "ceil(arg_min(qty, pos) / 4)"), ("round", lambda d: V.round_half_up(-V.first(_Q(d)) / 2).col, "floor(-arg_min(qty, pos) / 2 + 0.5)"),
+    ("abs", lambda d: V.absolute(-V.first(_Q(d))).col, "arg_min(qty, pos)"), ("add_sub_mul", lambda d: (V.first(_Q(d)) * 2 + 1 - 3).col, "arg_min(qty, pos) * 2 - 2"), ("is_string", lambda d: V.is_type(d["prio"], "string"), "true"), ("to_number", lambda d: V.to_number(Value(F.substring(d["prio"].col, 1, 1), V.S)).col, "CAST(substring(prio, 1, 1) AS double)"), ("to_boolean", lambda d: V.to_boolean(d["prio"]), "true"),
+):
+    per_doc(f"fn_{_name}", _make, f"SELECT key, {_sql} AS value{_G}")
+
+# node lists and the facade
+add("res_normalized_paths", I + "SELECT key, '$[''items''][' || pos || '][''qty'']' AS path FROM i", lambda s, sf: N.query(order_docs(s, sf), ITEMS.each().name("qty"), "doc", ("key",)).select("key", N.normalized(F.col("pointer")).alias("path")))
+add("facade_exists", I + "SELECT key, bool_or(qty > 45) AS found FROM i GROUP BY key", lambda s, sf: (lambda d: d.select("key", N.exists(d, ITEMS.where(lambda v: v["qty"] > 45), "doc").alias("found")))(order_docs(s, sf)))
+add("facade_count", I + "SELECT key, count(*) FILTER (qty > 45) AS n FROM i GROUP BY key", lambda s, sf: (lambda d: d.select("key", N.count(d, ITEMS.where(lambda v: v["qty"] > 45), "doc").alias("n")))(order_docs(s, sf)))
+add("facade_first_last", I + "SELECT key, arg_min(qty, pos) AS a, arg_max(qty, pos) AS b FROM i GROUP BY key", lambda s, sf: (lambda d: d.select("key", N.first(d, ITEMS.each().name("qty"), "doc").alias("a"), N.last(d, ITEMS.each().name("qty"), "doc").alias("b")))(order_docs(s, sf)))
+add("multi_query", I + "SELECT key, count(*) AS n, sum(qty) AS q FROM i GROUP BY key", lambda s, sf: N.query_set(order_docs(s, sf), {"a": ITEMS.each().name("flag"), "b": ITEMS.each().name("qty")}, "doc").select("key", F.size("a").cast("long").alias("n"), F.aggregate("b", F.lit(0.0), lambda x, y: x + y).alias("q")))
+add("limits_allow_block", I + _SEL.format("disc"), lambda s, sf: N.query(order_docs(s, sf), limits.check(ITEMS.each().union(Path().name("qty"), Path().name("disc")), max_steps=9), "doc", ("key",)).where(limits.allowed(["/items"]) & ~F.col("pointer").endswith("/qty")).drop("ord"))
+add("flagship", I + "SELECT prio, sum(qty) AS qty, count(*) AS n FROM i WHERE qty > 30 AND disc >= 0.05 GROUP BY prio", flagship)
+
+# reshaping
+_doc = lambda s, sf: (lambda d: (d, N.root(d, "doc")))(order_docs(s, sf))
+_sum = lambda arr, f: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x[f])
+add("reshape_project", I + "SELECT key AS k, prio AS p, count(*) AS n FROM i GROUP BY key, prio", lambda s, sf: reshape.project(order_docs(s, sf), {"k": Path().name("key"), "p": Path().name("prio"), "n": lambda d: V.length(d["items"]).col}, "doc"))
+add("reshape_pick", "SELECT o_orderkey AS key, o_orderstatus AS status FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)", lambda s, sf: reshape.pick(order_docs(s, sf), Path().name("key"), Path().name("status"), column="doc"))
+add("reshape_transform", I + "SELECT key, sum(qty * 2) AS q FROM i GROUP BY key", lambda s, sf: (lambda d, v: d.select("key", _sum(reshape.transform(v, ITEMS.each().name("qty"), lambda x: x.col * 2)["items"], "qty").alias("q")))(*_doc(s, sf)))
+add("reshape_omit", I + "SELECT key, count(*) FILTER (qty <= 30) AS n, coalesce(sum(qty) FILTER (qty <= 30), 0) AS q FROM i GROUP BY key", lambda s, sf: (lambda d, v: d.select("key", reshape.omit(v, ITEMS.where(lambda x: x["qty"] > 30))["items"].alias("r")).select("key", F.size("r").cast("long").alias("n"), _sum(F.col("r"), "qty").alias("q")))(*_doc(s, sf)))
+add("merge_deep", I + "SELECT key, 'X' AS status, 7 AS extra, 2 * count(*) AS n FROM i GROUP BY key", lambda s, sf: (lambda d, v: d.select("key", reshape.merge_deep(v, Value(F.struct(F.lit("X").alias("status"), F.lit(7).alias("extra"), F.col("doc.items").alias("items")), d.select(F.struct(F.lit("X").alias("status"), F.lit(7).alias("extra"), F.col("doc.items").alias("items")).alias("x")).schema["x"].dataType), "concat").alias("m")).select("key", "m.status", "m.extra", F.size("m.items").cast("long").alias("n")))(*_doc(s, sf)))
+
+# pointers, patches, merge patches
+add("ptr_get", I + "SELECT key, qty AS value FROM i WHERE pos = 1", lambda s, sf: (lambda d, v: d.select("key", P.get(v, "/items/1/qty").col.alias("value")).where("value IS NOT NULL"))(*_doc(s, sf)))
+add("ptr_exists", I + "SELECT key, count(*) > 2 AS found FROM i GROUP BY key", lambda s, sf: (lambda d, v: d.select("key", P.exists(v, "/items/2").alias("found")))(*_doc(s, sf)))
+add("ptr_set", I + "SELECT key, sum(CASE WHEN pos = 0 THEN 1000 ELSE qty END) AS q FROM i GROUP BY key", lambda s, sf: (lambda d, v: d.select("key", _sum(P.set_at(v, "/items/0/qty", F.lit(1000.0))["items"], "qty").alias("q")))(*_doc(s, sf)))
+add("ptr_remove", I + "SELECT key, count(*) - 1 AS n FROM i GROUP BY key", lambda s, sf: (lambda d, v: d.select("key", F.size(P.remove_at(v, "/items/0")["items"]).cast("long").alias("n")))(*_doc(s, sf)))
+add("ptr_relative", I + "SELECT key, disc AS value FROM i WHERE pos = 0", lambda s, sf: (lambda d, v: d.select("key", P.get(v, P.relative("/items/0/qty", "1/disc")).col.alias("value")))(*_doc(s, sf)))
+_patch = lambda *ops: lambda s, sf: patches.apply_patch(order_docs(s, sf), "doc", list(ops)).select("doc.*")
+_flat = lambda *ops: lambda s, sf: _patch(*ops)(s, sf).withColumn("items", F.size("items").cast("long"))
+_K = "SELECT key, prio, status, count(*) AS items"
+_E = " FROM i GROUP BY key, prio, status"
+add("patch_add", I + _K + ", 5 AS extra" + _E, _flat({"op": "add", "path": "/extra", "value": 5}))
+add("patch_remove", I + "SELECT key, prio, count(*) AS items" + _E, _flat({"op": "remove", "path": "/status"}))
+add("patch_replace", I + "SELECT key, prio, 'Z' AS status, count(*) AS items" + _E, _flat({"op": "replace", "path": "/status", "value": "Z"}))
+add("patch_move", I + "SELECT key, prio, count(*) AS items, status AS was" + _E, _flat({"op": "move", "from": "/status", "path": "/was"}))
+add("patch_copy", I + _K + ", prio AS again" + _E, _flat({"op": "copy", "from": "/prio", "path": "/again"}))
+add("patch_insert", I + "SELECT key, sum(qty) + arg_min(qty, pos) AS q FROM i GROUP BY key", lambda s, sf: patches.apply_patch(order_docs(s, sf), "doc", [{"op": "copy", "from": "/items/0", "path": "/items/1"}]).select("key", _sum(F.col("doc.items"), "qty").alias("q")))
+add("patch_test", I + "SELECT key, status = 'F' AS ok FROM i GROUP BY key, status", lambda s, sf: (lambda d: d.select("key", patches.holds(d, "doc", {"/status": "F"}).alias("ok")))(order_docs(s, sf)))
+add("mergepatch_apply", I + "SELECT key, 'Q' AS prio, CAST(NULL AS varchar) AS status, 'n' AS note FROM i GROUP BY key", lambda s, sf: (lambda d, v: d.select("key", patches.merge_patch(v, {"prio": "Q", "status": None, "note": "n"}).alias("m")).select("key", "m.prio", "m.status", "m.note"))(*_doc(s, sf)))
+
+# leaf tables
+_D = lambda s, sf: L.shred(order_docs(s, sf), "doc", "key")
+add("leaf_shred", I + "SELECT key, '/items/' || pos || '/flag' AS pointer, 'string' AS type, flag AS value FROM i UNION ALL SELECT key, '/items', 'array', NULL FROM i GROUP BY key", lambda s, sf: _D(s, sf).where(F.col("pointer").rlike(r"\A/items(/\d+/flag)?\z")).drop("size"))
+add("leaf_subtree", I + "SELECT key, 6 AS n FROM i WHERE pos = 0", lambda s, sf: _D(s, sf).where(L.subtree("/items/0")).groupBy("key").agg(F.count("*").alias("n")))
+_log = lambda s, sf: table(s, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "ts", F.concat(F.lit("/"), "event_type").alias("pointer"), F.col("value").cast("decimal(20,4)").cast("string").alias("value"), F.lit(None).cast("string").alias("previous_value"))
+add("leaf_latest", "SELECT user_id AS key, '/' || event_type AS pointer, arg_max(event_id, event_id) AS seq, count(*) AS version FROM events GROUP BY ALL", lambda s, sf: L.latest(_log(s, sf).withColumn("value", F.col("seq")), "key").withColumnRenamed("value", "seq"))
+add("diff_docs", I + "SELECT key, 'replace' AS op, '/items/' || pos || '/qty' AS pointer FROM i WHERE qty > 45 UNION ALL SELECT key, 'remove', '/status' FROM i WHERE status = 'F' GROUP BY key", lambda s, sf: (lambda d, v: L.diff(L.shred(d, "doc", "key"), L.shred(d.select("key", reshape.transform(v, ITEMS.where(lambda x: x["qty"] > 45).name("qty"), lambda x: x.col + 1).withField("status", F.when(F.col("doc.status") != "F", F.col("doc.status"))).alias("doc")), "doc", "key"), "key").drop("value").where("pointer <> ''"))(*_doc(s, sf)))
+
+# stored arrays
+_arr = lambda make: lambda s, sf: (lambda d, v: d.select("key", make(_Q(v).col).alias("a")).select("key", F.size("a").cast("long").alias("n"), F.get("a", F.lit(0)).alias("head"), F.try_element_at("a", F.lit(-1)).alias("tail")))(*_doc(s, sf))
+add("arr_push", I + "SELECT key, count(*) + 1 AS n, arg_min(qty, pos) AS head, 9.0 AS tail FROM i GROUP BY key", _arr(lambda a: A.push(a, F.lit(9.0))))
+add("arr_unshift", I + "SELECT key, count(*) + 1 AS n, 9.0 AS head, arg_max(qty, pos) AS tail FROM i GROUP BY key", _arr(lambda a: A.unshift(a, F.lit(9.0))))
+add("arr_pop", I + "SELECT key, cnt - 1 AS n, max(qty) FILTER (pos = 0 AND cnt > 1) AS head, max(qty) FILTER (pos = cnt - 2) AS tail FROM i GROUP BY key, cnt", _arr(A.pop))
+add("arr_shift", I + "SELECT key, cnt - 1 AS n, max(qty) FILTER (pos = 1) AS head, max(qty) FILTER (pos = cnt - 1 AND cnt > 1) AS tail FROM i GROUP BY key, cnt", _arr(A.shift))
+add("arr_splice", I + "SELECT key, cnt - CASE WHEN cnt > 1 THEN 1 ELSE 0 END + 1 AS n, max(qty) FILTER (pos = 0) AS head, CASE WHEN cnt > 2 THEN max(qty) FILTER (pos = cnt - 1) ELSE 9.0 END AS tail FROM i GROUP BY key, cnt", _arr(lambda a: A.splice(a, 1, 1, F.lit(9.0))))
+add("arr_sort", I + "SELECT key, count(*) AS n, min(qty) AS head, max(qty) AS tail FROM i GROUP BY key", _arr(A.sort))
+add("arr_reverse", I + "SELECT key, count(*) AS n, arg_max(qty, pos) AS head, arg_min(qty, pos) AS tail FROM i GROUP BY key", _arr(A.reverse))
+
+# collections: a customer's orders by price; ties by key
+_coll = lambda s, sf: C.numbered(table(s, sf, "orders").select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price")), F.desc("price"), "key", by=("cust",))
+_C = "WITH c AS (SELECT o_custkey AS cust, o_orderkey AS key, o_orderstatus AS status, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) "
+_by = ("cust",)
+add("coll_sort", _C + "SELECT cust, key, row_number() OVER (PARTITION BY cust ORDER BY status, pos) - 1 AS pos FROM c", lambda s, sf: C.sort_by(_coll(s, sf), "status", by=_by).select("cust", "key", "pos"))
+add("coll_at", _C + "SELECT cust, key FROM c WHERE pos = 0 OR pos = n - 1", lambda s, sf: C.at(_coll(s, sf), 0, -1, by=_by).select("cust", "key"))
+add("coll_chunk", _C + "SELECT cust, pos // 3 AS chunk, count(*) AS n, arg_min(key, pos) AS first FROM c GROUP BY ALL", lambda s, sf: C.chunk(_coll(s, sf), 3, "key", by=_by).select("cust", "chunk", F.size("rows").cast("long").alias("n"), F.col("rows")[0]["key"].alias("first")))
+add("coll_take", _C + "SELECT cust, key FROM c WHERE pos < 2", lambda s, sf: C.take(_coll(s, sf), 2, by=_by)[0].select("cust", "key"))
+add("coll_take_right", _C + "SELECT cust, key FROM c WHERE pos < n - 2", lambda s, sf: C.take(_coll(s, sf), 2, right=True, by=_by)[1].select("cust", "key"))
+add("coll_find", _C + "SELECT cust, arg_min(key, pos) AS key FROM c WHERE status = 'O' GROUP BY cust", lambda s, sf: C.find(_coll(s, sf), F.col("status") == "O", by=_by).select("cust", "key"))
+add("coll_reverse", _C + "SELECT cust, key, n - 1 - pos AS pos FROM c", lambda s, sf: C.reverse(_coll(s, sf), by=_by).select("cust", "key", "pos"))
+add("coll_group", "SELECT o_orderstatus AS key, count(*) AS n FROM orders WHERE o_custkey < 50 GROUP BY 1", lambda s, sf: C.group_lists(_coll(s, sf).where("cust < 50"), F.col("status"), "key").select("key", F.size("rows").cast("long").alias("n")))
+add("coll_has_any", _C + "SELECT cust, bool_or(status = 'P') AS has FROM c GROUP BY cust", lambda s, sf: C.has_any(_coll(s, sf), F.col("status") == "P", _by))
+add("coll_has_all", _C + "SELECT cust, bool_or(status = 'P') AND bool_or(status = 'O') AS has FROM c GROUP BY cust", lambda s, sf: C.has_all(_coll(s, sf), [F.col("status") == "P", F.col("status") == "O"], _by))
+add("coll_cross", "SELECT r_name AS a, n_name AS b FROM region CROSS JOIN nation", lambda s, sf: C.cross(table(s, sf, "region").select(F.col("r_name").alias("a")), table(s, sf, "nation").select(F.col("n_name").alias("b"))))
+add("coll_numbered", "SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS pos FROM customer", lambda s, sf: C.numbered(table(s, sf, "customer"), "c_name", "c_custkey").select("c_custkey", "pos"))
+add("coll_packed_id", "SELECT n_nationkey, n_nationkey * 256 + n_regionkey AS id FROM nation", lambda s, sf: table(s, sf, "nation").select("n_nationkey", C.packed_id({"n_nationkey": 8, "n_regionkey": 0}).alias("id")))
+add("coll_shuffle", None, lambda s, sf: C.shuffle(_coll(s, sf), 5, "key", by=_by).select("cust", "key", "pos"))
+add("coll_take_random", None, lambda s, sf: C.take_random(table(s, sf, "customer").select("c_custkey"), 10, 3, "c_custkey"))
+
+# subscriptions
+add("sub_exact", "SELECT event_id AS seq FROM events WHERE event_type = 'click'", lambda s, sf: B.on_pointer(_log(s, sf), "/click").select("seq"))
+_path_log = lambda s, sf: _log(s, sf).withColumn("pointer", F.concat(F.lit("/users/"), "key", "pointer"))
+add("sub_deep", "SELECT event_id AS seq FROM events WHERE user_id = 7", lambda s, sf: B.on_pointer(_path_log(s, sf), "/users/7", deep=True).select("seq"))
+add("sub_pattern", "SELECT event_id AS seq FROM events WHERE event_type = 'click'", lambda s, sf: B.on_pattern(_path_log(s, sf), Path().name("users").each().name("click")).select("seq"))
+add("sub_deliver", "SELECT 'all' AS subscriber, max(event_id) AS seq FROM events UNION ALL SELECT 'click', max(event_id) FROM events WHERE event_type = 'click' HAVING count(*) > 0", lambda s, sf: B.last_per_subscriber(B.deliver(_path_log(s, sf), {"all": Path().descend(), "click": Path().descend("click")})).select("subscriber", "seq"))
+add("sub_coalesce", "SELECT '/' || event_type AS pointer, max(event_id) AS seq FROM events GROUP BY 1", lambda s, sf: B.coalesce_pointers(_log(s, sf)).select("pointer", "seq"))
+add("sub_debounce", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), r AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM e) SELECT user_id AS key, max(ts) AS ts, count(*) AS changes FROM r GROUP BY user_id, run", lambda s, sf: B.debounce(_log(s, sf), "1 hour", keys=("key",)).select("key", "ts", "changes"))
+add("sub_changed", "SELECT event_id AS seq FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type", lambda s, sf: B.changed(_log(s, sf).withColumn("value", F.col("pointer")), ("key",)).select("seq"))
+add("sub_computed", "SELECT user_id AS key, coalesce(count(*) FILTER (event_type = 'click'), 0) + coalesce(count(*) FILTER (event_type = 'view'), 0) AS value FROM events WHERE event_type IN ('click', 'view') GROUP BY 1", lambda s, sf: B.computed(L.latest(_log(s, sf), "key").select("key", "pointer", F.col("version").alias("value")), "key", {"a": "/click", "b": "/view"}, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))))
+
+
+def queries() -> dict[str, Callable]:
+    return dict(Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
