@@ -36,20 +36,22 @@ def external_shuffle(docs: DataFrame, shards: int = 40, seed: int = 11, bucket_b
     buckets = int(max(1, -(-total // bucket_bytes)))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(buckets)).cast("int")
     first = docs.select(bucket.alias("bucket")).groupBy("bucket").count()
-    first = first.select(F.col("bucket").alias("b"), (F.sum("count").over(Window.orderBy("bucket")) - F.col("count")).alias("first"))
+    first = first.select("bucket", (F.sum("count").over(Window.orderBy("bucket")) - F.col("count")).alias("first"))
 
-    def shuffled(key, rows):
+    def shuffled(key, rows, before):
+        import numpy as np
         import pyarrow as pa
 
         # the canonical order: by id, then by text for rows that repeat an id
-        rows = rows.sort_by([(id_col, "ascending"), (text_col, "ascending")])
+        rows = rows.drop_columns(["bucket"]).sort_by([(id_col, "ascending"), (text_col, "ascending")])
         rows = rows.take(pa.array(fisher_yates(len(rows), (seed, key[0].as_py()))))
-        return rows.append_column("place", pa.array(range(len(rows)), pa.int64()))
+        place = before.column("first")[0].as_py() + np.arange(len(rows))
+        return rows.append_column("shard", pa.array((place % shards).astype(np.int32))).append_column("slot", pa.array(place // shards))
 
-    schema = docs.select(*own).schema.add("bucket", "integer").add("place", "long")
-    placed = docs.select(*own, bucket.alias("bucket")).groupBy("bucket").applyInArrow(shuffled, schema)
-    p = F.col("first") + F.col("place")
-    return placed.join(first, F.col("bucket") == F.col("b")).select(*own, (p % shards).cast("int").alias("shard"), F.floor(p / shards).cast("long").alias("slot"))
+    # each bucket meets its offset as a group, so records are shuffled once
+    schema = docs.select(*own).schema.add("shard", "integer").add("slot", "long")
+    records = docs.select(*own, bucket.alias("bucket"))
+    return records.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(shuffled, schema)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 11) -> None:
