@@ -67,6 +67,11 @@ class Text:
         edge = np.bincount(starts, minlength=self.n_words + 8) - np.bincount(starts + 8, minlength=self.n_words + 8)[: self.n_words + 8]
         return int((np.cumsum(edge[: self.n_words]) > 0).sum())
 
+    @cached_property
+    def n_same_words(self) -> int:
+        """Words equal to the word before."""
+        return sum(map(bytes.__eq__, self.words, self.words[1:]))
+
     @cached_property
     def case_ratio(self) -> float:
         letters = sum(map(str.isalpha, self.text))
@@ -79,7 +84,8 @@ RULES: dict[str, Callable[[Text], bool]] = {
     "symbols": lambda t: t.n_symbols * 10 > t.n_words,
     "word_length": lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words,
     "upper_case": lambda t: t.case_ratio > 0.5,
-    "repeated_lines": lambda t: t.n_dup_lines * 10 > 3 * len(t.text.split("\n")),
+    "repeated_lines": lambda t: t.n_dup_lines >= 3 and t.n_dup_lines * 10 > 3 * len(t.text.split("\n")),
+    "same_words": lambda t: t.n_same_words * 10 > 3 * t.n_words,
     "repeated_words": lambda t: 100 * t.n_repeat_words > 30 * t.n_words,
 }
 
