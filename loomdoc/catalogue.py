@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomdoc.functions import paths as N
 from loomdoc.functions import values as V
@@ -207,6 +208,80 @@ add("sub_changed", "SELECT event_id AS seq FROM (SELECT *, lag(event_type) OVER
 add("sub_computed", "SELECT user_id AS key, coalesce(count(*) FILTER (event_type = 'click'), 0) + coalesce(count(*) FILTER (event_type = 'view'), 0) AS value FROM events WHERE event_type IN ('click', 'view') GROUP BY 1", lambda s, sf: B.computed(L.latest(_log(s, sf), "key").select("key", "pointer", F.col("version").alias("value")), "key", {"a": "/click", "b": "/view"}, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))))
 
 
+# containers, keys and wildcards at any depth
+_M = T.MapType(T.StringType(), T.StringType())
+_map = lambda d: Value(F.create_map(F.lit("p"), d["prio"].col, F.lit("s"), d["status"].col), _M)
+add("seg_descendant_wildcard", I + "SELECT key, unnest(['/key', '/prio', '/status', '/items']) AS pointer FROM i WHERE pos = 0 UNION ALL SELECT key, '/items/' || pos || unnest(['', '/n', '/qty', '/price', '/disc', '/flag']) FROM i", lambda s, sf: N.query(order_docs(s, sf), Path().descend(), "doc", ("key",)).select("key", "pointer"))
+add("sel_parent_each", I + "SELECT key, '/items/' || pos AS pointer, flag AS value FROM i, (VALUES (1), (2)) AS t(x)", lambda s, sf: N.query(order_docs(s, sf), ITEMS.each().union(Path().name("qty"), Path().name("disc")).parent(), "doc", ("key",)).select("key", "pointer", F.col("value.flag").alias("value")))
+nodes("sel_key_names", ITEMS.index(0).each().key(), "SELECT key, '/items/0/' || f AS pointer, f AS value FROM (SELECT key, unnest(['n', 'qty', 'price', 'disc', 'flag']) AS f FROM i WHERE pos = 0)")
+nodes("sel_key_indexes", ITEMS.each().key(), "SELECT key, '/items/' || pos AS pointer, pos AS value FROM i")
+add("facade_limit", I + _SEL.format("qty") + "WHERE pos < 2", lambda s, sf: N.limited(order_docs(s, sf), ITEMS.each().name("qty"), 2, "doc", ("key",)).drop("ord"))
+add("filt_object_members", "SELECT o_orderkey AS key, '/m/' || n AS pointer, v AS value FROM (SELECT o_orderkey, unnest(['price', 'id']) AS n, unnest([o_totalprice, o_orderkey]) AS v FROM orders) WHERE v > 1000", lambda s, sf: N.query(table(s, sf, "orders").select(F.col("o_orderkey").alias("key"), F.struct(F.create_map(F.lit("price"), "o_totalprice", F.lit("id"), F.col("o_orderkey").cast("double")).alias("m")).alias("d")), Path().name("m").where(lambda v: v > 1000), "d", ("key",)).drop("ord"))
+nodes("filt_object_literal", ITEMS.where(lambda v: Value(F.struct(v["qty"].col.alias("q"), v["flag"].col.alias("f")), T.StructType().add("q", "double").add("f", "string")) == {"f": "N", "q": 30}).name("qty"), _SEL.format("qty") + "WHERE qty = 30 AND flag = 'N'")
+for _name, _make, _sql in (
+    ("array_equals", lambda d: _F(d) == ["R", "R"], "count(*) = 2 AND min(flag) = 'R' AND max(flag) = 'R'"), ("value", lambda d: V.value(ITEMS.where(lambda v: v["qty"] > 45).name("qty").array(d)).col, "CASE WHEN count(*) FILTER (qty > 45) = 1 THEN max(qty) FILTER (qty > 45) END"),
+    ("entries", lambda d: F.array_join(F.transform(V.entries(_map(d)).col, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","), "'p=' || prio || ',s=' || status"), ("values", lambda d: F.array_join(V.values(_map(d)).col, "|"), "prio || '|' || status"),
+    ("flatten", lambda d: V.count(V.flatten(Value(F.array(_Q(d).col, _Q(d).col), T.ArrayType(T.ArrayType(T.DoubleType()))))).col, "2 * count(*)"), ("to_string", lambda d: V.to_string(d["key"]).col, "CAST(key AS varchar)"), ("div", lambda d: (V.total(_Q(d)) / V.count(_Q(d)) * 0 + 1).col, "CAST(1 AS double)"), ("is_array", lambda d: V.is_type(d["items"], "array"), "true"),
+):
+    per_doc(f"fn_{_name}", _make, f"SELECT key, {_sql} AS value{_G}")
+
+
+def region_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region with its nations; enumerations of a few rows."""
+    nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda n: F.struct(n["n_name"].alias("name"))).alias("nations"))
+    return table(spark, sf_dir, "region").join(nations, "r_regionkey").select("r_regionkey", F.struct(F.col("r_name").alias("name"), "nations").alias("doc"))
+
+
+def conversation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns).select("conv_id", F.struct("turns").alias("doc"))
+
+
+add("geo_names", "SELECT r_regionkey, '/name' AS pointer, r_name AS value FROM region UNION ALL SELECT n_regionkey, '/nations/' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) || '/name', n_name FROM nation", lambda s, sf: N.query(region_docs(s, sf), Path().descend("name"), "doc", ("r_regionkey",)).drop("ord"))
+add("conv_user_turns", "SELECT conv_id, '/turns/' || p || '/text' AS pointer, text AS value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations) WHERE role = 'user' AND text IS NOT NULL", lambda s, sf: N.query(conversation_docs(s, sf), Path().name("turns").where(lambda v: v["role"] == "user").name("text"), "doc", ("conv_id",)).drop("ord"))
+_variant = lambda s, sf: order_docs(s, sf).select("key", F.expr("to_variant_object(doc)").alias("v"))
+add("variant_descend", I + _SEL.format("qty"), lambda s, sf: S.descend(_variant(s, sf), "v", "qty", ("key",), depth=3).select("key", "pointer", F.expr("cast(value as double)").alias("value")))
+add("variant_descendants", I + "SELECT key, 5 + 6 * count(*) AS n, 3 AS depth FROM i GROUP BY key", lambda s, sf: S.descendants(_variant(s, sf), "v", ("key",), depth=3).groupBy("key").agg(F.count("*").alias("n"), F.max("depth").alias("depth")))
+add("variant_schema", "SELECT 'OBJECT<k: BIGINT>' AS schema", lambda s, sf: S.variant_schema(table(s, sf, "events").select(S.parsed(F.col("props")).alias("v")), "v"))
+
+# pointers, patches and merge patches by row
+add("ptr_create", I + "SELECT key, 7 AS value FROM i WHERE pos = 0", lambda s, sf: (lambda d, v: d.select("key", P.set_at(v, "/meta/tags/0", F.lit(7), create=True)["meta"]["tags"][0].alias("value")))(*_doc(s, sf)))
+add("ptr_column", I + "SELECT key, '/items/' || key % 3 || '/flag' AS pointer, max(flag) FILTER (pos = key % 3) AS value FROM i GROUP BY key", lambda s, sf: L.lookup(_D(s, sf), order_docs(s, sf).select("key", F.concat(F.lit("/items/"), F.col("key") % 3, F.lit("/flag")).alias("pointer")), "key").drop("type"))
+_OPS = [{"op": "test", "path": "/status", "value": "F"}, {"op": "remove", "path": "/items/2"}, {"op": "add", "path": "/note", "value": "n"}]
+add("patch_errors", I + "SELECT key, cnt - (cnt > 2)::int AS items, 'n' AS note, (status <> 'F')::int + (cnt <= 2)::int AS failed FROM i WHERE pos = 0", lambda s, sf: patches.patch_with_errors(order_docs(s, sf), "doc", _OPS).select("key", F.size("doc.items").cast("long").alias("items"), "doc.note", F.size("errors").alias("failed")))
+add("patch_atomic", I + "SELECT key, CASE WHEN status = 'F' AND cnt > 2 THEN cnt - 1 ELSE cnt END AS items, CASE WHEN status = 'F' AND cnt > 2 THEN 'n' END AS note FROM i WHERE pos = 0", lambda s, sf: patches.patch_with_errors(order_docs(s, sf), "doc", _OPS, atomic=True).select("key", F.size("doc.items").cast("long").alias("items"), "doc.note"))
+
+
+def _there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = order_docs(spark, sf_dir).withColumn("was", F.col("doc"))
+    ops = patches.PatchBuilder().replace("/status", "Z").add("/items/0", F.col("was.items")[0]).add("/extra", 1).ops
+    again = patches.apply_patch(patches.apply_patch(both, "doc", ops), "doc", patches.inverse(both, "was", ops))
+    return again.select("key", (N.root(again, "doc") == N.root(again, "was")).alias("same"))
+
+
+add("patch_inverse", I + "SELECT key, true AS same FROM i WHERE pos = 0", _there_and_back)
+add("mergepatch_create", I + "SELECT key, CASE WHEN status = 'F' THEN '{\"prio\":null}' ELSE '{\"prio\":null,\"status\":\"F\"}' END AS patch FROM i WHERE pos = 0", lambda s, sf: (lambda d: d.select("key", patches.create_merge_patch(N.root(d, "a"), N.root(d, "b")).alias("patch")))(order_docs(s, sf).select("key", F.struct("doc.prio", "doc.status", "doc.items").alias("a"), F.struct(F.lit("F").alias("status"), F.col("doc.items")).alias("b"))))
+add("mergepatch_trace", I + "SELECT key, 'set' AS op, '/prio' AS pointer, '\"' || prio || '\"' AS old FROM i WHERE pos = 0 UNION ALL SELECT key, 'delete', '/status', '\"' || status || '\"' FROM i WHERE pos = 0", lambda s, sf: (lambda d, v: d.select("key", F.explode(patches.merge_trace(v, {"prio": "Q", "status": None, "gone": None})).alias("t")).select("key", "t.*"))(*_doc(s, sf)))
+
+# leaf tables back to documents
+add("leaf_rebuild", I + "SELECT key, prio, count(*) AS n, sum(qty) AS q FROM i GROUP BY key, prio", lambda s, sf: L.materialise(_D(s, sf), "key", order_docs(s, sf).schema["doc"].dataType).select("key", "doc.prio", F.size("doc.items").cast("long").alias("n"), _sum(F.col("doc.items"), "qty").alias("q")))
+add("leaf_rebuild_subtree", I + "SELECT key, qty, flag FROM i WHERE pos = 1", lambda s, sf: L.materialise(_D(s, sf), "key", order_docs(s, sf).schema["doc"].dataType["items"].dataType.elementType, "/items/1").select("key", "doc.qty", "doc.flag"))
+add("leaf_matching", I + "SELECT key, '/items/' || pos || '/flag' AS pointer, flag AS value FROM i", lambda s, sf: L.matching(_D(s, sf), ITEMS.each().name("flag")).select("key", "pointer", "value"))
+add("leaf_replace_subtree", I + "SELECT key, count(*) AS n FROM (SELECT key, unnest(['', '/key', '/prio', '/status', '/items']) FROM i WHERE pos = 0) GROUP BY key", lambda s, sf: (lambda d: L.replace_subtree(d, "/items", d.where("pointer = '/items'").withColumn("size", F.lit(0))).groupBy("key").agg(F.count("*").alias("n")))(_D(s, sf)))
+
+# the rest of stored arrays and collections
+add("arr_insert", I + "SELECT key, cnt + 1 AS n, max(qty) FILTER (pos = 0) AS head, CASE WHEN cnt = 1 THEN 9.0 ELSE max(qty) FILTER (pos = cnt - 1) END AS tail FROM i GROUP BY key, cnt", _arr(lambda a: A.insert(a, 1, F.lit(9.0))))
+add("arr_sort_text", I + "SELECT key, count(*) AS n, arg_min(qty, CAST(qty AS varchar)) AS head, arg_max(qty, CAST(qty AS varchar)) AS tail FROM i GROUP BY key", _arr(lambda a: A.sort(a, by="string")))
+add("arr_shuffle", None, _arr(lambda a: A.shuffle(a, 5)))
+add("coll_fold", _C + "SELECT cust, string_agg(status, '' ORDER BY pos DESC) AS value FROM c GROUP BY cust", lambda s, sf: C.fold(_coll(s, sf), F.lit(""), lambda a, r: F.concat(a, r["status"]), "status", by=_by, right=True))
+add("coll_give", "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN (row_number() OVER (PARTITION BY n_regionkey = 0 ORDER BY n_nationkey)) + 1 ELSE (row_number() OVER (PARTITION BY n_regionkey = 0 ORDER BY n_nationkey)) - 1 + CASE WHEN (row_number() OVER (PARTITION BY n_regionkey = 0 ORDER BY n_nationkey)) > 2 THEN (SELECT count(*) FROM nation WHERE n_regionkey = 0) ELSE 0 END END AS pos FROM nation", lambda s, sf: C.give(C.numbered(table(s, sf, "nation").where("n_regionkey <> 0"), "n_nationkey"), C.numbered(table(s, sf, "nation").where("n_regionkey = 0"), "n_nationkey"), 2).select("n_nationkey", "pos"))
+add("coll_hex_id", "SELECT n_nationkey, printf('%08x', n_nationkey * 256 + n_regionkey) AS id, n_nationkey AS field FROM nation", lambda s, sf: table(s, sf, "nation").withColumn("p", C.packed_id({"n_nationkey": 8, "n_regionkey": 0})).select("n_nationkey", C.hex_id(F.col("p")).alias("id"), C.field_of_id(F.col("p"), 8).cast("int").alias("field")))
+add("coll_named", "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'first' WHEN 1 THEN 'second' END AS name FROM nation", lambda s, sf: table(s, sf, "nation").select("n_nationkey", C.named(F.col("n_regionkey"), {0: "first", 1: "second"}).alias("name")))
+_tree = lambda s, sf: table(s, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("up")).unionAll(table(s, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")))
+add("coll_ancestors", "SELECT 'c' || c_custkey AS key, 'n' || c_nationkey AS ancestor, 1 AS distance FROM customer UNION ALL SELECT 'c' || c_custkey, 'r' || n_regionkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1 FROM nation", lambda s, sf: C.ancestors(_tree(s, sf), "id", "up", depth=2))
+add("coll_score", "SELECT n_regionkey, CAST(least(40, sum(n_nationkey)) AS double) AS score FROM nation GROUP BY 1", lambda s, sf: table(s, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.col("n_nationkey").cast("double"))).alias("c")).select("n_regionkey", C.clamped_score(0, F.col("c"), 0, 40).alias("score")))
+
+
 def queries() -> dict[str, Callable]:
     return dict(Q)
 

@@ -9,6 +9,7 @@ pruning and filters reach the scan. Nodes keep document order and are never dedu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -65,6 +66,14 @@ class Path:
         """Members named key at any depth below, one place of the type after another; of any name without key."""
         return self._add("descend", key)
 
+    def parent(self) -> Path:
+        """The container of each node, once a node; nothing of the root."""
+        return self._add("parent")
+
+    def key(self) -> Path:
+        """The name or index of each node in its container; nothing of the root."""
+        return self._add("key")
+
     @property
     def singular(self) -> bool:
         return all(s[0] in ("name", "index") for s in self.steps)
@@ -107,21 +116,28 @@ def _children(v: Value, pointer: Column) -> tuple[Column, T.DataType]:
         return F.coalesce(F.transform(F.map_entries(v.col), lambda e: _struct(F.concat(pointer, F.lit("/"), escape(e["key"])), e["value"])), _none(t.valueType)[0]), t.valueType
     if isinstance(t, T.StructType):
         common = _common([f.dataType for f in t])
-        return F.array(*(_struct(F.concat(pointer, F.lit("/" + escape(f.name))), v.col[f.name].cast(common)) for f in t)), common
+        return F.array(*(_struct(F.concat(pointer, F.lit("/" + escape(f.name))), _as(v.col[f.name], f.dataType, common)) for f in t)), common
     return _none(t or T.StringType())
 
 
 def _common(types: list[T.DataType]) -> T.DataType:
-    """The type that values of several members share: their own, double for numbers, else text."""
+    """The type that values of several members share: their own, double for numbers, text for scalars, else VARIANT."""
     if len({x.simpleString() for x in types}) == 1:
         return types[0]
     if all(isinstance(x, T.NumericType) for x in types):
         return T.DoubleType()
-    if any(isinstance(x, (T.ArrayType, T.StructType, T.MapType)) for x in types):
-        raise PathError("members of different shapes have no common column type; name them one by one")
+    if any(isinstance(x, (T.ArrayType, T.StructType, T.MapType, T.VariantType)) for x in types):
+        return T.VariantType()
     return T.StringType()
 
 
+def _as(col: Column, given: T.DataType, wanted: T.DataType) -> Column:
+    """A member's column as the type that it shares with others."""
+    if isinstance(wanted, T.VariantType) and isinstance(given, (T.ArrayType, T.StructType, T.MapType)):
+        return F.to_variant_object(col)
+    return col.cast(wanted)
+
+
 def _positions(size: Column, start, end, step: int) -> Column:
     """Zero-based positions that a slice takes of an array of that size."""
     if step == 0:
@@ -153,23 +169,40 @@ def _descendants(t: T.DataType, key: str | None) -> list[tuple]:
     return found
 
 
-def _nodes(steps: tuple, v: Value, pointer: Column) -> tuple[Column, T.DataType]:
+def _token(pointer: Column) -> Column:
+    """The last token of a pointer."""
+    last = F.regexp_extract(pointer, r"[^/]*\z", 0)
+    return F.replace(F.replace(last, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+
+
+def _nodes(steps: tuple, v: Value, pointer: Column, above: tuple = ()) -> tuple[Column, T.DataType]:
+    """The nodes of steps from v; above has the containers of v with their pointers, inner ones first."""
     if not steps:
         return _present(F.array(_struct(pointer, v.col))), v.dtype or T.StringType()
     (kind, *args), rest = steps[0], steps[1:]
+    inside = ((v, pointer), *above)
+    if kind in ("parent", "key") and not above:
+        return _none(v.dtype or T.StringType())
+    if kind == "parent":
+        holder, at = above[0]
+        return _nodes(rest, Value(F.when(v.exists(), holder.col), holder.dtype), at, above[1:])
+    if kind == "key":
+        of = T.LongType() if above[0][0].kind == "array" else T.StringType()
+        return _nodes(rest, Value(F.when(v.exists(), _token(pointer).cast(of)), of), pointer, above)
     if kind == "name":
-        return _nodes(rest, v[args[0]], F.concat(pointer, F.lit("/" + escape(args[0]))))
+        return _nodes(rest, v[args[0]], F.concat(pointer, F.lit("/" + escape(args[0]))), inside)
     if kind == "index":
         i = args[0]
         at = F.lit(str(i)) if i >= 0 else (F.size(v.col) + i).cast("string") if v.kind == "array" else F.lit("")
-        return _nodes(rest, v[i], F.concat(pointer, F.lit("/"), at))
+        return _nodes(rest, v[i], F.concat(pointer, F.lit("/"), at), inside)
     if kind in ("union", "descend"):
         paths = [p.steps for p in args[0]] if kind == "union" else _descendants(v.dtype, args[0])
-        parts = [_nodes((*p, *rest), v, pointer) for p in paths]
+        parts = [_nodes((*p, *rest), v, pointer, above) for p in paths]
         if not parts:
             return _none(T.StringType())
         common = _common([t for _, t in parts])
-        kept = [F.transform(a, lambda n: _struct(n["pointer"], n["value"].cast(common))) for a, _ in parts]
+        alike = lambda a, t: F.transform(a, lambda n: _struct(n["pointer"], _as(n["value"], t, common)))
+        kept = [alike(a, t) for a, t in parts]
         return F.concat(*kept), common
     arr, t = _children(v, pointer)
     if kind == "slice":
@@ -183,7 +216,7 @@ def _nodes(steps: tuple, v: Value, pointer: Column) -> tuple[Column, T.DataType]
     below: list[T.DataType] = []
 
     def step(n: Column) -> Column:
-        sub, kind_below = _nodes(rest, Value(n["value"], t), n["pointer"])
+        sub, kind_below = _nodes(rest, Value(n["value"], t), n["pointer"], inside)
         below.append(kind_below)
         return sub
 
@@ -208,6 +241,12 @@ def select_values(df: DataFrame, path: Path, column: str | None = None, keep: tu
     return df.select(*keep, F.explode(path.array(root(df, column)).col).alias("value"))
 
 
+def limited(df: DataFrame, path: Path, n: int, column: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As query, but a document's first n nodes alone; nothing is said of the rest."""
+    arr, _ = path.nodes(root(df, column))
+    return df.select(*keep, F.posexplode(F.slice(arr, 1, n)).alias("ord", "node")).select(*keep, "ord", "node.pointer", "node.value")
+
+
 def exists(df: DataFrame, path: Path, column: str | None = None) -> Column:
     return F.size(path.array(root(df, column)).col) > 0
 
@@ -239,3 +278,18 @@ def parents(nodes: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 def query_set(df: DataFrame, paths: dict[str, Path], column: str | None = None) -> DataFrame:
     """df with an array of values for each named path, all from one scan."""
     return df.withColumns({name: p.array(root(df, column)).col for name, p in paths.items()})
+
+
+def pattern(path: Path) -> str:
+    """The regular expression of the pointers that a path of names, indexes, each() and descend() takes in."""
+    out = ""
+    for kind, *args in path.steps:
+        if kind == "name" or kind == "index" and args[0] >= 0:
+            out += "/" + re.sub(r"([^\w/~])", r"\\\1", escape(str(args[0])))
+        elif kind == "each":
+            out += "/[^/]+"
+        elif kind == "descend":
+            out += "(/[^/]+)*/" + ("[^/]+" if args[0] is None else re.sub(r"([^\w/~])", r"\\\1", escape(args[0])))
+        else:
+            raise PathError(f"a pattern can't have a step {kind}")
+    return rf"\A{out}\z"

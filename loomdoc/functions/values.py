@@ -29,8 +29,15 @@ def type_class(t: T.DataType | None) -> str:
 
 
 def literal(x) -> Value:
+    """A Python value as a constant; lists of one type become arrays, dicts objects."""
     if isinstance(x, Value):
         return x
+    if isinstance(x, list):
+        items = [literal(i) for i in x]
+        return Value(F.array(*(i.col for i in items)), T.ArrayType(items[0].dtype if items else T.StringType()))
+    if isinstance(x, dict):
+        made = {k: literal(i) for k, i in x.items()}
+        return Value(F.struct(*(v.col.alias(k) for k, v in made.items())), T.StructType([T.StructField(k, v.dtype or T.NullType()) for k, v in made.items()]))
     kinds = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}
     return Value(F.lit(x), kinds.get(type(x)))
 
@@ -62,6 +69,8 @@ class Value:
             return self.col.isNull() & o.col.isNull()
         if self.kind == "number":
             return self.col.cast("double").eqNullSafe(o.col.cast("double"))
+        if self.kind in ("array", "object"):
+            return F.when(self.exists() & o.exists(), _same(self, o)).otherwise(self.col.isNull() & o.col.isNull())
         return F.lit(True) if self.kind == "nothing" else self.col.eqNullSafe(o.col)
 
     def __ne__(self, other) -> Column:  # type: ignore[override]
@@ -110,6 +119,20 @@ class Value:
         return self._number(0, lambda a, b: -a)
 
 
+def _same(a: Value, b: Value) -> Column:
+    """Deep equality of two arrays or two objects that exist; the order of members is of no account."""
+    if a.kind == "array":
+        pairs = F.zip_with(a.col, b.col, lambda x, y: Value(x, a.dtype.elementType) == Value(y, b.dtype.elementType))
+        return (F.size(a.col) == F.size(b.col)) & ((F.size(a.col) == 0) | F.forall(pairs, lambda p: p))
+    if isinstance(a.dtype, T.StructType) and isinstance(b.dtype, T.StructType):
+        return reduce(lambda x, y: x & y, (a[n] == b[n] for n in dict.fromkeys([*a.dtype.names, *b.dtype.names])), F.lit(True))
+    if isinstance(a.dtype, T.MapType) and isinstance(b.dtype, T.MapType):
+        inside = F.forall(F.map_keys(a.col), lambda k: F.map_contains_key(b.col, k) & (Value(F.try_element_at(a.col, k), a.dtype.valueType) == Value(F.try_element_at(b.col, k), b.dtype.valueType)))
+        return (F.size(a.col) == F.size(b.col)) & inside
+    struct = a if isinstance(a.dtype, T.StructType) else b
+    return reduce(lambda x, y: x & y, (a[n] == b[n] for n in struct.dtype.names), length(a) == length(b))
+
+
 def _if(v: Value, kinds, make, dtype) -> Value:
     """make(column) if v is of one of kinds, else absent."""
     return Value(make(v.col), dtype) if v.kind in kinds else Value(F.lit(None), None)
@@ -145,6 +168,21 @@ def values(v: Value) -> Value:
     return Value(F.lit(None), None)
 
 
+def entries(v: Value) -> Value:
+    """An object's members as (key, value) structs; members of one type only, as with values."""
+    inner = values(v)
+    if inner.dtype is None:
+        return inner
+    t = T.StructType([T.StructField("key", S), T.StructField("value", inner.dtype.elementType)])
+    made = F.map_entries(v.col) if isinstance(v.dtype, T.MapType) else F.zip_with(keys(v).col, inner.col, lambda k, x: F.struct(k.alias("key"), x.alias("value")))
+    return Value(made, T.ArrayType(t))
+
+
+def value(v: Value) -> Value:
+    """The one node of a node list, given as an array; absent if there are none or several."""
+    return _if(v, ("array",), lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0))), v.dtype.elementType if v.kind == "array" else None)
+
+
 def _regex(pattern: str) -> str | None:
     """An interoperable pattern as Java's: a dot takes no line ends. None if it uses what these patterns lack."""
     out, inside, i = [], False, 0

@@ -112,3 +112,42 @@ def clamped_score(start: float, changes: Column, low: float, high: float) -> Col
 def packed_id(fields: dict[str, int]) -> Column:
     """Byte fields, each a column name with its shift in bits, as one bigint."""
     return sum((F.shiftleft(F.col(c).cast("long"), s) for c, s in fields.items()), F.lit(0).cast("long"))
+
+
+def field_of_id(packed: Column, shift: int, bits: int = 8) -> Column:
+    """A field of a packed id."""
+    return F.shiftright(packed, shift).bitwiseAND((1 << bits) - 1)
+
+
+def hex_id(packed: Column, digits: int = 8) -> Column:
+    """A packed id as lower-case hexadecimal, filled with zeros."""
+    return F.lower(F.lpad(F.hex(packed), digits, "0"))
+
+
+def named(code: Column, names: dict[int, str]) -> Column:
+    """The name of a code; null for others."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), code)
+
+
+def fold(df: DataFrame, start: Column, step, *cols: str, by: tuple[str, ...], right: bool = False) -> DataFrame:
+    """value: step(total, row) over each collection's rows in order, for folds that no aggregate says.
+
+    A collection's rows meet in one row of the plan, so it is for collections that fit there.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("pos", *cols)))
+    return df.groupBy(*by).agg(rows.alias("rows")).select(*by, F.aggregate(F.reverse("rows") if right else F.col("rows"), start, step).alias("value"))
+
+
+def ancestors(df: DataFrame, key: str, parent: str, depth: int = 8) -> DataFrame:
+    """key, ancestor, distance: every ancestor of every row of a table of parents.
+
+    One join a level, each over the rows alone: a row carries its line of ancestors. Lines longer
+    than depth, and so all cycles, stop the query with an error.
+    """
+    up = df.where(F.col(parent).isNotNull()).select(F.col(key).alias("_at"), F.col(parent).alias("_up"))
+    lines = up.select(F.col("_at").alias("key"), F.array("_up").alias("line"))
+    for _ in range(depth):
+        last = F.try_element_at("line", F.lit(-1))
+        lines = lines.join(up, last == F.col("_at"), "left").select("key", F.when(F.col("_up").isNull(), F.col("line")).otherwise(F.array_append("line", F.col("_up"))).alias("line"))
+    short = F.when(F.size("line") <= depth, True).otherwise(F.raise_error(F.lit(f"more than {depth} ancestors")).cast("boolean"))
+    return lines.where(short).select("key", F.posexplode("line").alias("_i", "ancestor")).select("key", "ancestor", (F.col("_i") + 1).alias("distance"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdoc.functions.paths import escape
+from loomdoc.functions.paths import Path, escape, pattern
 from loomdoc.functions.values import Value, type_class
 
 LEAF = "array<struct<pointer:string,type:string,value:string,size:int>>"
@@ -47,6 +47,49 @@ def subtree(pointer: str, column: str = "pointer") -> Column:
     return F.lit(True) if pointer == "" else (F.col(column) == pointer) | F.col(column).startswith(pointer + "/")
 
 
+def matching(leaves: DataFrame, path: Path) -> DataFrame:
+    """The rows at a path of names, indexes, each() and descend(), without rebuilding documents."""
+    return leaves.where(F.col("pointer").rlike(pattern(path)))
+
+
+def lookup(leaves: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """wanted, rows of key and pointer, with the type and value found there; null where there is nothing."""
+    return wanted.join(leaves.select(key, "pointer", "type", "value"), [key, "pointer"], "left")
+
+
+def replace_subtree(leaves: DataFrame, pointer: str, rows: DataFrame) -> DataFrame:
+    """leaves with rows (of the same columns) in place of all that is at and below a pointer."""
+    return leaves.where(~subtree(pointer)).unionByName(rows)
+
+
+def materialise(leaves: DataFrame, key: str, dtype: T.DataType, pointer: str = "", name: str = "doc") -> DataFrame:
+    """key and name: documents of a type rebuilt from their leaves, or what they have at a pointer.
+
+    One grouping gathers a document's rows, and an expression of the type reads them. Each lookup
+    scans the document's rows, so it is for documents that fit a row and have at most some
+    thousands of leaves. Documents without a row at the pointer are left out.
+    """
+    row = F.struct(F.col("pointer"), F.struct("type", "value", "size").alias("row"))
+    whole = leaves.where(subtree(pointer)).groupBy(key).agg(F.map_from_entries(F.collect_list(row)).alias("_m"))
+    return whole.where(F.map_contains_key("_m", F.lit(pointer))).select(key, _built(dtype, F.col("_m"), F.lit(pointer)).alias(name))
+
+
+def _built(t: T.DataType, rows: Column, at: Column) -> Column:
+    here = F.try_element_at(rows, at)
+    if isinstance(t, T.StructType):
+        return F.when(here.isNotNull(), F.struct(*(_built(f.dataType, rows, F.concat(at, F.lit("/" + escape(f.name)))).alias(f.name) for f in t)))
+    if isinstance(t, T.ArrayType):
+        places = F.when(here["size"] > 0, F.sequence(F.lit(0), here["size"] - 1)).when(here["size"] == 0, F.array().cast("array<int>"))
+        return F.transform(places, lambda i: _built(t.elementType, rows, F.concat(at, F.lit("/"), i.cast("string"))))
+    if isinstance(t, T.MapType):
+        token = lambda p: F.substring(p, F.length(at) + 2, F.length(p))
+        below = F.filter(F.map_keys(rows), lambda p: p.startswith(F.concat(at, F.lit("/"))) & ~token(p).contains("/"))
+        name = lambda p: F.replace(F.replace(token(p), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+        made = F.map_from_entries(F.transform(below, lambda p: F.struct(name(p).alias("k"), _built(t.valueType, rows, p).alias("v"))))
+        return F.when(here.isNotNull(), made)
+    return here["value"].cast(t)
+
+
 def latest(log: DataFrame, key: str) -> DataFrame:
     """The state that a change log (key, seq, pointer, value; a null value deletes) leads to, with versions.
 

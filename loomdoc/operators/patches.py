@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdoc.functions.values import Value
+from loomdoc.functions.values import Value, literal
 
 from . import pointers as P
 
@@ -29,7 +29,7 @@ def validate(patch: list[dict]) -> None:
 
 
 def _value(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
+    return x if isinstance(x, Column) else literal(x).col
 
 
 def apply_patch(df: DataFrame, column: str, patch: list[dict]) -> DataFrame:
@@ -63,9 +63,7 @@ def apply_patch(df: DataFrame, column: str, patch: list[dict]) -> DataFrame:
 
 
 def _typed(x) -> T.DataType | None:
-    from loomdoc.functions.values import literal
-
-    return literal(x).dtype
+    return None if isinstance(x, Column) else literal(x).dtype
 
 
 def _need(v: Value, path: str, new: Column) -> Column:
@@ -73,6 +71,113 @@ def _need(v: Value, path: str, new: Column) -> Column:
     return F.when(P.exists(v, path), new).otherwise(F.raise_error(F.lit(f"nothing at {path}")))
 
 
+#: A row's failed operations.
+ERRORS = "array<struct<index:int,op:string,message:string>>"
+
+
+def patch_with_errors(df: DataFrame, column: str, patch: list[dict], atomic: bool = False, errors: str = "errors") -> DataFrame:
+    """df with the patched column and, in `errors`, what failed in each row; no row stops the query.
+
+    An operation that fails in a row leaves that row as it was, and later ones go on; atomic:
+    a row with any failure keeps its old document, in the new type. The type is the same for all
+    rows, so a removed member becomes null, which counts as absent, and one that only some rows
+    gained is null in the others. Operations may not name places that the type lacks.
+    """
+    validate(patch)
+    df = df.withColumns({"_old": F.col(column), errors: F.array().cast(ERRORS)})
+    for i, op in enumerate(patch):
+        v = Value(F.col(column), df.schema[column].dataType)
+        kind, path = op["op"], op["path"]
+        if kind == "test":
+            ok, new = P.get(v, path) == Value(_value(op["value"]), _typed(op["value"])), None
+        elif kind in ("remove", "replace"):
+            ok, new = P.exists(v, path), _gone(v, path) if kind == "remove" else P.set_at(v, path, _value(op["value"]))
+        else:
+            value = _value(op["value"]) if kind == "add" else P.get(v, op["from"]).col
+            ok = _takes(v, path) if kind == "add" else P.exists(v, op["from"]) & _takes(v, path)
+            if kind == "move" and path != op["from"]:
+                if path.startswith(op["from"] + "/"):
+                    raise PatchError(f"{op['from']} can't move into itself")
+                v = Value(_gone(v, op["from"]), v.dtype)
+            new = v.col if kind == "move" and path == op["from"] else P.set_at(v, path, value, insert=True)
+        df = df.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+        if new is not None:
+            df = df.withColumn("_new", new)
+            df = df.withColumn(column, F.when(F.col("_ok"), F.col("_new")).otherwise(_fitted(F.col(column), v.dtype, df.schema["_new"].dataType))).drop("_new")
+        failed = F.struct(F.lit(i).alias("index"), F.lit(kind).alias("op"), F.lit(f"{kind} fails at {path}").alias("message"))
+        df = df.withColumn(errors, F.when(F.col("_ok"), F.col(errors)).otherwise(F.array_append(errors, failed))).drop("_ok")
+    if atomic:
+        old = Value(F.col("_old"), df.schema["_old"].dataType)
+        df = df.withColumn(column, F.when(F.size(errors) == 0, F.col(column)).otherwise(_fitted(old.col, old.dtype, df.schema[column].dataType)))
+    return df.drop("_old")
+
+
+def _takes(v: Value, path: str) -> Column:
+    """Whether something can be added at path: its container is there and, in an array, the index within it."""
+    value, holder, key = P.with_parent(v, path)
+    if holder.kind == "array" and key != "-":
+        return F.coalesce(F.size(holder.col) >= int(key), F.lit(False)) if key.isdigit() else F.lit(False)
+    return value.exists() if key is None else holder.exists()
+
+
+def _gone(v: Value, path: str) -> Column:
+    """v's column without what is at path, of the same type."""
+    value, holder, _ = P.with_parent(v, path)
+    if isinstance(holder.dtype, T.StructType):
+        return P.set_at(v, path, F.lit(None).cast(value.dtype))
+    return P.remove_at(v, path)
+
+
+def _fitted(col: Column, given: T.DataType, wanted: T.DataType) -> Column:
+    """A document as a type with other members: those it lacks are null."""
+    if given == wanted:
+        return col
+    if isinstance(given, T.StructType) and isinstance(wanted, T.StructType):
+        parts = [_fitted(col[f.name], given[f.name].dataType, f.dataType) if f.name in given.names else F.lit(None).cast(f.dataType) for f in wanted]
+        return F.when(col.isNotNull(), F.struct(*(p.alias(f.name) for p, f in zip(parts, wanted))))
+    if isinstance(given, T.ArrayType) and isinstance(wanted, T.ArrayType):
+        return F.transform(col, lambda x: _fitted(x, given.elementType, wanted.elementType))
+    return col.cast(wanted)
+
+
+class PatchBuilder:
+    """Builds a patch step by step; `when` takes or leaves the operations after it, until the next."""
+
+    def __init__(self) -> None:
+        self.ops: list[dict] = []
+        self._on = True
+
+    def when(self, condition: bool) -> PatchBuilder:
+        self._on = condition
+        return self
+
+    def _op(self, **op) -> PatchBuilder:
+        if self._on:
+            self.ops.append(op)
+        return self
+
+    def add(self, path: str, value) -> PatchBuilder:
+        return self._op(op="add", path=path, value=value)
+
+    def remove(self, path: str) -> PatchBuilder:
+        return self._op(op="remove", path=path)
+
+    def replace(self, path: str, value) -> PatchBuilder:
+        return self._op(op="replace", path=path, value=value)
+
+    def move(self, source: str, path: str) -> PatchBuilder:
+        return self._op(op="move", path=path, **{"from": source})
+
+    def copy(self, source: str, path: str) -> PatchBuilder:
+        return self._op(op="copy", path=path, **{"from": source})
+
+    def test(self, path: str, value) -> PatchBuilder:
+        return self._op(op="test", path=path, value=value)
+
+    def apply(self, df: DataFrame, column: str) -> DataFrame:
+        return apply_patch(df, column, self.ops)
+
+
 def holds(df: DataFrame, column: str, tests: dict[str, object]) -> Column:
     """Whether every pointer of tests holds its value."""
     v = Value(F.col(column), df.schema[column].dataType)
@@ -128,3 +233,70 @@ def merge_patch(target: Value, patch: dict) -> Column:
 
 def _from_dict(d: dict) -> Column:
     return F.struct(*((_from_dict(x) if isinstance(x, dict) else _value(x)).alias(k) for k, x in d.items() if x is not None))
+
+
+def patch_of(merge: dict, at: str = "") -> list[dict]:
+    """A merge patch as operations: null removes, dicts go deeper, all else is added."""
+    ops = []
+    for key, new in merge.items():
+        path = at + P.pointer(key)
+        ops += [{"op": "remove", "path": path}] if new is None else patch_of(new, path) if isinstance(new, dict) and new else [{"op": "add", "path": path, "value": new}]
+    return ops
+
+
+def merge_of(patch: list[dict]) -> dict:
+    """The merge patch of a patch's additions, replacements and removals of object members; other operations say nothing."""
+    out: dict = {}
+    for op in patch:
+        path = P.tokens(op["path"])
+        if op["op"] not in ("add", "replace", "remove") or not path:
+            continue
+        inner = out
+        for t in path[:-1]:
+            if not isinstance(inner.get(t), dict):
+                inner[t] = {}
+            inner = inner[t]
+        inner[path[-1]] = op.get("value") if op["op"] != "remove" else None
+    return out
+
+
+def merge_trace(target: Value, patch: dict, at: str = "") -> Column:
+    """What a merge patch does to each row: an array of (op, pointer, old), old as JSON text."""
+    out = [F.array().cast("array<struct<op:string,pointer:string,old:string>>")]
+    for key, new in patch.items():
+        old, path = target[key], at + P.pointer(key)
+        if isinstance(new, dict) and old.kind == "object":
+            out.append(merge_trace(old, new, path))
+            continue
+        entry = F.array(F.struct(F.lit("delete" if new is None else "set").alias("op"), F.lit(path).alias("pointer"), _json(old).alias("old")))
+        out.append(F.when(old.exists(), entry).otherwise(out[0]) if new is None else entry)
+    return F.concat(*out)
+
+
+def _json(v: Value) -> Column:
+    """A value as JSON text; null where it is absent."""
+    if v.dtype is None:
+        return F.lit(None).cast("string")
+    one = F.to_json(F.array(v.col))
+    return F.when(v.exists(), F.substring(one, F.lit(2), F.length(one) - 2))
+
+
+def create_merge_patch(old: Value, new: Value) -> Column:
+    """The merge patch, as JSON text, that leads from one document to another; "{}" where they are alike.
+
+    Objects are compared member by member, arrays and scalars as wholes; members that are gone are null.
+    """
+    return F.coalesce(_changes(old, new), F.lit("{}"))
+
+
+def _changes(a: Value, b: Value) -> Column:
+    """JSON text of what changes from a to b, null where nothing does."""
+    if not (isinstance(a.dtype, T.StructType) and isinstance(b.dtype, T.StructType)):
+        return F.when(~(a == b), F.coalesce(_json(b), F.lit("null")))
+    named = []
+    for n in dict.fromkeys([*a.dtype.names, *b.dtype.names]):
+        key = F.substring(F.to_json(F.array(F.lit(n))), F.lit(2), F.length(F.to_json(F.array(F.lit(n)))) - 2)
+        named.append(F.concat(key, F.lit(":"), _changes(a[n], b[n])))
+    inner = F.array_join(F.array(*named), ",")
+    whole = F.coalesce(_json(b), F.lit("null"))
+    return F.when(a.exists() & b.exists(), F.when(inner != "", F.concat(F.lit("{"), inner, F.lit("}")))).when(a.exists() | b.exists(), whole)

@@ -68,11 +68,48 @@ def get_or_raise(v: Value, text: str) -> Column:
     return F.coalesce(found.col, F.raise_error(F.lit(f"nothing at {text}")).cast(found.dtype or "string"))
 
 
-def rewrite(v: Value, path: list[str], leaf) -> Column:
-    """v's column with what leaf(container, last token) gives in place of the last container."""
+def with_parent(v: Value, text: str) -> tuple[Value, Value, str | None]:
+    """The value at a pointer, its container and its key there; the root has neither."""
+    path = tokens(text)
+    return (get(v, text), get(v, pointer(*path[:-1])), path[-1]) if path else (v, Value(F.lit(None), None), None)
+
+
+def from_path(text: str) -> str:
+    """The pointer of a normalized path, $['a'][0]."""
+    step = r"\[(?:'((?:[^'\\]|\\.)*)'|(0|[1-9][0-9]*))\]"
+    if not re.fullmatch(rf"\$(?:{step})*", text, re.S):
+        raise PointerError(f"not a normalized path: {text!r}")
+    return pointer(*(index or re.sub(r"\\(.)", r"\1", name) for name, index in re.findall(step, text, re.S)))
+
+
+def to_path(text: str) -> str:
+    """The normalized path of a pointer; digits alone are taken as an index."""
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "$" + "".join(f"[{t if _index(t) is not None else quoted(t)}]" for t in tokens(text))
+
+
+def nested(path: list[str], value: Column) -> Column:
+    """Containers around a value, from the outermost token on: arrays for 0 and -, else objects."""
+    for t in reversed(path):
+        value = F.array(value) if t in ("0", "-") else F.struct(value.alias(t))
+    return value
+
+
+def rewrite(v: Value, path: list[str], leaf, create: Column | None = None) -> Column:
+    """v's column with what leaf(container, last token) gives in place of the last container.
+
+    Members that the type lacks are made around create, if given; else they are an error.
+    """
     if len(path) == 1:
         return leaf(v, path[0])
     head, rest = path[0], path[1:]
+    if create is not None and isinstance(v.dtype, T.StructType):
+        if head not in v.dtype.names:
+            return F.when(v.exists(), v.col.withField(_quoted(head), nested(rest, create)))
+        if isinstance(v.dtype[head].dataType, (T.StructType, T.MapType)):  # an absent one is made empty first
+            t = v.dtype[head].dataType
+            empty = F.from_json(F.lit("{}"), t)
+            return F.when(v.exists(), v.col.withField(_quoted(head), rewrite(Value(F.coalesce(v[head].col, empty), t), rest, leaf, create)))
     if isinstance(v.dtype, T.StructType) and head in v.dtype.names:
         return F.when(v.exists(), v.col.withField(_quoted(head), rewrite(v[head], rest, leaf)))
     if isinstance(v.dtype, T.MapType):
@@ -107,10 +144,13 @@ def _place(value: Column, insert: bool):
     return leaf
 
 
-def set_at(v: Value, text: str, value: Column, insert: bool = False) -> Column:
-    """The document with value at a pointer; insert: array elements move up instead of going."""
+def set_at(v: Value, text: str, value: Column, insert: bool = False, create: bool = False) -> Column:
+    """The document with value at a pointer.
+
+    insert: array elements move up instead of going; create: containers on the way are made.
+    """
     path = tokens(text)
-    return rewrite(v, path, _place(value, insert)) if path else value
+    return rewrite(v, path, _place(value, insert), value if create else None) if path else value
 
 
 def _drop(v: Value, t: str) -> Column:

@@ -28,5 +28,39 @@ def members(df: DataFrame, variant: str) -> DataFrame:
     return df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(variant).outer()))
 
 
+_NODE = "array<struct<pointer:string,depth:int,open:boolean,value:variant>>"
+_MEMBERS = """transform(map_entries(try_variant_get(n.value, '$', 'map<string,variant>')),
+    e -> named_struct('pointer', concat(n.pointer, '/', replace(replace(e.key, '~', '~0'), '/', '~1')), 'depth', n.depth + 1, 'open', true, 'value', e.value))"""
+_ELEMENTS = """transform(try_variant_get(n.value, '$', 'array<variant>'),
+    (e, i) -> named_struct('pointer', concat(n.pointer, '/', i), 'depth', n.depth + 1, 'open', true, 'value', e))"""
+
+
+def descendants(df: DataFrame, variant: str, keep: tuple[str, ...] = (), depth: int = 16) -> DataFrame:
+    """keep, pointer, depth and value: a VARIANT and all that is below it, one row a node.
+
+    Each level is one explode over the rows of the level before, in one stage without a shuffle
+    or a cap: a document with values deeper than depth stops the query with an error.
+    """
+    root = F.array(F.expr(f"named_struct('pointer', '', 'depth', 0, 'open', true, 'value', {variant})")).cast(_NODE)
+    out = df.where(F.col(variant).isNotNull()).select(*keep, F.explode(root).alias("n"))
+    below = F.coalesce(F.expr(f"CASE WHEN n.open THEN coalesce({_MEMBERS}, {_ELEMENTS}) END"), F.array()).cast(_NODE)
+    closed = F.array(F.struct("n.pointer", "n.depth", F.lit(False).alias("open"), "n.value")).cast(_NODE)
+    for _ in range(depth):
+        out = out.select(*keep, F.explode(F.concat(closed, below)).alias("n"))
+    fits = F.when(F.size(below) == 0, True).otherwise(F.raise_error(F.lit(f"values deeper than {depth}")).cast("boolean"))
+    return out.where(fits).select(*keep, "n.pointer", "n.depth", "n.value")
+
+
+def descend(df: DataFrame, variant: str, name: str, keep: tuple[str, ...] = (), depth: int = 16) -> DataFrame:
+    """keep, pointer, depth and value of the members of that name at any depth of a VARIANT."""
+    token = "/" + name.replace("~", "~0").replace("/", "~1")
+    return descendants(df, variant, keep, depth).where(F.col("pointer").endswith(token))
+
+
+def variant_schema(df: DataFrame, variant: str) -> DataFrame:
+    """One row: the schema that all of a VARIANT column's values share."""
+    return df.agg(F.schema_of_variant_agg(F.col(variant)).alias("schema"))
+
+
 def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
     df.write.format(kind).partitionBy(*partition_by).save(path)

@@ -7,14 +7,13 @@ join with a small table of patterns.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomdoc.functions.paths import Path, escape
+from loomdoc.functions.paths import Path, pattern
 
 
 def on_pointer(changes: DataFrame, pointer: str, deep: bool = False) -> DataFrame:
@@ -23,21 +22,6 @@ def on_pointer(changes: DataFrame, pointer: str, deep: bool = False) -> DataFram
     return changes.where(here | F.col("pointer").startswith(pointer + "/") if deep else here)
 
 
-def pattern(path: Path) -> str:
-    """The regular expression of the pointers that a path of names, indexes, each() and descend() takes in."""
-    out = ""
-    for kind, *args in path.steps:
-        if kind == "name" or kind == "index" and args[0] >= 0:
-            out += "/" + re.sub(r"([^\w/~])", r"\\\1", escape(str(args[0])))
-        elif kind == "each":
-            out += "/[^/]+"
-        elif kind == "descend":
-            out += "(/[^/]+)*/" + ("[^/]+" if args[0] is None else re.sub(r"([^\w/~])", r"\\\1", escape(args[0])))
-        else:
-            raise ValueError(f"a pattern can't have a step {kind}")
-    return rf"\A{out}\z"
-
-
 def on_pattern(changes: DataFrame, path: Path) -> DataFrame:
     return changes.where(F.col("pointer").rlike(pattern(path)))
 

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 from loomdoc.functions import values as V
 from loomdoc.functions.paths import Path, PathError, query, root
 from loomdoc.functions.values import Value, literal
-from loomdoc.operators import arrays, leaves, patches, pointers, reshape
+from loomdoc.operators import arrays, collection, leaves, patches, pointers, reshape
 from loomdoc.plans import limits
+from loomdoc.sources import documents
 from loomdoc.streaming import subscriptions
 
 DDL = "id int, d struct<a:int, s:string, b:boolean, xs:array<int>, m:map<string,int>, o:struct<k:string>>"
@@ -46,6 +47,28 @@ def test_pointers_of_nodes(df):
         Path().name("xs").each().one(root(df, "d"))
 
 
+def found(df, path):
+    return [(r.id, r.pointer, r.value) for r in query(df, path, "d", ("id",)).collect()]
+
+
+def test_parents_and_keys(df):
+    assert found(df, Path().name("xs").slice(0, 2).parent()) == [(1, "/xs", [1, 2, 3, 4, 5])] * 2
+    assert found(df, Path().name("o").name("k").parent().parent().name("a")) == [(1, "/a", 5)]
+    assert not found(df, Path().name("zz").parent()) + found(df, Path().parent()) + found(df, Path().key())
+    assert found(df, Path().name("m").each().key()) == [(1, "/m/p", "p"), (1, "/m/q~1r", "q/r")]
+    assert found(df, Path().name("xs").index(-1).key()) == [(1, "/xs/4", 4)]
+    everything = [(i, p, str(v)) for i, p, v in found(df, Path().descend())]
+    assert ("/o/k", '"v"') in [e[1:] for e in everything] and (2, "/m", "{}") in everything and len(everything) == 17
+
+
+def test_deep_equality(df):
+    d = root(df, "d")
+    assert ask(df, d["xs"] == [1.0, 2, 3, 4, 5]) == [True, False, False]
+    assert ask(df, d["m"] == {"q/r": 2, "p": 1}) == [True, False, False]
+    assert ask(df, d["o"] != {"k": "v", "j": 1}) == [True] * 3
+    assert ask(df, d["m"] == d["m"]) == [True] * 3 and ask(df, d == d) == [True] * 3
+
+
 def test_patterns_are_checked():
     assert V._regex("a.c") == "a[^\\n\\r]c" and V._regex("[.]") == "[.]"
     assert V._regex("(?:x)") is None and V._regex(r"\d") is None
@@ -86,6 +109,62 @@ def test_patches(df):
         patches.validate([{"op": "add", "path": "/a"}])
 
 
+def test_patch_errors(df):
+    ops = [{"op": "test", "path": "/a", "value": 5}, {"op": "remove", "path": "/o/k"}, {"op": "add", "path": "/xs/1", "value": 9}, {"op": "move", "from": "/s", "path": "/t"}]
+    one, two, none = patches.patch_with_errors(df, "d", ops).orderBy("id").collect()
+    assert one.d.xs == [1, 9, 2, 3, 4, 5] and one.d.t == "x" and one.d.s is None and one.d.o.k is None and not one.errors
+    assert [e.index for e in two.errors] == [0, 1, 2] and two.d.xs == [] and two.d.t == ""
+    assert none.d is None and len(none.errors) == 4
+    whole = patches.patch_with_errors(df, "d", ops, atomic=True).orderBy("id").collect()
+    assert whole[0].d.t == "x" and whole[1].d.s == "" and whole[1].d.t is None
+    with pytest.raises(patches.PatchError):
+        patches.patch_with_errors(df, "d", [{"op": "move", "from": "/o", "path": "/o/k"}])
+
+
+def test_patch_conversions(df):
+    merge = {"a": {"b": 1, "c": None}, "d": [1]}
+    assert patches.merge_of(patches.patch_of(merge)) == merge
+    assert [o["op"] for o in patches.PatchBuilder().add("/a", 1).when(False).remove("/b").when(True).copy("/a", "/c").ops] == ["add", "copy"]
+    both = df.select("d", df.d.withField("a", df.d.a + 1).withField("z", F.lit('q"')).dropFields("b").alias("e"))
+    text = [r[0] for r in both.select(patches.create_merge_patch(root(both, "d"), root(both, "e"))).collect()]
+    assert text == ['{"a":6,"b":null,"z":"q\\""}', '{"z":"q\\""}', "{}"]
+    assert pointers.from_path(r"$['a'][0]['it\'s']") == "/a/0/it's" and pointers.to_path("/a/0/it's") == r"$['a'][0]['it\'s']"
+    with pytest.raises(pointers.PointerError):
+        pointers.from_path("$.a")
+
+
+def test_created_containers(df):
+    d = root(df, "d")
+    assert [r and r.x for r in ask(df, pointers.set_at(d, "/n/x/0", F.lit(1), create=True)["n"])] == [[1], [1], None]
+    assert [r and r.k for r in ask(df, pointers.set_at(d, "/o/k", F.lit("z"), create=True)["o"])] == ["z", "z", None]
+
+
+def test_leaves_round_trip(df):
+    rows = leaves.shred(df, "d", "id")
+    got = leaves.materialise(rows, "id", df.schema["d"].dataType, name="d")
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.where("d is not null").collect()))
+    assert [r.xs for r in leaves.materialise(rows, "id", df.schema["d"].dataType["xs"].dataType, "/xs", "xs").orderBy("id").collect()] == [[1, 2, 3, 4, 5], []]
+    assert leaves.replace_subtree(rows, "/xs", rows.limit(0)).where("pointer like '/xs%'").count() == 0
+
+
+def test_variant_descent(spark):
+    texts = [(1, '{"a":{"k":1,"x":[{"k":2},3]},"k":{"k":4},"q/r":{"k":null}}'), (2, "5"), (3, None), (4, "bad{")]
+    v = spark.createDataFrame(texts, "id int, t string").select("id", documents.parsed(F.col("t")).alias("v"))
+    got = [(r.pointer, str(r.value)) for r in documents.descend(v, "v", "k", ("id",), depth=4).collect()]
+    assert got == [("/a/k", "1"), ("/a/x/0/k", "2"), ("/k", '{"k":4}'), ("/k/k", "4"), ("/q~1r/k", "null")]
+    assert documents.descendants(v, "v", depth=4).count() == 12
+    with pytest.raises(Exception, match="deeper"):
+        documents.descendants(v, "v", depth=3).collect()
+
+
+def test_ancestors(spark):
+    tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 1)], "k int, p int")
+    want = [(2, 1, 1), (3, 1, 2), (3, 2, 1), (4, 1, 3), (4, 2, 2), (4, 3, 1), (5, 1, 1)]
+    assert sorted(map(tuple, collection.ancestors(tree, "k", "p", 4).collect())) == want
+    with pytest.raises(Exception, match="ancestors"):
+        collection.ancestors(tree, "k", "p", 2).collect()
+
+
 def test_shred_and_diff(df):
     rows = leaves.shred(df, "d", "id")
     assert {(r.pointer, r.value, r.size) for r in rows.where("id = 2").collect()} == {("", None, 3), ("/s", "", None), ("/xs", None, 0), ("/m", None, 0)}
