@@ -113,7 +113,7 @@ def test_patch_errors(df):
     ops = [{"op": "test", "path": "/a", "value": 5}, {"op": "remove", "path": "/o/k"}, {"op": "add", "path": "/xs/1", "value": 9}, {"op": "move", "from": "/s", "path": "/t"}]
     one, two, none = patches.patch_with_errors(df, "d", ops).orderBy("id").collect()
     assert one.d.xs == [1, 9, 2, 3, 4, 5] and one.d.t == "x" and one.d.s is None and one.d.o.k is None and not one.errors
-    assert [e.index for e in two.errors] == [0, 1, 2] and two.d.xs == [] and two.d.t == ""
+    assert [e["index"] for e in two.errors] == [0, 1, 2] and two.d.xs == [] and two.d.t == ""
     assert none.d is None and len(none.errors) == 4
     whole = patches.patch_with_errors(df, "d", ops, atomic=True).orderBy("id").collect()
     assert whole[0].d.t == "x" and whole[1].d.s == "" and whole[1].d.t is None
