@@ -33,11 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key and doc. One shuffle gathers an order's items; the join reuses its partitioning."""
+    """key and doc. One shuffle gathers an order's items; the join reuses its partitioning.
+
+    Lists don't shrink before the shuffle, so plain rows are shuffled and lists built after it.
+    """
     fields = {"n": "l_linenumber", "part": "l_partkey", "supp": "l_suppkey", "price": "l_extendedprice", "qty": "l_quantity", "disc": "l_discount", "flag": "l_returnflag"}
     item = F.struct(*(F.col(c).alias(n) for n, c in fields.items()))
     kept = lambda i: F.struct(*(i[n].alias(n) for n in ("n", "qty", "price", "disc", "flag")))
-    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.transform(F.array_sort(F.collect_list(item)), kept).alias("items"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), *fields.values()).repartition("key")
+    items = lines.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(item)), kept).alias("items"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("prio"), F.col("o_orderstatus").alias("status"))
     return items.join(orders, "key").select("key", F.struct("key", "prio", "status", "items").alias("doc"))
 
@@ -233,7 +237,7 @@ def region_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns).select("conv_id", F.struct("turns").alias("doc"))
 
 

@@ -38,7 +38,7 @@ def at(df: DataFrame, *positions: int, by: tuple[str, ...] = ()) -> DataFrame:
 
 def chunk(df: DataFrame, size: int, *cols: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Runs of `size` rows: chunk and rows (an array of cols in order)."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", *cols))), lambda r: F.struct(*(r[c].alias(c) for c in cols)))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("pos", *cols))), lambda r: F.struct(*(r[c].alias(c) for c in cols)))
     return df.groupBy(*by, F.floor(F.col("pos") / size).alias("chunk")).agg(rows.alias("rows"))
 
 
@@ -66,7 +66,7 @@ def give(df: DataFrame, rows: DataFrame, offset: int = 0) -> DataFrame:
 
 def group_lists(df: DataFrame, key: Column, *cols: str) -> DataFrame:
     """key and rows: each group's rows in order."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", *cols))), lambda r: F.struct(*(r[c].alias(c) for c in cols)))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("pos", *cols))), lambda r: F.struct(*(r[c].alias(c) for c in cols)))
     return df.groupBy(key.alias("key")).agg(rows.alias("rows"))
 
 
@@ -134,7 +134,7 @@ def fold(df: DataFrame, start: Column, step, *cols: str, by: tuple[str, ...], ri
 
     A collection's rows meet in one row of the plan, so it is for collections that fit there.
     """
-    rows = F.array_sort(F.collect_list(F.struct("pos", *cols)))
+    rows = F.sort_array(F.collect_list(F.struct("pos", *cols)))
     return df.groupBy(*by).agg(rows.alias("rows")).select(*by, F.aggregate(F.reverse("rows") if right else F.col("rows"), start, step).alias("value"))
 
 

@@ -7,7 +7,7 @@ by Parquet's statistics: a subtree is an equality or a prefix.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,9 +111,12 @@ def diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     scalar = F.col("a.type").isin("array", "object") & (F.col("a.type") == F.col("b.type"))
     op = F.when(F.col("a").isNull(), "add").when(F.col("b").isNull(), "remove").when(resized, "replace").when(scalar, None).when(~F.col("a").eqNullSafe(F.col("b")), "replace")
     changed = both.withColumn("op", op).where(F.col("op").isNotNull())
-    # below a place that is itself added, removed or replaced nothing need be said
-    above = F.transform(F.sequence(F.lit(1), F.size(F.split("pointer", "/"))), lambda i: F.array_join(F.slice(F.split("pointer", "/"), F.lit(1), i), "/"))
-    tops = changed.select(key, F.col("pointer").alias("top"))
-    ways = changed.select(key, "pointer", F.explode(F.filter(above, lambda p: p != F.col("pointer"))).alias("top"))
-    covered = ways.join(tops, [key, "top"]).select(key, "pointer").distinct()
-    return changed.join(covered, [key, "pointer"], "left_anti").select(key, "op", "pointer", F.col("b.value").alias("value"))
+    # below a place that is itself added, removed or replaced nothing need be said: each change
+    # asks the places above it whether they changed, and takes the answers back
+    tokens = F.split("pointer", "/")
+    above = F.filter(F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.array_join(F.slice(tokens, F.lit(1), i), "/")), lambda p: p != F.col("pointer"))
+    asked = F.concat(F.array(F.struct(F.col("pointer").alias("place"), F.lit(True).alias("own"))), F.transform(above, lambda p: F.struct(p.alias("place"), F.lit(False).alias("own"))))
+    asks = changed.select(key, "pointer", "op", F.col("b.value").alias("value"), F.explode(asked).alias("q")).select(key, "pointer", "op", "value", "q.*")
+    told = asks.withColumn("changed", F.max("own").over(Window.partitionBy(key, "place")))
+    out = told.groupBy(key, "pointer").agg(F.max("op").alias("op"), F.max("value").alias("value"), F.bool_or(F.col("changed") & ~F.col("own")).alias("covered"))
+    return out.where(~F.col("covered")).select(key, "op", "pointer", "value")
