@@ -191,7 +191,9 @@ add("coll_take", _C + "SELECT cust, key FROM c WHERE pos < 2", lambda s, sf: C.t
 add("coll_take_right", _C + "SELECT cust, key FROM c WHERE pos < n - 2", lambda s, sf: C.take(_coll(s, sf), 2, right=True, by=_by)[1].select("cust", "key"))
 add("coll_find", _C + "SELECT cust, arg_min(key, pos) AS key FROM c WHERE status = 'O' GROUP BY cust", lambda s, sf: C.find(_coll(s, sf), F.col("status") == "O", by=_by).select("cust", "key"))
 add("coll_reverse", _C + "SELECT cust, key, n - 1 - pos AS pos FROM c", lambda s, sf: C.reverse(_coll(s, sf), by=_by).select("cust", "key", "pos"))
-add("coll_group", "SELECT o_orderstatus AS key, count(*) AS n FROM orders WHERE o_custkey < 50 GROUP BY 1", lambda s, sf: C.group_lists(_coll(s, sf).where("cust < 50"), F.col("status"), "key").select("key", F.size("rows").cast("long").alias("n")))
+_grouped = lambda d: C.group_lists(d, F.col("status"), "key").groupBy("key").agg(F.sum(F.size("rows").cast("long")).alias("n"))
+add("coll_group", "SELECT o_orderstatus AS key, count(*) AS n FROM orders WHERE o_custkey < 50 GROUP BY 1", lambda s, sf: _grouped(_coll(s, sf).where("cust < 50")))
+add("coll_group_all", "SELECT o_orderstatus AS key, count(*) AS n FROM orders GROUP BY 1", lambda s, sf: _grouped(_coll(s, sf)))
 add("coll_has_any", _C + "SELECT cust, bool_or(status = 'P') AS has FROM c GROUP BY cust", lambda s, sf: C.has_any(_coll(s, sf), F.col("status") == "P", _by))
 add("coll_has_all", _C + "SELECT cust, bool_or(status = 'P') AND bool_or(status = 'O') AS has FROM c GROUP BY cust", lambda s, sf: C.has_all(_coll(s, sf), [F.col("status") == "P", F.col("status") == "O"], _by))
 add("coll_cross", "SELECT r_name AS a, n_name AS b FROM region CROSS JOIN nation", lambda s, sf: C.cross(table(s, sf, "region").select(F.col("r_name").alias("a")), table(s, sf, "nation").select(F.col("n_name").alias("b"))))

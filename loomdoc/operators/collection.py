@@ -64,10 +64,19 @@ def give(df: DataFrame, rows: DataFrame, offset: int = 0) -> DataFrame:
     return df.withColumn("pos", F.when(F.col("pos") >= offset, F.col("pos") + n).otherwise(F.col("pos"))).unionByName(rows.withColumn("pos", F.col("pos") + offset))
 
 
-def group_lists(df: DataFrame, key: Column, *cols: str) -> DataFrame:
-    """key and rows: each group's rows in order."""
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("pos", *cols))), lambda r: F.struct(*(r[c].alias(c) for c in cols)))
-    return df.groupBy(key.alias("key")).agg(rows.alias("rows"))
+def group_lists(df: DataFrame, key: Column, *cols: str, size: int = 4096) -> DataFrame:
+    """key, chunk and rows: each group's rows in order, in runs of at most `size` rows.
+
+    A group's runs in the order of chunk make up the group; chunk ascends with it, with gaps. Rows
+    are range-sorted by key, pos and cols, so a large group is dealt over tasks and no list grows with it.
+    """
+    names = [f"_c{i}" for i in range(len(cols))]
+    part = df.select(key.alias("_key"), F.col("pos").alias("_pos"), *(F.col(c).alias(n) for c, n in zip(cols, names, strict=True))).sort("_key", "_pos", *names)
+    part = part.withColumn("_i", F.monotonically_increasing_id())
+    # the partition in the high bits, as in _i, and the run within it
+    chunk = F.shiftleft(F.shiftright("_i", 33), 33) + F.floor(F.col("_i").bitwiseAND((1 << 33) - 1) / size)
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("_i", *names))), lambda r: F.struct(*(r[n].alias(c) for c, n in zip(cols, names, strict=True))))
+    return part.groupBy(F.col("_key").alias("key"), chunk.alias("chunk")).agg(rows.alias("rows"))
 
 
 def has_any(df: DataFrame, test: Column, by: tuple[str, ...]) -> DataFrame:

@@ -191,3 +191,13 @@ def test_stream_equals_batch(spark, tmp_path):
     q = subscriptions.attach(on, lambda b: seen.extend(r.seq for r in b.collect()), str(tmp_path / "ck"), before=lambda b: b.where("seq > 3"))
     q.awaitTermination(120)
     assert sorted(seen) == [i for i in range(4, 30) if i % 3 == 1]
+
+
+def test_group_lists_are_bounded_and_whole(spark):
+    rows = [(i, i % 7, "hot" if i % 10 else None) for i in range(9000)]
+    df = spark.createDataFrame(rows, "id int, pos int, g string").repartition(5)
+    got = collection.group_lists(df, F.col("g"), "id", size=64).collect()
+    assert max(len(r.rows) for r in got) <= 64
+    for g in ("hot", None):
+        ids = [x.id for r in sorted((r for r in got if r.key == g), key=lambda r: r.chunk) for x in r.rows]
+        assert ids == [i for i, _, _ in sorted((r for r in rows if r[2] == g), key=lambda r: (r[1], r[0]))]
