@@ -1,15 +1,16 @@
 """PII by information-theoretic sanitisation.
 
-Patterns find the base entities: email, ip, card and phone. Terms beside an entity may
-reveal it. Over the corpus, for an entity e (a value such as one address, and a kind such as
-email) and a term t: p(e) from the distinct contexts of e, p(t) from the documents that hold
-t, p(e, t) from the distinct contexts of e that hold t. t discloses e if their pointwise
-mutual information is at least `alpha` of all the information that e has:
+Patterns find the base entities: email, ip, card and phone. Terms of a document that holds an
+entity may reveal it. Over the distinct texts of the corpus, for an entity e (a value such as
+one address, and a kind such as email) and a term t anywhere in the text: p(e) from the texts
+that hold e, p(t) from those that hold t, p(e, t) from those that hold both. t discloses e if
+their pointwise mutual information is at least `alpha` of all the information that e has:
 
     log2 p(e, t) / (p(e) p(t))  >=  alpha * -log2 p(e)
 
-Such terms become spans beside that entity, to be removed with it. A context is an entity's
-window of words; copies of a passage are one context, so they prove nothing by themselves.
+Such terms become spans wherever they stand in a document that holds the entity, to be removed
+with it. A context is the few words around an entity; a pair must be seen in several, so that
+copies of one passage prove nothing by themselves.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import str_texts, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity that are its context.
+#: Words on either side of an entity that tell its contexts apart; terms come from the whole text.
 WINDOW = 4
-#: Candidate terms that may be sent to every task; beyond it the counts are joined instead.
+#: Candidate terms (or keys) that may be sent to every task; beyond it they are joined instead.
 SENT_TERMS = 200_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -91,12 +92,16 @@ def term_of(word: str) -> str:
     return word.strip(_EDGE).lower()
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """For each entity its kind, the hash of its value and of its context, and the terms near it."""
+def contexts(text: str, spans: list[tuple[int, int, int]], support: int) -> tuple[list[dict], list[dict]]:
+    """The keys of a text, each with the hashes of its contexts, and the terms with their places.
+
+    A key is a kind (level 0) or a value (level 1). It needs `support` contexts over all texts, so
+    the least `support` hashes of one text decide that as well as all of them.
+    """
     import xxhash
 
     if not spans:
-        return []
+        return [], []
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     starts, ends = [s for s, _ in words], [e for _, e in words]
     taken = set()
@@ -105,38 +110,44 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         first, last = bisect_left(ends, s + 1), bisect_left(starts, e)
         ranges.append((first, last))
         taken.update(range(first, last))
-    out = []
+    terms = ["" if i in taken else term_of(text[s:e]) for i, (s, e) in enumerate(words)]
+    keys: dict[tuple[int, int], set[int]] = {}
     for (s, k, e), (first, last) in zip(spans, ranges, strict=True):
-        near = [i for i in (*range(max(0, first - WINDOW), first), *range(last, min(len(words), last + WINDOW))) if i not in taken]
-        terms = []
-        for i in near:
-            word = text[starts[i] : ends[i]]
-            if term := term_of(word):
-                left = starts[i] + len(word) - len(word.lstrip(_EDGE))
-                terms.append({"term": term, "start": left, "end": left + len(word.strip(_EDGE))})
-        context = " ".join(t["term"] for t in terms)
-        out.append({"kind": k, "value": xxhash.xxh64_intdigest(text[s:e].lower()) >> 1, "context": xxhash.xxh64_intdigest(context) >> 1, "terms": terms})
-    return out
-
-
-_ROW = "row long, doc_id long, base array<struct<start:int,kind:int,end:int>>, near array<struct<kind:int,value:long,context:long,terms:array<struct<term:string,start:int,end:int>>>>"
-
-
-def _scan(batches):
-    import pyarrow as pa
-    from pyspark import TaskContext
-
-    i32, i64 = pa.int32(), pa.int64()
-    base_t = pa.list_(pa.struct([("start", i32), ("kind", i32), ("end", i32)]))
-    near_t = pa.list_(pa.struct([("kind", i32), ("value", i64), ("context", i64), ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", i32), ("end", i32)])))]))
-    row = TaskContext.get().partitionId() << 36
-    for batch in batches:
-        texts = str_texts(batch.column(1))
-        spans = [base_spans(t) for t in texts]
-        near = [contexts(t, s) for t, s in zip(texts, spans, strict=True)]
-        base = [[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in spans]
-        yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(texts)), i64), batch.column(0), pa.array(base, base_t), pa.array(near, near_t)], ["row", "doc_id", "base", "near"])
-        row += len(texts)
+        near = " ".join(filter(None, (*terms[max(0, first - WINDOW) : first], *terms[last : last + WINDOW])))
+        context = xxhash.xxh64_intdigest(near) >> 1
+        for key in ((0, k), (1, xxhash.xxh64_intdigest(f"{k} {text[s:e].lower()}") >> 1)):
+            keys.setdefault(key, set()).add(context)
+    places: dict[str, list[dict]] = {}
+    for term, s, e in zip(terms, starts, ends, strict=True):
+        if term:
+            word = text[s:e]
+            left = s + len(word) - len(word.lstrip(_EDGE))
+            places.setdefault(term, []).append({"start": left, "end": left + len(word.strip(_EDGE))})
+    return [{"level": a, "name": b, "contexts": sorted(c)[:support]} for (a, b), c in keys.items()], [{"term": t, "at": at} for t, at in places.items()]
+
+
+_ROW = "row long, doc_id long, unit long, base array<struct<start:int,kind:int,end:int>>, keys array<struct<level:int,name:long,contexts:array<long>>>, words array<struct<term:string,at:array<struct<start:int,end:int>>>>"
+
+
+def _scan(support):
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        i32, i64 = pa.int32(), pa.int64()
+        base_t = pa.list_(pa.struct([("start", i32), ("kind", i32), ("end", i32)]))
+        keys_t = pa.list_(pa.struct([("level", i32), ("name", i64), ("contexts", pa.list_(i64))]))
+        words_t = pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.struct([("start", i32), ("end", i32)])))]))
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            texts = str_texts(batch.column(1))
+            spans = [base_spans(t) for t in texts]
+            both = [contexts(t, s, support) for t, s in zip(texts, spans, strict=True)]
+            base = [[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(texts)), i64), batch.column(0), batch.column(2), pa.array(base, base_t), pa.array([x for x, _ in both], keys_t), pa.array([x for _, x in both], words_t)], ["row", "doc_id", "unit", "base", "keys", "words"])
+            row += len(texts)
+
+    return run
 
 
 def _frequencies(wanted):
@@ -155,6 +166,11 @@ def _frequencies(wanted):
     return run
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """df, to be sent to every task if it is small."""
+    return F.broadcast(df) if df.count() <= SENT_TERMS else df
+
+
 def find_spans(docs: DataFrame, alpha: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id and spans, an array of (start, kind, end) sorted by start, kind.
 
@@ -163,22 +179,32 @@ def find_spans(docs: DataFrame, alpha: float = 0.9, support: int = 3, id_col: st
     Ids may be null or repeat. An empty input gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = written(texts.mapInArrow(_scan, _ROW), "entities")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("unit"))
+    scanned = written(texts.mapInArrow(_scan(support), _ROW), "entities")
     n = scanned.count()
-    entity = scanned.select("row", F.explode("near").alias("e"))
-    keys = F.array(F.struct(F.lit("kind").alias("level"), F.col("e.kind").cast("long").alias("name")), F.struct(F.lit("value").alias("level"), F.col("e.value").alias("name")))
-    keyed = entity.select("row", F.explode(keys).alias("key"), "e").select("row", "key.level", "key.name", "e.context", "e.terms")
-    by_key = keyed.groupBy("level", "name").agg(F.countDistinct("context").alias("c_key"))
-    beside = keyed.select("row", "level", "name", "context", F.explode("terms").alias("t")).select("row", "level", "name", "context", "t.*")
-    pairs = written(beside.groupBy("level", "name", "term").agg(F.countDistinct("context").alias("c_pair")).where(F.col("c_pair") >= support).join(by_key, ["level", "name"]), "pairs")
-    candidates = pairs.select("term").distinct()
+    holding = scanned.where(F.size("keys") > 0)
+    # one row of each text counts; copies are alike in all that is counted
+    one = holding.groupBy("unit").agg(F.min("row").alias("row")).select("row")
+    key = ["level", "name"]
+    keyed = holding.select("row", "keys").join(one, "row").select("row", F.explode("keys").alias("k")).select("row", "k.*")
+    # of a text's contexts the first counts the text
+    counted = lambda df, by, count: df.select(*by, F.posexplode("contexts").alias("i", "context")).groupBy(*by, "context").agg(F.sum((F.col("i") == 0).cast("long")).alias("texts")).groupBy(*by).agg(F.sum("texts").alias(count), F.count("*").alias("seen")).where(F.col("seen") >= support).drop("seen")
+    by_key = _sent(written(counted(keyed, key, "c_key"), "keys"))
+    live = keyed.join(by_key.drop("c_key"), key).groupBy("row").agg(F.collect_list(F.struct(*key, "contexts")).alias("live"))
+    both = holding.select("row", F.col("words.term").alias("terms")).join(live, "row").select(F.explode("live").alias("k"), "terms").select("k.*", F.explode("terms").alias("term"))
+    pairs = written(counted(both, [*key, "term"], "c_pair").join(by_key, key), "pairs")
+    candidates = written(pairs.select("term").distinct(), "candidates")
     wanted = spark.sparkContext.broadcast({r.term for r in candidates.collect()}) if candidates.count() <= SENT_TERMS else None
     df = texts.select("text").mapInArrow(_frequencies(wanted), "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
     information = -F.log2(F.col("c_key") / n)
     mutual = F.log2(F.col("c_pair") * F.lit(float(n)) / (F.col("c_key") * F.col("df")))
-    disclosing = written(pairs.join(df, "term").where(mutual >= alpha * information).select("level", "name", "term"), "disclosing")
-    added = beside.join(disclosing, ["level", "name", "term"]).groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("added"))
+    disclosing = written(pairs.join(df, "term").where(mutual >= alpha * information).select(*key, "term"), "disclosing")
+    # all places of a disclosing term, in every document (copies too) that holds its entity
+    places = holding.select("row", F.explode("words").alias("w")).select("row", "w.*").join(_sent(disclosing.select("term").distinct()), "term")
+    holds = holding.select("row", F.explode("keys").alias("k")).select("row", "k.level", "k.name")
+    marked = places.join(holds, "row").join(_sent(disclosing), [*key, "term"]).select("row", F.explode("at").alias("p")).select("row", "p.*")
+    added = marked.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("added"))
     every = scanned.select("row", "doc_id", "base").join(added, "row", "left")
     return every.select("doc_id", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
 

@@ -190,6 +190,27 @@ def test_pii_discloses(spark):
     assert pii.find_spans(df.where("false")).count() == 0
 
 
+def test_pii_discloses_far_from_the_entity(spark):
+    r = random.Random(3)
+    filler = lambda: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(12))
+    rows = [(i, f"Zorblat {filler()} jo@x.org {filler()} (Zorblat) {filler()}" if i % 10 == 0 else filler()) for i in range(300)]
+    rows += [(1000 + i, f"{filler()} passage of old and mo@y.org Quux beside {filler()}") for i in range(20)]
+    found = {x.doc_id: x.spans for x in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        terms = [text[s.start : s.end] for s in found[i] if s.kind == 4]
+        assert terms.count("Zorblat") == text.count("Zorblat")
+    clean = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not any("Zorblat" in x.text for x in clean)
+
+
+def test_pii_copied_passages_prove_nothing(spark):
+    r = random.Random(5)
+    filler = lambda: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(12))
+    rows = [(i, f"{filler()} this old passage says mo@y.org Quux wrote it all {filler()}" if i % 10 == 0 else filler()) for i in range(300)]
+    found = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not any(s.kind == 4 for x in found for s in x.spans)
+
+
 # op 7
 def brute_targets(sizes):
     """The excess of full sources is shared again by weight until none is above."""
