@@ -28,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 4
 #: Candidate terms (or keys) that may be sent to every task; beyond it they are joined instead.
 SENT_TERMS = 200_000
+#: Texts with copies (a hash and a count each) that may be sent to every task; beyond it texts are shuffled to them.
+SENT_COPIES = 2_000_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -158,17 +160,17 @@ def _frequencies(wanted):
 
         for batch in batches:
             seen: Counter = Counter()
-            for text in str_texts(batch.column(0)):
-                terms = {w.strip(_EDGE) for w in text.lower().split()}
-                seen.update(terms if wanted is None else terms & wanted.value)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "df"])
+            for text, copies in zip(str_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                terms = {term_of(w) for w in set(_WORD.findall(text))}
+                seen.update((t, copies) for t in (terms if wanted is None else terms & wanted.value))
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["term", "copies", "df"])
 
     return run
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    """df, to be sent to every task if it is small."""
-    return F.broadcast(df) if df.count() <= SENT_TERMS else df
+def _sent(df: DataFrame, most: int) -> DataFrame:
+    """df, to be sent to every task if it has at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def find_spans(docs: DataFrame, alpha: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,7 +184,8 @@ def find_spans(docs: DataFrame, alpha: float = 0.9, support: int = 3, id_col: st
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("unit"))
     scanned = written(texts.mapInArrow(_scan(support), _ROW), "entities")
-    n = scanned.count()
+    sizes = written(scanned.groupBy("unit").agg(F.count("*").alias("copies")), "sizes")
+    n = sizes.count()
     holding = scanned.where(F.size("keys") > 0)
     # one row of each text counts; copies are alike in all that is counted
     one = holding.groupBy("unit").agg(F.min("row").alias("row")).select("row")
@@ -190,20 +193,23 @@ def find_spans(docs: DataFrame, alpha: float = 0.9, support: int = 3, id_col: st
     keyed = holding.select("row", "keys").join(one, "row").select("row", F.explode("keys").alias("k")).select("row", "k.*")
     # of a text's contexts the first counts the text
     counted = lambda df, by, count: df.select(*by, F.posexplode("contexts").alias("i", "context")).groupBy(*by, "context").agg(F.sum((F.col("i") == 0).cast("long")).alias("texts")).groupBy(*by).agg(F.sum("texts").alias(count), F.count("*").alias("seen")).where(F.col("seen") >= support).drop("seen")
-    by_key = _sent(written(counted(keyed, key, "c_key"), "keys"))
+    by_key = _sent(written(counted(keyed, key, "c_key"), "keys"), SENT_TERMS)
     live = keyed.join(by_key.drop("c_key"), key).groupBy("row").agg(F.collect_list(F.struct(*key, "contexts")).alias("live"))
     both = holding.select("row", F.col("words.term").alias("terms")).join(live, "row").select(F.explode("live").alias("k"), "terms").select("k.*", F.explode("terms").alias("term"))
     pairs = written(counted(both, [*key, "term"], "c_pair").join(by_key, key), "pairs")
     candidates = written(pairs.select("term").distinct(), "candidates")
     wanted = spark.sparkContext.broadcast({r.term for r in candidates.collect()}) if candidates.count() <= SENT_TERMS else None
-    df = texts.select("text").mapInArrow(_frequencies(wanted), "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    # c copies of a text count 1/c each; the sum for each c is a whole number of texts
+    copied = _sent(sizes.where("copies > 1"), SENT_COPIES)
+    weighed = texts.join(copied, "unit", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    df = weighed.mapInArrow(_frequencies(wanted), "term string, copies long, df long").groupBy("term", "copies").agg((F.sum("df") / F.col("copies")).alias("df")).groupBy("term").agg(F.sum("df").alias("df"))
     information = -F.log2(F.col("c_key") / n)
     mutual = F.log2(F.col("c_pair") * F.lit(float(n)) / (F.col("c_key") * F.col("df")))
     disclosing = written(pairs.join(df, "term").where(mutual >= alpha * information).select(*key, "term"), "disclosing")
     # all places of a disclosing term, in every document (copies too) that holds its entity
-    places = holding.select("row", F.explode("words").alias("w")).select("row", "w.*").join(_sent(disclosing.select("term").distinct()), "term")
+    places = holding.select("row", F.explode("words").alias("w")).select("row", "w.*").join(_sent(disclosing.select("term").distinct(), SENT_TERMS), "term")
     holds = holding.select("row", F.explode("keys").alias("k")).select("row", "k.level", "k.name")
-    marked = places.join(holds, "row").join(_sent(disclosing), [*key, "term"]).select("row", F.explode("at").alias("p")).select("row", "p.*")
+    marked = places.join(holds, "row").join(_sent(disclosing, SENT_TERMS), [*key, "term"]).select("row", F.explode("at").alias("p")).select("row", "p.*")
     added = marked.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("added"))
     every = scanned.select("row", "doc_id", "base").join(added, "row", "left")
     return every.select("doc_id", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))

@@ -211,6 +211,21 @@ def test_pii_copied_passages_prove_nothing(spark):
     assert not any(s.kind == 4 for x in found for s in x.spans)
 
 
+def test_pii_copies_hide_nothing(spark, monkeypatch):
+    r = random.Random(6)
+    filler = lambda: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(12))
+    rows = [(i, f"{filler()} Dupont\u00a0: jo@x.org {filler()}" if i % 60 == 0 else filler()) for i in range(300)]
+    rows += [(1000, "a letter by Dupont\u00a0: without an address")]
+    rows += [(2000 + i, rows[-1][1]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(pii, "SENT_TERMS", 0)
+            monkeypatch.setattr(pii, "SENT_COPIES", 0)
+        terms = {(x.doc_id, s.start) for x in pii.find_spans(df).collect() for s in x.spans if s.kind == 4}
+        assert terms == {(i, t.index("Dupont")) for i, t in rows[:300] if "Dupont" in t}
+
+
 # op 7
 def brute_targets(sizes):
     """The excess of full sources is shared again by weight until none is above."""
