@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import cache
 from html.parser import HTMLParser
 
@@ -23,30 +23,44 @@ from pyspark.sql import functions as F
 
 from .common import str_texts, table
 
-#: Fixed values of HTML: elements without an end tag, elements that run inside a block, and elements whose text is never shown as text.
+#: Fixed values of HTML: elements without an end tag, elements that begin and end a block of text, and elements whose text is never shown as text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 HIDDEN = frozenset("head script style noscript template title svg math iframe object canvas audio video select option textarea button datalist".split())
 #: Which open elements a start tag ends: paragraphs end at any block, list items and cells at their own kind.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: A page is taken to have some content: if none is found, the prior is raised by these steps.
 LIFTS = (0.0, 0.5, 1.0, 2.0, 3.0)
 #: Elements at which the search for an open element to end stops.
 FENCES = frozenset("html body article section main div table ul ol dl nav aside header footer form td th".split())
+#: Text right below one of these gets an anonymous block of its own.
+ROOTS = frozenset(("#root", "html", "body"))
 
 
 class Page(HTMLParser):
-    """The tree of a page: for each node its parent, tag, words of class and id; and its text blocks."""
+    """The tree of a page: for each node its parent, tag, words of class and id; and its text blocks.
+
+    Work is linear in the page: the places of open elements are kept by tag, and what is hidden
+    or linked is known from the element above.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.words = [-1], ["#root"], [()]
         self.own, self.linked = [0], [0]  # characters of text right below a node, and of those linked
-        self.stack, self.blocks, self.open = [0], [], []
+        # the open elements: tag, node, whether hidden, whether linked; what is hidden has no node of its own
+        self.names, self.stack, self.hidden, self.link = ["#root"], [0], [False], [False]
+        self.places: dict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by tag
+        self.fences: list[int] = []
+        self.blocks, self.open = [], []
         self.feed(html)
         self.close()
         self.flush()
 
+    def parse_marked_section(self, i, report=1):
+        """<![...> is a comment in HTML, whatever stands in it."""
+        return self.parse_bogus_comment(i, report)
+
     def flush(self) -> None:
         """Ends a block: its pieces become one line."""
         if self.open:
@@ -55,62 +69,81 @@ class Page(HTMLParser):
                 self.blocks.append((self.open, text))
             self.open = []
 
+    def push(self, tag: str, words: tuple = ()) -> None:
+        hidden = self.hidden[-1] or tag in HIDDEN
+        if not hidden:
+            self.parent.append(self.stack[-1])
+            self.tag.append(tag)
+            self.words.append(words)
+            self.own.append(0)
+            self.linked.append(0)
+        self.places[tag].append(len(self.stack))
+        if tag in FENCES:
+            self.fences.append(len(self.stack))
+        self.names.append(tag)
+        self.stack.append(self.stack[-1] if hidden else len(self.tag) - 1)
+        self.hidden.append(hidden)
+        self.link.append(self.link[-1] or tag == "a")
+
+    def pop_to(self, i: int) -> None:
+        """Ends the open elements from place i of the stack on."""
+        for tag in self.names[i:]:
+            self.places[tag].pop()
+            if tag in FENCES:
+                self.fences.pop()
+        del self.names[i:], self.stack[i:], self.hidden[i:], self.link[i:]
+
+    def last_open(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+    def end_open(self, *tags: str) -> None:
+        i = self.last_open(*tags)
+        if i and i >= (self.fences[-1] if self.fences else 0):
+            self.pop_to(i)
+
     def handle_starttag(self, tag, attrs):
         if tag == "br":
             if self.open:
                 self.open.append((self.stack[-1], " "))
             return
-        block = tag not in INLINE
-        if block:
-            if tag not in VOID or tag == "hr":
-                self.flush()
-                self.end_open({"p"})
-            if tag in ENDS:
-                self.end_open(ENDS[tag])
+        if tag in BLOCK:
+            self.flush()
+            if self.places["#text"]:
+                self.pop_to(self.places["#text"][-1])
+            self.end_open("p")
+        if tag in ENDS:
+            self.end_open(*ENDS[tag])
         if tag in VOID:
             return
+        if tag not in BLOCK and tag not in HIDDEN and self.names[-1] in ROOTS:
+            self.push("#text")
         words = tuple(sorted({w for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z]+", v.lower()) if w}))
         if any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs):
             words = (*words, "#hidden")
-        self.parent.append(self.stack[-1])
-        self.tag.append(tag)
-        self.words.append(words)
-        self.own.append(0)
-        self.linked.append(0)
-        self.stack.append(len(self.tag) - 1)
+        self.push(tag, words)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("svg", "math", "iframe"):
+        if tag in ("svg", "math", "iframe"):
             self.handle_endtag(tag)
 
-    def end_open(self, tags) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.tag[self.stack[i]]
-            if tag in tags:
-                del self.stack[i:]
-                return
-            if tag in FENCES:
-                return
-
     def handle_endtag(self, tag):
-        if tag == "p" or tag not in INLINE:
+        if tag in BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.tag[self.stack[i]] == tag:
-                del self.stack[i:]
-                return
-            if tag in INLINE and self.tag[self.stack[i]] in FENCES:
-                return
+        i = self.last_open(tag)
+        if i and (tag in BLOCK or i >= (self.fences[-1] if self.fences else 0)):
+            self.pop_to(i)
 
     def handle_data(self, text):
-        node = self.stack[-1]
-        if any(self.tag[i] in HIDDEN for i in self.stack):
+        if self.hidden[-1]:
             return
-        self.open.append((node, text))
         n = len(text) - text.count(" ")
+        if self.names[-1] in ROOTS and not text.isspace():
+            self.push("#text")
+        node = self.stack[-1]
+        self.open.append((node, text))
         self.own[node] += n
-        if any(self.tag[i] == "a" for i in self.stack):
+        if self.link[-1]:
             self.linked[node] += n
 
     def features(self) -> list[tuple]:
@@ -220,6 +253,7 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, str]]:
         lambda: f"<p>{said(1, 90)}</p>", lambda: f"<p>{said(1, 90)}</p>", lambda: f"<p>{said(1, 90)}</p>", lambda: f"<p><b>{said(2, 30)}<br>", lambda: f"<p>{said(3, 60)}", lambda: f"<h2>{said(1, 6)}</h2>", lambda: f"<h3>{said(1, 4)}</h3>",
         lambda: "<ul>" + "".join(f"<li>{said(1, 15)}</li>" for _ in range(r.randint(1, 5))) + "</ul>", lambda: f"<blockquote><p>{said(3, 40)}</p></blockquote>", lambda: f"<pre><code>{said(1, 20)}</code></pre>",
         lambda: f'<table><tr><td>{said(1, 4)}</td><td>{said(1, 4)}</td></tr></table>', lambda: f'<p>{said(4, 40)} <a href="/x">{words(1, 3)}</a> <em>{words(1, 4)}</em></p>', lambda: f"<figure><img src=x><figcaption>{said(2, 12)}</figcaption></figure>", lambda: f"<div>{said(3, 60)}</div>",
+        lambda: f"<p>{said(3, 40)} <svg><path d=x /></svg> {words(2, 9)}<script>x()</script> {words(1, 9)}.</p>", lambda: f"<div>{said(3, 50)}<br><br>{words(5, 30)}<br>{words(3, 20)}.</div>", lambda: f"<section><h2>{said(1, 5)}</h2><p>{said(3, 60)}</p></section>",
     )
     intruders = (
         lambda: f'<div class="ad">{words(3, 40)}.</div>', lambda: f'<aside class="related"><h4>{words(1, 3)}</h4><ul>{links(2, 5)}</ul></aside>', lambda: f'<div class="share"><a href="/s">{words(1, 2)}</a></div>', lambda: f'<div class="advert promo"><p>{words(5, 30)}</p></div>', lambda: f'<form><p>{words(2, 8)}</p><input></form>',
@@ -234,11 +268,17 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, str]]:
         lambda: f"<footer>&copy; {words(1, 4)} &middot; {words(4, 40)}.</footer>", lambda: f'<footer class="site-footer"><p>{words(4, 40)}.</p><ul>{links(1, 5)}</ul></footer>', lambda: f'<div id="footer" class="copyright">{words(4, 40)}.</div>', lambda: f'<div class="tags">{words(1, 4)} <a href="/t">{words(1, 1)}</a></div>',
     )
     wraps = (
-        ("<article>", "</article>"), ("<article>", "</article>"), ('<main><article class="post">', "</article></main>"), ("<main>", "</main>"), ('<div id="content">', "</div>"), ('<div class="post-body entry-content">', "</div>"), ('<section class="article-body">', "</section>"), ('<div class="main content"><div class="story text">', "</div></div>"), ('<div role="main">', "</div>"),
+        ("<article>", "</article>"), ("<article>", "</article>"), ('<main><article class="post">', "</article></main>"), ("<main>", "</main>"), ('<div id="content">', "</div>"), ('<div class="post-body entry-content">', "</div>"), ('<section class="article-body">', "</section>"), ('<div class="main content"><div class="story text">', "</div></div>"), ('<div role="main">', "</div>"), ("<div>", "</div>"), ("", ""), ("", ""), ('<table class="layout"><tr><td>', "</td></tr></table>"),
     )
     pages = []
     for _ in range(n):
         left, right = r.choice(wraps)
+        if left in ("", "<div>") and r.random() < 0.5:  # text without an element of its own
+            loose = "<br>".join(said(2, 60) for _ in range(r.randint(1, 5)))
+            if r.random() < 0.3:
+                pages.append((loose if r.random() < 0.5 else f"<html><body>{loose}</body></html>", "Zq"))
+                continue
+            left, right = left + loose, (f"<b>{said(1, 4)}</b> {words(2, 9)}" if r.random() < 0.3 else "") + right
         body = [f"<h1>{said(1, 8)}</h1>"] * r.randint(0, 1) + [r.choice(inner)() for _ in range(r.randint(1, 9))]
         if r.random() < 0.4:
             body.insert(r.randint(0, len(body)), r.choice(intruders)())
@@ -257,7 +297,9 @@ def default_model() -> Model:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with a column main_text (replaced if there is one): the main text of each page.
 
-    A null or empty page, or one without text, gives an empty text. References are decoded,
+    A null or empty page, or one without text, gives an empty text. Malformed markup is read as
+    browsers read it: unknown declarations are comments, open elements end with the page, stray
+    end tags mean nothing. No page stops the job. References are decoded,
     white space in a block becomes one space, blocks are joined by an empty line in page
     order. Rows may repeat. An empty input gives no rows; other columns pass through.
     """
