@@ -1,13 +1,16 @@
 """Exact dedup by a Golomb-coded fingerprint exchange.
 
-1. Each input partition cuts its rows into blocks, folds equal texts of a block into one
-   row and writes them to a table that is bucketed by block. With it go, for each owner
-   of a range of hashes, the block's sorted 64-bit hashes as Golomb-Rice coded gaps.
-2. Owners decode the hashes of all blocks and answer each block with a bitmap: which of
-   its hashes are held more than once, in the block itself or elsewhere.
+1. Each input partition cuts its rows into blocks of about block_bytes of text, folds equal
+   texts of a block into one row and writes them to a table that is bucketed by block. With
+   it go, for each owner of a range of fingerprints, the block's sorted fingerprints as
+   Golomb-Rice coded gaps. Fingerprints have SPARE bits more than the rows need to be told
+   apart, so a gap costs about SPARE + 2 + log2(blocks) bits and one text in 2**SPARE is
+   suspected in vain.
+2. Owners decode the fingerprints of all blocks and answer each block with a bitmap: which of
+   its fingerprints are held more than once, in the block itself or elsewhere.
 3. The bitmaps return to the blocks (the table is bucketed by block, so no text moves).
    Only suspects are shuffled, and verified by grouping on their bytes; texts that only
-   share a hash fall apart again there.
+   share a fingerprint fall apart again there.
 
 A hot text costs one row a block, not one a copy, in every shuffle.
 """
@@ -15,60 +18,71 @@ A hot text costs one row a block, not one a copy, in every shuffle.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, parts, table, written
+from .common import bucketed, byte_texts, parts, table, written
 
-#: Rows that one Arrow batch, and so one block, holds at most.
-BLOCK_ROWS = 10_000
+#: Bytes of text that a block holds, but for its last batch; a task holds one block.
+BLOCK_BYTES = 32 << 20
+#: Rows that a bucket of blocks holds about; Spark allows 100,000 buckets.
+BUCKET_ROWS = 100_000
+#: Bits of a fingerprint beyond those that number the rows.
+SPARE = 8
 _BLOCKS = "block long, owner int, rank int, text_sha256 string, body binary, ids array<long>, nulls int, coded binary"
 
 
 def golomb_encode(values: np.ndarray, k: int) -> bytes:
-    """Golomb-Rice code with parameter 2**k of the gaps of sorted, distinct uint64 values.
+    """Golomb-Rice code with parameter 2**k of sorted, distinct uint64 values.
 
-    Layout: count (4 bytes), k (1 byte), the first value (8 bytes), then each further gap
-    less one as a unary quotient ended by a 0 bit and k bits of remainder.
+    Layout: count (4 bytes), k (1 byte), then each gap less one (of the first value: the value
+    itself) as a unary quotient ended by a 0 bit and k bits of remainder, lowest first.
     """
     head = len(values).to_bytes(4, "little") + bytes([k])
     if not len(values):
         return head
-    gaps = np.diff(values) - np.uint64(1)
+    gaps = np.concatenate([values[:1], np.diff(values) - np.uint64(1)])
     quotient = (gaps >> np.uint64(k)).astype(np.int64)
     ends = np.cumsum(quotient + 1 + k)
-    bits = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     starts = ends - (quotient + 1 + k)
-    if len(ends):
-        total = int(quotient.sum())  # the ones of all unary parts
-        within = np.arange(total) - np.repeat(np.cumsum(quotient) - quotient, quotient)
-        bits[np.repeat(starts, quotient) + within] = 1
-        for b in range(k):
-            bits[starts + quotient + 1 + b] = ((gaps >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)
-    return head + int(values[0]).to_bytes(8, "little") + np.packbits(bits).tobytes()
+    bits = np.zeros(int(ends[-1]), np.uint8)
+    within = np.arange(int(quotient.sum())) - np.repeat(np.cumsum(quotient) - quotient, quotient)
+    bits[np.repeat(starts, quotient) + within] = 1
+    for b in range(k):
+        bits[starts + quotient + 1 + b] = ((gaps >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)
+    return head + np.packbits(bits).tobytes()
 
 
 def golomb_decode(coded: bytes) -> np.ndarray:
+    """The values of golomb_encode.
+
+    Each code starts k bits after the zero that ends the unary part before it, so the starts
+    follow from a jump table over the zeros. The table is applied to itself until it spans the
+    whole row of codes: every doubling fills in twice as many starts at once.
+    """
     n, k = int.from_bytes(coded[:4], "little"), coded[4]
     if n == 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    out[0] = int.from_bytes(coded[5:13], "little")
-    bits = np.unpackbits(np.frombuffer(coded, np.uint8, offset=13))
+    bits = np.unpackbits(np.frombuffer(coded, np.uint8, offset=5))
     zeros = np.flatnonzero(bits == 0)
-    weights = np.uint64(1) << np.arange(k, dtype=np.uint64)
-    at, gaps = 0, np.zeros(n - 1, np.uint64)
-    spots = np.searchsorted  # the zero that ends a unary part is the first at or after its start
-    for i in range(n - 1):
-        end = int(zeros[spots(zeros, at)])
-        low = (bits[end + 1 : end + 1 + k].astype(np.uint64) * weights).sum() if k else 0
-        gaps[i] = (np.uint64(end - at) << np.uint64(k)) + np.uint64(low)
-        at = end + 1 + k
-    out[1:] = out[0] + np.cumsum(gaps + np.uint64(1))
-    return out
+    # from the zero that ends one unary part to the zero that ends the next, as numbers into zeros
+    jump = np.minimum(np.searchsorted(zeros, zeros + k + 1), len(zeros) - 1)
+    at, known = np.zeros(n, np.int64), 1
+    while known < n:
+        more = min(known, n - known)
+        at[known : known + more] = jump[at[:more]]
+        known += more
+        if known < n:
+            jump = jump[jump]
+    ends = zeros[at]
+    starts = np.concatenate([[0], ends[:-1] + 1 + k])
+    gaps = (ends - starts).astype(np.uint64) << np.uint64(k)
+    for b in range(k):
+        gaps |= bits[ends + 1 + b].astype(np.uint64) << np.uint64(b)
+    gaps[1:] += np.uint64(1)
+    return np.cumsum(gaps, dtype=np.uint64)
 
 
 def rice_parameter(n: int, span: int) -> int:
@@ -76,52 +90,62 @@ def rice_parameter(n: int, span: int) -> int:
     return max(0, int(span * 0.69 / max(n, 1)).bit_length() - 1)
 
 
-def _blocks(owners: int):
-    span = (1 << 64) // owners + 1
-
+def _block(rows: dict[bytes, list], block: int, owners: int, bits: int):
+    """The rows of one block: folded texts, the first of each owner with the owner's coded message."""
+    import pyarrow as pa
+    import xxhash
+
+    span = (1 << bits) // owners + 1
+    bodies = list(rows)
+    prints = np.array([xxhash.xxh64_intdigest(b) >> (64 - bits) for b in bodies], np.uint64)
+    order = np.argsort(prints, kind="stable")
+    prints, bodies = prints[order], [bodies[i] for i in order]
+    size = np.array([len(rows[b]) for b in bodies], np.int64)
+    fresh = np.concatenate([[True], prints[1:] != prints[:-1]])  # the first row of each distinct fingerprint
+    distinct, number = prints[fresh], np.cumsum(fresh) - 1
+    twice = np.bincount(number, size) > 1  # whether the block itself holds a fingerprint twice
+    bounds = np.searchsorted(distinct, np.arange(owners, dtype=np.uint64) * np.uint64(span))
+    whose = np.searchsorted(bounds, np.arange(len(distinct)), side="right") - 1
+    first_row = np.flatnonzero(fresh)
+    coded: list[bytes | None] = [None] * len(bodies)
+    for owner in np.unique(whose):
+        lo, hi = int(bounds[owner]), int(bounds[owner + 1]) if owner + 1 < owners else len(distinct)
+        code = golomb_encode(distinct[lo:hi] - np.uint64(int(owner) * span), rice_parameter(hi - lo, span))
+        coded[first_row[lo]] = len(code).to_bytes(4, "little") + code + np.packbits(twice[lo:hi]).tobytes()
+    ids = [[x for x in rows[b] if x is not None] for b in bodies]
+    owner = whose[number]
+    columns = [
+        pa.array(np.full(len(bodies), block)), pa.array(owner.astype(np.int32)), pa.array((number - bounds[owner]).astype(np.int32)),
+        pa.array([hashlib.sha256(b).hexdigest() for b in bodies], pa.string()), pa.array(bodies, pa.binary()), pa.array(ids, pa.list_(pa.int64())),
+        pa.array((size - np.array([len(x) for x in ids])).astype(np.int32)), pa.array(coded, pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _BLOCKS.split(", ")])
+
+
+def _blocks(owners: int, bits: int, block_bytes: int):
     def cut(batches):
-        import pyarrow as pa
-        import xxhash
         from pyspark import TaskContext
 
-        task, number = TaskContext.get().partitionId(), 0
+        block, rows, held = TaskContext.get().partitionId() << 32, {}, 0
         for batch in batches:
-            rows: dict[bytes, list] = {}
             for doc_id, body in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
-                rows.setdefault(body.lower(), []).append(doc_id)
-            bodies = list(rows)
-            hashes = np.array([xxhash.xxh64_intdigest(b) for b in bodies], np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            hashes = hashes[order]
-            whose = [int(h) // span for h in hashes]
-            block, number = (task << 32) + number, number + 1
-            fresh = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
-            out, rank, last = [], 0, -1
-            for i, j in enumerate(order):
-                rank = 0 if whose[i] != last else rank + int(fresh[i])
-                coded = None
-                if whose[i] != last:
-                    last = whose[i]
-                    mine = np.array([w == last for w in whose])
-                    distinct, counts = np.unique(hashes[mine], return_counts=True)
-                    # one bit for each hash: whether the block itself holds it twice
-                    many = {int(h): len(rows[bodies[o]]) for h, o in zip(hashes[mine], order[mine], strict=True)}
-                    twice = (counts > 1) | np.array([many[int(h)] > 1 for h in distinct])
-                    code = golomb_encode(distinct, rice_parameter(len(distinct), span))
-                    coded = len(code).to_bytes(4, "little") + code + np.packbits(twice).tobytes()
-                ids = rows[bodies[j]]
-                known = [x for x in ids if x is not None]
-                out.append((block, last, rank, hashlib.sha256(bodies[j]).hexdigest(), bodies[j], known, len(ids) - len(known), coded))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
-            names = [x.split()[0] for x in _BLOCKS.split(", ")]
-            columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                body = body.lower()
+                if body not in rows:
+                    rows[body] = []
+                    held += len(body)
+                rows[body].append(doc_id)
+                held += 8
+                if held >= block_bytes:
+                    yield _block(rows, block, owners, bits)
+                    block, rows, held = block + 1, {}, 0
+        if rows:
+            yield _block(rows, block, owners, bits)
 
     return cut
 
 
 def _answers(sent):
-    """Of one owner: for each block the bitmap of its hashes that are held twice or more."""
+    """Of one owner: for each block the bitmap of its fingerprints that are held twice or more."""
     import pandas as pd
 
     codes = [bytes(x) for x in sent.coded]
@@ -133,7 +157,7 @@ def _answers(sent):
     return pd.DataFrame({"block": sent.block, "owner": sent.owner, "bitmap": answers})
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_rows: int = 500_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_rows: int = 4_000_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z only; a null text is an empty
@@ -143,11 +167,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    owners = max(parts(spark), rows.count() // owner_rows + 1)
-    name = f"loomdoc_blocks_{uuid.uuid4().hex}"
-    buckets = max(parts(spark), 8)
-    (rows.mapInArrow(_blocks(owners), _BLOCKS).write.format("parquet").option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name))
-    blocks = spark.table(name)
+    n = rows.count()
+    owners, bits = max(parts(spark), n // owner_rows + 1), min(60, n.bit_length() + SPARE)
+    buckets = min(max(parts(spark), n // BUCKET_ROWS, 8), 100_000)
+    blocks = bucketed(rows.mapInArrow(_blocks(owners, bits, block_bytes), _BLOCKS), "block", buckets, "blocks")
     bitmaps = blocks.where("coded IS NOT NULL").select("block", "owner", "coded").groupBy("owner").applyInPandas(_answers, "block long, owner int, bitmap binary")
     # one row for each block, so that the text side is joined in place on its bucket column alone
     bitmaps = written(bitmaps.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("owner", F.hex("bitmap").alias("bitmap")))).alias("bitmaps")), "bitmaps")
