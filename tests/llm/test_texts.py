@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomdoc.llm import html, mixing, pieces, pii, quality, sharding, token_counts, toxicity
 
@@ -59,12 +60,34 @@ def html_text(s):
 
 
 def test_html_edges(spark):
-    df = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "<p>" * 3000 + "deep &amp; down", 9), (4, "no markup", 9), (1, None, 9)], "page_id long, html string, main_text int")
-    got = [(r.page_id, r.main_text) for r in html.extract(df).collect()]
-    assert sorted(x for x in got if x[0] < 3) == [(1, ""), (1, ""), (2, "")]
+    pages = {
+        1: (None, ""), 2: ("", ""), 3: ("<p>" * 3000 + "deep &amp; down", "deep & down"), 4: ("no markup", "no markup"), 5: ("<body>text</body>", "text"), 6: ("<body>text<br><br>text</body>", "text text"),
+        7: ("<p>a b c d <![foo[bar]]> e</p>", "a b c d e"), 8: ("<![ bad ]>text here", "text here"), 9: ("<![0]>some", "some"), 10: ("<p>one <svg><path/></svg> two <script>x</script> three <button>go</button> four</p>", "one two three four"),
+        11: ("<nav><ul><li><a href=/>Home</a></li></ul></nav>", ""), 12: ("<body><nav><a href=/>Home</a></nav>The text of this page is right here, and long.<footer>(c) all</footer>", "The text of this page is right here, and long."),
+    }
+    df = spark.createDataFrame([(i, h, 9) for i, (h, _) in pages.items()] + [(1, None, 9)], "page_id long, html string, main_text int")
+    got = html.extract(df).collect()
+    assert len(got) == len(pages) + 1
+    for r in got:
+        assert r.main_text == pages[r.page_id][1], r.page_id
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_html_reads_anything_in_linear_time():
+    import time
+
+    r = random.Random(1)
+    bits = ["<", "![", "<![", "[", "]]>", ">", "<!", "--", "</", "p", "div", "<p>", "<div class='a'>", 'a="', "&amp", "&#x", "&#99999999;", "<script>", "</script>", "text ", "'", "/>", "<svg", "<!DOCTYPE", "\x00", "<?", "CDATA[", "<title>", "\u00e9"]
+    for _ in range(5000):
+        html.Page("".join(r.choice(bits) for _ in range(r.randint(1, 14))))
+    took = []
+    for n in (5000, 20000):
+        began = time.process_time()
+        html.Page("<div>" * n + "<p>text</p>" * n + "</b></p>" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
+
+
 # op 3
 def test_token_counts(spark):
     import base64
@@ -326,5 +349,26 @@ def test_sharding(spark, docs, rows):
 def test_sharding_edges(odd, empty, tmp_path, spark, docs):
     assert sharding.external_shuffle(odd).count() == 6
     assert sharding.external_shuffle(empty).count() == 0
-    sharding.write_shards(docs, str(tmp_path / "out"), shards=4)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=4, bucket_bytes=20000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == docs.count()
+    for x in (tmp_path / "out").glob("shard=*/*.parquet"):
+        slots = [r.slot for r in spark.read.parquet(str(x)).collect()]
+        assert slots == sorted(slots)
+
+
+@pytest.mark.parametrize("ids", ["null", "own"])
+def test_sharding_spreads_hot_rows(spark, ids):
+    """A third of all rows are the same row, or share their id: no bucket grows with them, and reruns agree."""
+    hot = [(None if ids == "null" else 7, "same text " * 20 if i % 2 else f"text {i} " * 20, i % 2, None) for i in range(600)]
+    rows = hot + [(1000 + i, f"other {i} " * 20, 5, "x" * 100000 if i == 3 else None) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket int, place string")
+    out = sharding.external_shuffle(df, shards=8, bucket_bytes=10000, text_col="text")
+    got = sorted(map(str, out.collect()))
+    assert sorted(map(str, out.drop("shard", "slot").collect())) == sorted(map(str, df.collect()))
+    assert got == sorted(map(str, sharding.external_shuffle(df.repartition(7), shards=8, bucket_bytes=10000).collect()))
+    weight = F.octet_length("text") + F.lit(16)
+    sizes = sharding._scattered(df, 32, 11, 10000, weight).groupBy("_bucket").agg(F.sum(weight).alias("w")).collect()
+    assert len(sizes) > 28 and max(r.w for r in sizes) < 40000
+
+
