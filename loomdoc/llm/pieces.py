@@ -4,34 +4,30 @@ The library turns every space into a marker and puts one before the text. Where
 holds a marker after another character (checked when the model is loaded), no piece crosses
 from one marked word into the next, so each distinct marked word need be segmented once.
 
-1. Words that are frequent in some batch are gathered and grouped over the whole corpus; each
-   is segmented and decoded once by the library. This distinct-chunk table is kept to the
-   HOT_WORDS most frequent words of at most HOT_CHARS characters, a fixed bound, and sent to
-   every task.
-2. Each task splits its texts, looks words up in the table, segments every other distinct word
-   of its batch once, and joins all ids back by position.
-
-Sending rare words through a shuffled table as well would move the texts or their ids to meet
-the answers, over once the input, to save a second segmentation of words that hardly recur.
+1. Each input partition cuts its texts into marked words and numbers a block's distinct words.
+   A document becomes the numbers of its words in order, its positions; the table of these is
+   bucketed by block, so it need not move again.
+2. The blocks' distinct words are shuffled by word and sorted, so that each distinct word of
+   the whole corpus makes one run. At its start the word is segmented and decoded, once; the
+   run's rows take the answer back to their blocks.
+3. Each block meets its answers: by position, every document's numbers are replaced by ids.
+
+A word costs one row for each block that holds it, however often it stands there.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from itertools import chain
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import str_texts, table
+from .common import bucketed, parts, str_texts, table
 
-#: The distinct-chunk table has at most this many words, each at most HOT_CHARS long, that
-#: occur OFTEN times in some batch. Which words it holds changes no result.
-HOT_WORDS, HOT_CHARS, OFTEN = 1 << 16, 32, 4
-#: Documents whose ids are put together at once.
-SLICE = 500
+#: Characters of text that a block holds, but for its last document; a task holds one block.
+BLOCK_CHARS = 32 << 20
 MARK = "▁"
 #: A marked word: a run of markers and what follows up to the next marker.
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -43,96 +39,132 @@ def chunks(text: str) -> list[str]:
 
 
 class Segmenter:
-    """The library with one model: ids and decoded text of a single marked word."""
+    """The library with one model: ids and decoded texts of marked words."""
 
     def __init__(self, model: str):
         import sentencepiece
 
-        self.lib = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.lib = sentencepiece.SentencePieceProcessor(model_file=model, num_threads=1)
         pieces = (self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size()))
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece of this model crosses a marker: words can't be segmented one by one")
         self.mark = self.lib.piece_to_id(MARK)
 
-    def ids(self, chunk: str) -> list[int]:
+    def ids(self, words: list[str]) -> list[list[int]]:
         # the library adds the first marker itself, but none to an empty text
-        return self.lib.encode(chunk[1:]) if len(chunk) > 1 else [self.mark]
+        return [i if len(w) > 1 else [self.mark] for w, i in zip(words, self.lib.encode([w[1:] for w in words]), strict=True)]
 
-    def text(self, ids: list[int]) -> str:
+    def texts(self, ids: list[list[int]]) -> list[str]:
         """What ids decode to inside a text: the library drops the first space of what it gets."""
-        return self.lib.decode([self.mark, *ids])
+        return self.lib.decode([[self.mark, *i] for i in ids])
 
 
-def _frequent(batches):
-    import pyarrow as pa
+#: A row is a document (words) or one of its block's distinct words (number, chunk).
+_SPLIT = "block long, doc_id long, words array<int>, number int, chunk string"
 
-    for batch in batches:
-        seen = Counter(chain.from_iterable(map(chunks, str_texts(batch.column(0)))))
-        kept = [(w, n) for w, n in seen.items() if n >= OFTEN and len(w) <= HOT_CHARS]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["chunk", "n"])
 
+def _split(block_chars: int):
+    def block_rows(block, ids, ends, flat, number):
+        import pyarrow as pa
+
+        i32, i64 = pa.int32(), pa.int64()
+        names = [x.split()[0] for x in _SPLIT.split(", ")]
+        words = pa.ListArray.from_arrays(pa.array(np.array([0, *ends], np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
+        n, m = len(ids), len(number)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(ids, i64), words, pa.nulls(n, i32), pa.nulls(n, pa.string())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, i64), pa.nulls(m, pa.list_(i32)), pa.array(np.arange(m, dtype=np.int32)), pa.array(list(number), pa.string())], names)
+
+    def run(batches):
+        from pyspark import TaskContext
 
-def chunk_table(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """chunk, ids, piece_text: the HOT_WORDS most frequent marked words, each segmented once."""
+        block = TaskContext.get().partitionId() << 32
+        ids, ends, flat, number, held = [], [], array("i"), {}, 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), str_texts(batch.column(1)), strict=True):
+                words = chunks(text)
+                for w in dict.fromkeys(words):
+                    if w not in number:
+                        number[w] = len(number)
+                flat.extend(map(number.__getitem__, words))
+                ids.append(doc_id)
+                ends.append(len(flat))
+                held += len(text) + 8
+                if held >= block_chars:
+                    yield from block_rows(block, ids, ends, flat, number)
+                    block, ids, ends, flat, number, held = block + 1, [], [], array("i"), {}, 0
+        if ids:
+            yield from block_rows(block, ids, ends, flat, number)
+
+    return run
+
+
+def _segment(model: str, decode: bool):
+    """Of rows sorted by word: the ids and text of each run's word, found at the run's start."""
 
-    def segment(batches):
+    def run(batches):
         import pyarrow as pa
 
-        lib = Segmenter(model)
+        lib, last, known = Segmenter(model), None, None
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [lib.ids(w) for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([lib.text(i) for i in ids], pa.string())], ["chunk", "ids", "piece_text"])
+            words = batch.column("chunk").to_pylist()
+            number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            fresh = [w for w in number if w != last]
+            ids = lib.ids(fresh)
+            found = list(zip(ids, lib.texts(ids) if decode else [""] * len(ids), strict=True))
+            if len(fresh) < len(number):  # the run goes on from the batch before
+                found.insert(0, known)
+            if words:
+                last, known = words[-1], found[number[words[-1]]]
+            at = pa.array([number[w] for w in words], pa.int32())
+            each = pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([t for _, t in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), *(a.take(at) for a in each)], ["of", "number", "ids", "piece"])
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_frequent, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "chunk").limit(HOT_WORDS)
-    return top.select("chunk").repartition(8).mapInArrow(segment, "chunk string, ids array<int>, piece_text string")
+    return run
 
 
-def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array<int>), decoded (string): encoded without begin or end ids, then decoded.
+def _joined(decode: bool):
+    """One block's documents with its words' answers put in their places."""
 
-    Equal to the library's encode(text) and decode(ids). A null or empty text has no ids and
-    decodes to an empty text. Ids may be null or repeat; each row is encoded. An empty input
-    gives no rows. Other columns of docs are not read.
-    """
-    hot = docs.sparkSession.sparkContext.broadcast([(r.chunk, r.ids, r.piece_text) for r in chunk_table(docs, model, text_col).collect()])
+    def at_bounds(lengths, bounds):
+        return np.concatenate([[0], np.cumsum(lengths)])[bounds].astype(np.int32)
 
-    def run(batches):
+    def run(key, docs, answers):
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        answers = answers.take(pc.sort_indices(answers.column("number")))
+        ids = answers.column("ids").cast(pa.list_(pa.int32())).combine_chunks()
+        words = docs.column("words").cast(pa.list_(pa.int32())).combine_chunks()
+        place = words.flatten()
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False)[place.to_numpy()] if len(place) else np.zeros(0, np.int64)
+        out = [docs.column("doc_id").combine_chunks(), pa.ListArray.from_arrays(pa.array(at_bounds(lengths, bounds)), ids.take(place).flatten())]
+        if not decode:
+            return pa.table(out, names=["doc_id", "ids"])
+        pieces = answers.column("piece").cast(pa.string()).combine_chunks().take(place)
+        sizes = pc.binary_length(pieces).to_numpy(zero_copy_only=False)
+        # the pieces of a text lie side by side, so the text is the bytes between its bounds
+        texts = pa.StringArray.from_buffers(len(words), pa.py_buffer(at_bounds(sizes, bounds)), pieces.buffers()[2] or pa.py_buffer(b""))
+        return pa.table([*out, pc.utf8_slice_codeunits(texts, 1)], names=["doc_id", "ids", "decoded"])
+
+    return run
+
+
+def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, ids (array<int>), decoded (string): encoded without begin or end ids, then decoded.
 
-        lib = Segmenter(model)
-        number = {chunk: i for i, (chunk, _, _) in enumerate(hot.value)}
-        pieces = [np.array(ids, np.int32) for _, ids, _ in hot.value]
-        texts = [t for _, _, t in hot.value]
-        fixed, size = len(pieces), [len(p) for p in pieces]
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.slice(at, SLICE)
-                words = [chunks(t) for t in str_texts(part.column(1))]
-                for w in set().union(*words).difference(number):
-                    ids = lib.ids(w)
-                    number[w] = len(pieces)
-                    pieces.append(np.array(ids, np.int32))
-                    texts.append(lib.text(ids))
-                    size.append(len(ids))
-                where = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)
-                used, place = np.unique(where, return_inverse=True)
-                lengths = np.array([size[i] for i in used], np.int64)
-                flat = np.concatenate([pieces[i] for i in used]) if len(used) else np.zeros(0, np.int32)
-                starts = np.cumsum(lengths) - lengths
-                each = lengths[place]
-                ends = np.cumsum(each)
-                ids = flat[np.repeat(starts[place] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)]
-                bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(w) for w in words])])]
-                decoded = ["".join([texts[number[w]] for w in ws])[1:] for ws in words]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
-            # words outside the table are kept for one batch
-            for w in [w for w, i in number.items() if i >= fixed]:
-                del number[w]
-            del pieces[fixed:], texts[fixed:], size[fixed:]
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    Equal to the library's encode(text) and decode(ids); without `decode` there is no decoded
+    column. A null or empty text has no ids and decodes to an empty text. Ids may be null or
+    repeat; each row is encoded. An empty input gives no rows. Other columns of docs, whatever
+    their names, are not read.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    split = bucketed(rows.mapInArrow(_split(block_chars), _SPLIT), "block", parts(spark), "split")
+    words = split.where("chunk IS NOT NULL").select("block", "number", "chunk").repartition("chunk").sortWithinPartitions("chunk")
+    answers = words.mapInArrow(_segment(model, decode), "of long, number int, ids array<int>, piece string")
+    whole = split.where("chunk IS NULL").select("block", "doc_id", "words").groupBy("block").cogroup(answers.groupBy("of"))
+    return whole.applyInArrow(_joined(decode), "doc_id long, ids array<int>" + ", decoded string" * decode)
 
 
 def default_model() -> str:

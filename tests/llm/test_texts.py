@@ -154,10 +154,11 @@ def test_pieces(spark, docs, rows):
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
-    got = {r.doc_id: r for r in pieces.encode_decode(docs, pieces.default_model()).collect()}
-    for i, t, *_ in rows:
-        assert got[i].ids == lib.encode(t or "")
-        assert got[i].decoded == lib.decode(lib.encode(t or ""))
+    for block_chars in (100, 1 << 25):
+        got = {r.doc_id: r for r in pieces.encode_decode(docs, pieces.default_model(), block_chars=block_chars).collect()}
+        for i, t, *_ in rows:
+            assert got[i].ids == lib.encode(t or "")
+            assert got[i].decoded == lib.decode(lib.encode(t or ""))
     want = texts(spark)
     for r in pieces.op5_sentencepiece(spark, SF).collect():
         ids = lib.encode(want[r.doc_id])
@@ -167,8 +168,28 @@ def test_pieces(spark, docs, rows):
 
 
 def test_pieces_edges(odd, empty):
-    assert sorted(len(r.ids) for r in pieces.encode_decode(odd, pieces.default_model()).collect())[0] == 0
+    got = pieces.encode_decode(odd, pieces.default_model()).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["5", "5", "6", "7", "None", "None"] and [r.ids for r in got if r.doc_id == 6] == [[]]
+    assert pieces.encode_decode(odd, pieces.default_model(), decode=False).columns == ["doc_id", "ids"]
     assert pieces.encode_decode(empty, pieces.default_model()).count() == 0
+    assert [r.decoded for r in pieces.encode_decode(odd.where("doc_id = 6"), pieces.default_model()).collect()] == [""]
+
+
+def test_pieces_random_texts(spark):
+    """Texts of markers, spaces and rare characters against the library; a run of one word over several batches."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    r = random.Random(8)
+    rows = [(i, "".join(r.choice("  ▁ab\n\t\u00e9\U0001f642\u4e2dthe<s>") for _ in range(r.randint(0, 25)))) for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = pieces.encode_decode(spark.createDataFrame(rows, "doc_id long, text string"), pieces.default_model(), block_chars=900).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {i: lib.encode(t) for i, t in rows}
+    assert len(got) == len(rows)
+    assert all(x.ids == want[x.doc_id] and x.decoded == lib.decode(want[x.doc_id]) for x in got)
 
 
 # op 6
