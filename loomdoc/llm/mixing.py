@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms, in DataFrame operations only.
 
-Each document has a hash of its id. Of each source the words are summed by the hash's
+Each document has a hash of its id and text. Of each source the words are summed by the hash's
 leading digits; the running sum over those digits gives nested thresholds: a threshold for
 a smaller budget takes a subset of what a larger one takes. The digit in which the budget
 runs out is refined by the next digit, for that digit's documents alone, and so on. A plain
@@ -56,11 +56,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.
     A document is taken whole, `repeats` times: as often as its source's target holds the
     whole source, and once more if its hash is below the source's threshold. The last digit
     to be refined is taken if that comes nearer to the target than leaving it, so a source
-    misses its target by half a document or so. Rows that repeat an id share its hash and
-    are taken alike. A null text has no words, a null source is a source of its own (the
-    last), a null id hashes like any other value. An empty input gives no rows.
+    misses its target by half a document or so. Rows that repeat both id and text share a hash
+    and are taken alike. A null text has no words, a null source is a source of its own (the
+    last), a null id hashes like any other value. An empty input gives no rows. Other columns
+    of docs, whatever their names, are not read.
     """
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h")), "sizes")
+    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h")), "sizes")
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most)
     whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long")
     state = written(goal.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("at", F.array().cast("array<long>")), "targets")

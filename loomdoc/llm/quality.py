@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule rejects on one measure of the text. On a sample each rule's cost (seconds a text)
-and selectivity (share rejected) are measured; rules run in the order of rejections per cost,
-and a text leaves at the first rule that rejects it. The order changes which rule is named
-and what is computed, never the verdict, as a text is kept only if no rule rejects it.
+Every rule rejects on one measure of the text. On a sample, chosen by a hash over the whole
+table, the tasks measure each rule's cost (seconds a text) and selectivity (share rejected) and
+send back nothing else; rules run in the order of rejections per cost, and a text leaves at
+the first rule that rejects it. The order changes which rule is named and what is computed,
+never the verdict, as a text is kept only if no rule rejects it.
 """
 
 from __future__ import annotations
@@ -90,43 +91,68 @@ RULES: dict[str, Callable[[Text], bool]] = {
 }
 
 
-def order_rules(sample: list[str], rules: dict = RULES) -> list[str]:
-    """Rule names by rejections per second on the sample, best first; ties by name."""
-    rate = {}
-    for name, rule in rules.items():
-        texts, began = [Text(t) for t in sample], time.perf_counter()
-        rejected = sum(map(rule, texts))
-        rate[name] = rejected / max(time.perf_counter() - began, 1e-9)
-    return sorted(rules, key=lambda n: (-rate[n], n))
+def _measured(batches):
+    """Of each rule: texts rejected and seconds taken, nothing being known of a text beforehand."""
+    import pyarrow as pa
 
+    rejected, took = dict.fromkeys(RULES, 0), dict.fromkeys(RULES, 0.0)
+    for batch in batches:
+        for text in str_texts(batch.column(0)):
+            for name, rule in RULES.items():
+                began = time.perf_counter()
+                rejected[name] += rule(Text(text))
+                took[name] += time.perf_counter() - began
+    yield pa.RecordBatch.from_arrays([pa.array(list(RULES)), pa.array(list(rejected.values()), pa.int64()), pa.array(list(took.values()), pa.float64())], ["rule", "rejected", "seconds"])
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 400) -> DataFrame:
-    """One row a document: doc_id, its measures, base_failed, kept, rejected_by (null if kept).
 
-    A null text is an empty one: no words, so rejected. Ids may be null or repeat; each row is
-    judged. An empty input gives no rows. Only the rules' order is drawn from a sample, of
-    sample_rows texts.
+def order_rules(texts: DataFrame, sample_rows: int) -> list[str]:
+    """Rule names by rejections per second on about sample_rows of texts (doc_id, text), best first; ties by name.
+
+    A row is in the sample if a hash of its id and text says so. Costs are wall times, so two runs
+    may order rules of near equal worth differently.
+    """
+    n = texts.count()
+    drawn = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n // sample_rows))) == 0)
+    sums = drawn.select("text").mapInArrow(_measured, "rule string, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
+    rate = {r.rule: r.rejected / max(r.seconds, 1e-9) for r in sums.collect()}
+    return sorted(RULES, key=lambda name: (-rate.get(name, 0.0), name))
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000, measures: bool = False, order: list[str] | None = None) -> DataFrame:
+    """One row a document: doc_id, kept, rejected_by (null if kept).
+
+    measures: also the five measures and base_failed, for which every text is read to its end;
+    without them a text costs what the rules up to its rejection cost. order: rule names, if not
+    to be drawn from a sample; it changes rejected_by alone. A null text is an empty one: no
+    words, so rejected. Ids may be null or repeat; each row is judged. An empty input gives no
+    rows. Other columns of docs are not read.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = order_rules([r.text for r in texts.select("text").limit(sample_rows).collect()])
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    order = order or order_rules(texts, sample_rows)
+    names = MEASURES if measures else ()
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
         for batch in batches:
             rows = []
             for text in map(Text, str_texts(batch.column(1))):
                 by = next((n for n in order if RULES[n](text)), None)
-                rows.append((*(getattr(text, n) for n in names), text.n_words < 20 or 100 * text.n_repeat_words > 30 * text.n_words, by))
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names, "base_failed", "rejected_by"])
-
-    out = texts.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, rejected_by string")
+                rows.append((by is None, by, *(getattr(text, n) for n in names)))
+            columns = list(zip(*rows, strict=True)) or [[]] * (2 + len(names))
+            kinds = [pa.bool_(), pa.string()] + [pa.int64()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "kept", "rejected_by", *names])
+
+    out = texts.mapInArrow(run, "doc_id long, kept boolean, rejected_by string" + "".join(f", {n} long" for n in names))
+    if not measures:
+        return out
     # every base failure is a rule's rejection too (few_words, repeated_words)
-    return out.withColumn("kept", F.col("rejected_by").isNull())
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return out.withColumn("base_failed", failed)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality(table(spark, sf_dir, "documents"), measures=True).select("doc_id", *MEASURES, "base_failed", "kept")

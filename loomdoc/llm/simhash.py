@@ -4,9 +4,11 @@ A fingerprint is cut into 32 segments of two bits; a segment's coordinate is its
 0, 1 or 2. The Manhattan distance of two such points never exceeds the Hamming distance of
 the fingerprints, so points further apart than the limit d need no look. The grid: the
 segments form d + 3 groups; if the Manhattan distance is at most d, at most d groups differ,
-and some choice of three groups agrees in every coordinate. Each point therefore joins, for
-every choice of three groups, the cell of their coordinates; cell mates are filtered by the
-Manhattan bound (a XOR of the unary coded coordinates) and then verified exactly.
+and some choice of three groups agrees in every coordinate. Each choice spans a grid over 16 of
+the 32 coordinates, and a point stands in one cell of each grid; the range join pairs cell
+mates that the Manhattan bound over all coordinates (a XOR of the unary coded ones) lets
+through, and verifies those exactly. Probing the cells at distance one in two halves would
+pair the same points at the same cell sizes, for 52 rows a point instead of 20.
 
 Cells hold distinct fingerprints, never copies. A cell over cell_rows is cut into chunks and
 every pair of chunks becomes a cell of its own, which is exact. Cells with over RUN members
@@ -167,29 +169,27 @@ def links(points: DataFrame, distance: int = 3, cell_rows: int = 8192) -> DataFr
     return dealt.mapInArrow(_links(distance), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node that it reaches) for the nodes of edges, by large-star and small-star rounds.
 
     Each round is a grouping and a join on the node, written to the shared folder; it ends
-    when a round changes nothing, as then every node hangs on its root.
+    when a round changes nothing, as then every node hangs on its root. Rounds grow with the
+    square of the logarithm of the nodes at most; there is no cap.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    mark = None
-    for _ in range(rounds):
+    mark, now = None, edges.agg(F.count("*").alias("n"), F.lit(None).cast("decimal(38,0)").alias("s")).first()
+    while mark != now and now.n:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select("u", F.col("m").alias("v")))
         edges = written(small.distinct(), "edges")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        mark, now = now, edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_dedup(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", hot_share: float = 0.001, cell_rows: int = 8192) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id (the least id it reaches).
 
     Null and empty texts have the fingerprint zero, which links like any other. Repeated
@@ -197,12 +197,17 @@ def near_dedup(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_
     empty input gives no rows. Other columns of docs are not read.
     """
     prints = written(fingerprints(docs, id_col, text_col), "prints")
-    points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    roots = components(links(points.select("fp"), distance))
+    points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "points")
+    roots = components(links(points.select("fp"), distance, cell_rows))
     rooted = points.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(rooted.join(least, "root").select("fp", "component_id", "n"), "named")
+    # a fingerprint with over hot_share of all rows (at most 1 / hot_share of them) is sent to its rows, not its rows to it
+    least_hot = max(1.0, hot_share * (prints.count() or 1))
+    hot = F.broadcast(named.where(F.col("n") > least_hot).select("fp", "component_id"))
+    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(named.where(F.col("n") <= least_hot).select("fp", "component_id"), "fp")
+    every = prints.join(hot, "fp").unionByName(rest)
+    return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

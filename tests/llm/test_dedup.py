@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loomdoc.llm import exact_dedup as E
 from loomdoc.llm import simhash as S
@@ -100,9 +101,16 @@ def test_exact_dedup_odd(odd, empty):
 @pytest.mark.parametrize("cell_rows", [3, 8192])
 def test_simhash(docs, rows, cell_rows):
     prints = {i: brute_print(t) for i, t, *_ in rows}
-    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in S.near_dedup(docs).collect()}
     roots = brute_components(prints)
-    assert got == {i: (prints[i], roots[i]) for i in prints}
+    for hot_share in (0.001, 0.4):
+        got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in S.near_dedup(docs, cell_rows=cell_rows, hot_share=hot_share).collect()}
+        assert got == {i: (prints[i], roots[i]) for i in prints}
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {(r.node, r.root) for r in S.components(edges).collect()} == {(i, 0) for i in range(1, 301)}
+    assert S.components(edges.limit(0)).count() == 0
 
 
 def test_simhash_sf(spark):

@@ -310,9 +310,21 @@ def test_mix(spark, docs, rows):
     check_mix(mixing.op7_mix_sources(spark, SF).collect(), [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()])
 
 
-def test_mix_edges(odd, empty):
+def test_mix_edges(spark, odd, empty):
     assert mixing.mix(odd).count() == 6
     assert mixing.mix(empty).count() == 0
+    # rows without an id are told apart by their texts
+    rows = [(None, f"some words of text {i}", "a") for i in range(400)] + [(i, "b " * 5, "b") for i in range(200)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 'a'").collect()
+    assert abs(sum(r.taken for r in out) - out[0].target) <= 5
+
+
+def test_mix_ties_of_hashes(spark):
+    """Rows that are alike in all have one hash: the boundary takes them together or not at all."""
+    rows = [(i // 4, "w " * 3, "ab"[i % 2]) for i in range(64)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in "ab":
+        assert abs(sum(r.taken for r in out if r.source == s) - next(r.target for r in out if r.source == s)) <= 3
 
 
 # op 8
@@ -339,17 +351,36 @@ def test_quality(spark, docs, rows):
         text = " ".join(r.choice("ab\n|é") for _ in range(r.randint(0, 60)))
         t = quality.Text(text)
         assert [t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words] == brute_quality(text)
-    for got, want in ((quality.quality(docs), {i: t or "" for i, t, *_ in rows}), (quality.op8_quality(spark, SF), texts(spark))):
+    for got, want in ((quality.quality(docs, measures=True), {i: t or "" for i, t, *_ in rows}), (quality.op8_quality(spark, SF), texts(spark))):
         for r in got.collect():
             b = brute_quality(want[r.doc_id])
             assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words] == b
-            assert r.base_failed == (b[0] < 20 or 100 * b[4] > 30 * b[0]) and not (r.base_failed and r.kept)
+            assert r.base_failed == (b[0] < 20 or 100 * b[4] > 30 * b[0]) and r.kept == brute_kept(want[r.doc_id])
+
 
+def brute_kept(text):
+    """The rules written out anew over plain splits."""
+    n, chars, symbols, dup, repeats = brute_quality(text)
+    words, letters = WORD.findall(text), [c for c in text if c.isalpha()]
+    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    bad = n < 20 or 100 * repeats > 30 * n or symbols * 10 > n or chars < 2 * n or chars > 15 * n
+    bad = bad or sum(map(str.isupper, text)) > 0.5 * max(1, len(letters)) or same * 10 > 3 * n
+    return not (bad or dup >= 3 and dup * 10 > 3 * (text.count("\n") + 1))
 
-def test_quality_order_never_changes_verdicts(odd, empty):
-    sample = ["a b c"] * 5 + ["### " * 50, "word " * 100]
-    order = quality.order_rules(sample)
-    assert sorted(order) == sorted(quality.RULES)
+
+def test_quality_order_never_changes_verdicts(spark, odd, empty, docs):
+    wordy = [(i, t) for i, t in enumerate(["a b c", "### word more " * 30, "word " * 100, "GO ON THEN " * 40, "one line\n" * 30, "good words that go on in one line and never stop or say the same thing again so far as we know " * 1])]
+    df = spark.createDataFrame(wordy, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    r = random.Random(3)
+    first = None
+    for _ in range(6):
+        order = r.sample(list(quality.RULES), len(quality.RULES))
+        kept = {x.doc_id: x.kept for x in quality.quality(df, order=order).collect()}
+        assert first in (None, kept)
+        first = kept
+    drawn = quality.order_rules(df, 5)
+    assert sorted(drawn) == sorted(quality.RULES)
+    assert {x.doc_id: x.kept for x in quality.quality(df).collect()} == first
     assert quality.quality(odd).count() == 6 and quality.quality(empty).count() == 0
 
 
