@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts, table
+from .common import table
 
 
 def fisher_yates(n: int, seed: tuple[int, ...]):
@@ -49,30 +49,34 @@ def external_shuffle(docs: DataFrame, shards: int = 40, seed: int = 11, bucket_b
     repeat an id are scattered by what else they hold; identical rows may trade places, which
     no one can tell. A text longer than bucket_bytes makes its bucket that much larger. An
     empty input gives no rows. Columns named shard or slot are replaced; those named _h, _n,
-    _nth or _bucket, which are this operator's own, are dropped.
+    _nth, _bucket or _first, which are this operator's own, are dropped.
     """
-    own = [c for c in docs.columns if c not in ("shard", "slot", "_h", "_n", "_nth", "_bucket")]
+    own = [c for c in docs.columns if c not in ("shard", "slot", "_h", "_n", "_nth", "_bucket", "_first")]
     weight = F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(16)
     total = docs.agg(F.sum(weight).alias("b")).first()["b"] or 0
     buckets = int(max(1, -(-total // bucket_bytes)))
     records = _scattered(docs.select(*(F.col(f"`{c}`") for c in own)), buckets, seed, bucket_bytes, weight)
-    first = records.groupBy(F.col("_bucket").alias("_b")).count()
-    first = first.select("_b", (F.sum("count").over(Window.orderBy("_b")) - F.col("count")).alias("first"))
+    count = records.groupBy("_bucket").count()
+    first = count.select("_bucket", (F.sum("count").over(Window.orderBy("_bucket")) - F.col("count")).alias("_first"))
 
-    def shuffled(key, rows, before):
+    def shuffled(rows):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        head = pc.is_valid(rows.column("_first"))
+        first = rows.filter(head).column("_first")[0].as_py()
+        bucket = rows.column("_bucket")[0].as_py()
         # the canonical order: by the hash of all that a row holds, then by id and text
-        rows = rows.sort_by([("_h", "ascending"), (id_col, "ascending"), (text_col, "ascending")]).drop_columns(["_h", "_nth", "_bucket"])
-        rows = rows.take(pa.array(fisher_yates(len(rows), (seed, key[0].as_py()))))
-        place = before.column("first")[0].as_py() + np.arange(len(rows))
+        rows = rows.filter(pc.invert(head)).sort_by([("_h", "ascending"), (id_col, "ascending"), (text_col, "ascending")]).drop_columns(["_h", "_nth", "_bucket", "_first"])
+        rows = rows.take(pa.array(fisher_yates(len(rows), (seed, bucket))))
+        place = first + np.arange(len(rows))
         return rows.append_column("shard", pa.array((place % shards).astype(np.int32))).append_column("slot", pa.array(place // shards))
 
-    # each bucket meets its offset as a group, so records are shuffled once, into a partition a bucket
+    # a bucket's first record number travels with it, as a row of its own; records are shuffled once, a bucket to a partition
     schema = docs.select(*(F.col(f"`{c}`") for c in own)).schema.add("shard", "integer").add("slot", "long")
-    dealt = records.repartition(max(buckets, min(parts(docs.sparkSession), 8)), "_bucket")
-    return dealt.groupBy("_bucket").cogroup(first.groupBy("_b")).applyInArrow(shuffled, schema)
+    dealt = records.withColumn("_first", F.lit(None).cast("long")).unionByName(first, allowMissingColumns=True).repartitionById(buckets, "_bucket")
+    return dealt.groupBy("_bucket").applyInArrow(shuffled, schema)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 11, bucket_bytes: int = 32 << 20) -> None:
