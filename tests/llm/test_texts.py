@@ -227,7 +227,7 @@ def test_pii_discloses(spark):
     rows += [(None, None), (None, ""), (5, rows[5][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = [r.asDict(True) for r in pii.find_spans(df).collect()]
-    terms = [(r["doc_id"], s) for r in found for s in r["spans"] if s["kind"] == 4]
+    terms = [(r["doc_id"], s) for r in found for s in r["spans"] if s["kind"] == pii.TERM]
     assert terms and all(rows[i][1][s["start"] : s["end"]] == "Zorblat" for i, s in terms) and len(terms) == 30
     clean = {r.doc_id: r.text for r in pii.sanitise(df.where("doc_id is not null")).collect()}
     assert "[EMAIL]" in clean[10] and "Zorblat" not in clean[10]
@@ -241,7 +241,7 @@ def test_pii_discloses_far_from_the_entity(spark):
     rows += [(1000 + i, f"{filler()} passage of old and mo@y.org Quux beside {filler()}") for i in range(20)]
     found = {x.doc_id: x.spans for x in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, text in rows:
-        terms = [text[s.start : s.end] for s in found[i] if s.kind == 4]
+        terms = [text[s.start : s.end] for s in found[i] if s.kind == pii.TERM]
         assert terms.count("Zorblat") == text.count("Zorblat")
     clean = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert not any("Zorblat" in x.text for x in clean)
@@ -252,7 +252,7 @@ def test_pii_copied_passages_prove_nothing(spark):
     filler = lambda: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(12))
     rows = [(i, f"{filler()} this old passage says mo@y.org Quux wrote it all {filler()}" if i % 10 == 0 else filler()) for i in range(300)]
     found = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert not any(s.kind == 4 for x in found for s in x.spans)
+    assert not any(s.kind == pii.TERM for x in found for s in x.spans)
 
 
 def test_pii_copies_hide_nothing(spark, monkeypatch):
@@ -266,10 +266,33 @@ def test_pii_copies_hide_nothing(spark, monkeypatch):
         if small:
             monkeypatch.setattr(pii, "SENT_TERMS", 0)
             monkeypatch.setattr(pii, "SENT_COPIES", 0)
-        terms = {(x.doc_id, s.start) for x in pii.find_spans(df).collect() for s in x.spans if s.kind == 4}
+        terms = {(x.doc_id, s.start) for x in pii.find_spans(df).collect() for s in x.spans if s.kind == pii.TERM}
         assert terms == {(i, t.index("Dupont")) for i, t in rows[:300] if "Dupont" in t}
 
 
+def test_pii_one_document_proves_nothing(spark):
+    """Forty addresses of one document, and of its near copies, mark no word; alone or among others."""
+    many = " ".join(f"please write to u{i}@x.org at once thanks" for i in range(40))
+    r = random.Random(7)
+    filler = lambda: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(12))
+    near = [(100 + i, " ".join(w if r.random() > 0.05 else "edited" for w in many.split())) for i in range(30)]
+    for rows in ([(1, many)], [(1, many), *near], [(1, many), *near, *((1000 + i, filler()) for i in range(300))]):
+        found = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert not any(s.kind == pii.TERM for x in found for s in x.spans)
+
+
+def test_pii_secrets(spark):
+    r = random.Random(8)
+    filler = lambda: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(8))
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'{filler()} token = "{key()}" {filler()}' if i % 20 == 0 else filler()) for i in range(400)]
+    for x in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got = sorted(rows[x.doc_id][1][s.start : s.end] for s in x.spans)
+        assert len(got) == (3 if x.doc_id % 20 == 0 else 0) and got[-1:] == ["token"] * (x.doc_id % 20 == 0)
+    for text in ("a" * 30, "12345678901234567890123", "abcabcabcabcabc123123123", "incomprehensibilities", ""):
+        assert not pii.secrets(text)
+
+
 # op 7
 def brute_targets(sizes):
     """The excess of full sources is shared again by weight until none is above."""
