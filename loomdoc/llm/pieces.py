@@ -4,20 +4,23 @@ The library turns every space into a marker and puts one before the text. Where
 holds a marker after another character (checked when the model is loaded), no piece crosses
 from one marked word into the next, so each distinct marked word need be segmented once.
 
-1. Each input partition cuts its texts into marked words and numbers a block's distinct words.
-   A document becomes the numbers of its words in order, its positions; the table of these is
-   bucketed by block, so it need not move again.
-2. The blocks' distinct words are shuffled by word and sorted, so that each distinct word of
-   the whole corpus makes one run. At its start the word is segmented and decoded, once; the
-   run's rows take the answer back to their blocks.
+1. Each input partition cuts the texts of a block into marked words and numbers the distinct
+   ones. A document becomes the numbers of its words in order, its positions; the table of these
+   is bucketed by block, so it need not move again. A block sends each owner of a share of all
+   words the distinct words of that share, packed and compressed as one message.
+2. An owner holds all blocks' words of its share. It segments and decodes each distinct one
+   once and answers every block with ids in the order of its message. How a word decodes is sent
+   only where that is not the word itself.
 3. Each block meets its answers: by position, every document's numbers are replaced by ids.
 
-A word costs one row for each block that holds it, however often it stands there.
+A word costs a few bytes for each block that holds it, however often it stands there. Sent as
+rows of their own, words and answers take over twice the input on disk.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 
 import numpy as np
@@ -28,6 +31,8 @@ from .common import bucketed, parts, str_texts, table
 
 #: Characters of text that a block holds, but for its last document; a task holds one block.
 BLOCK_CHARS = 32 << 20
+#: Characters of all texts to one owner of words; a task holds the distinct words of one owner's share.
+OWNER_CHARS = 16 << 20
 MARK = "▁"
 #: A marked word: a run of markers and what follows up to the next marker.
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -59,20 +64,63 @@ class Segmenter:
         return self.lib.decode([[self.mark, *i] for i in ids])
 
 
-#: A row is a document (words) or one of its block's distinct words (number, chunk).
-_SPLIT = "block long, doc_id long, words array<int>, number int, chunk string"
+def pack(words: list[str]) -> bytes:
+    """Words as compressed bytes: their sizes in code points, then all of them side by side."""
+    import pyarrow as pa
 
+    sizes = np.array([len(words), *map(len, words)], np.int32).tobytes()
+    raw = sizes + "".join(words).encode()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
 
-def _split(block_chars: int):
+
+def _raw(packed: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+
+
+def unpack(packed: bytes) -> list[str]:
+    raw = _raw(packed)
+    n = int(np.frombuffer(raw, np.int32, 1)[0])
+    text, ends = raw[4 * n + 4 :].decode(), np.cumsum(np.frombuffer(raw, np.int32, n, 4), dtype=np.int64).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def pack_lists(lists: list) -> bytes:
+    """Lists of ids, compressed: how many, their lengths, then all ids."""
+    import pyarrow as pa
+
+    lengths = np.fromiter(map(len, lists), np.int32, len(lists))
+    raw = b"".join((np.array([len(lists)], np.int32).tobytes(), lengths.tobytes(), np.fromiter((i for x in lists for i in x), np.int32, int(lengths.sum())).tobytes()))
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unpack_lists(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the lists, and all ids."""
+    raw = np.frombuffer(_raw(packed), np.int32)
+    return raw[1 : 1 + raw[0]], raw[1 + raw[0] :]
+
+
+#: A row is a document (words) or a block's message to an owner (numbers of its words in the block, and the words).
+_SPLIT = "block long, doc_id long, words array<int>, owner int, numbers array<int>, packed binary"
+
+
+def _split(block_chars: int, owners: int):
     def block_rows(block, ids, ends, flat, number):
         import pyarrow as pa
 
-        i32, i64 = pa.int32(), pa.int64()
+        i32, lists = pa.int32(), pa.list_(pa.int32())
         names = [x.split()[0] for x in _SPLIT.split(", ")]
+        n = len(ids)
         words = pa.ListArray.from_arrays(pa.array(np.array([0, *ends], np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
-        n, m = len(ids), len(number)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(ids, i64), words, pa.nulls(n, i32), pa.nulls(n, pa.string())], names)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, i64), pa.nulls(m, pa.list_(i32)), pa.array(np.arange(m, dtype=np.int32)), pa.array(list(number), pa.string())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(ids, pa.int64()), words, pa.nulls(n, i32), pa.nulls(n, lists), pa.nulls(n, pa.binary())], names)
+        known = list(number)
+        whose = np.fromiter((zlib.crc32(w.encode()) % owners for w in known), np.int32, len(known))
+        order = np.argsort(whose, kind="stable").astype(np.int32)
+        mine = [m for m in np.split(order, np.flatnonzero(np.diff(whose[order])) + 1) if len(m)]
+        m = len(mine)
+        columns = [pa.array(np.full(m, block)), pa.nulls(m, pa.int64()), pa.nulls(m, lists), pa.array([whose[x[0]] for x in mine], i32), pa.array(mine, lists), pa.array([pack([known[i] for i in x]) for x in mine], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
         from pyspark import TaskContext
@@ -98,26 +146,25 @@ def _split(block_chars: int):
     return run
 
 
-def _segment(model: str, decode: bool):
-    """Of rows sorted by word: the ids and text of each run's word, found at the run's start."""
+_ANSWER = "of long, owner int, ids binary, odd array<struct<at:int,text:string>>"
 
-    def run(batches):
+
+def _segmented(model: str):
+    def run(key, sent):
+        """Of one owner: each distinct word segmented and decoded once, and every block answered in its order."""
         import pyarrow as pa
 
-        lib, last, known = Segmenter(model), None, None
-        for batch in batches:
-            words = batch.column("chunk").to_pylist()
-            number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-            fresh = [w for w in number if w != last]
-            ids = lib.ids(fresh)
-            found = list(zip(ids, lib.texts(ids) if decode else [""] * len(ids), strict=True))
-            if len(fresh) < len(number):  # the run goes on from the batch before
-                found.insert(0, known)
-            if words:
-                last, known = words[-1], found[number[words[-1]]]
-            at = pa.array([number[w] for w in words], pa.int32())
-            each = pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([t for _, t in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), *(a.take(at) for a in each)], ["of", "number", "ids", "piece"])
+        lib, ids, odd = Segmenter(model), {}, {}
+        out = []
+        for packed in sent.column("packed").to_pylist():
+            words = unpack(packed)
+            fresh = [w for w in words if w not in ids]
+            found = lib.ids(fresh)
+            ids.update(zip(fresh, (array("i", i) for i in found)))
+            odd.update((w, t) for w, t in zip(fresh, lib.texts(found)) if t != w.replace(MARK, " "))
+            out.append((pack_lists([ids[w] for w in words]), [{"at": i, "text": odd[w]} for i, w in enumerate(words) if w in odd] if odd else []))
+        columns = [sent.column("block"), sent.column("owner"), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())])))]
+        return pa.table(columns, names=["of", "owner", "ids", "odd"])
 
     return run
 
@@ -125,26 +172,42 @@ def _segment(model: str, decode: bool):
 def _joined(decode: bool):
     """One block's documents with its words' answers put in their places."""
 
-    def at_bounds(lengths, bounds):
-        return np.concatenate([[0], np.cumsum(lengths)])[bounds].astype(np.int32)
-
-    def run(key, docs, answers):
+    def run(key, mine, answers):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        answers = answers.take(pc.sort_indices(answers.column("number")))
-        ids = answers.column("ids").cast(pa.list_(pa.int32())).combine_chunks()
+        sent = mine.filter(pc.is_valid(mine.column("owner")))
+        docs = mine.filter(pc.is_null(mine.column("owner")))
+        told = {r["owner"]: r for r in answers.to_pylist()}
+        numbers = [np.array(x, np.int64) for x in sent.column("numbers").to_pylist()]
+        n = sum(map(len, numbers))
+        parts_ = [unpack_lists(told[o]["ids"]) for o in sent.column("owner").to_pylist()]
+        # the answers laid end to end, and for each word of the block where its own begins
+        flat = np.concatenate([i for _, i in parts_]) if parts_ else np.zeros(0, np.int32)
+        sizes = np.concatenate([x for x, _ in parts_]).astype(np.int64) if parts_ else np.zeros(0, np.int64)
+        number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        start, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        start[number], size[number] = np.cumsum(sizes) - sizes, sizes
         words = docs.column("words").cast(pa.list_(pa.int32())).combine_chunks()
-        place = words.flatten()
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False)[place.to_numpy()] if len(place) else np.zeros(0, np.int64)
-        out = [docs.column("doc_id").combine_chunks(), pa.ListArray.from_arrays(pa.array(at_bounds(lengths, bounds)), ids.take(place).flatten())]
+        place = words.flatten().to_numpy()
+        ends = np.cumsum(size[place])
+        ids = flat[np.repeat(start[place] - (ends - size[place]), size[place]) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[bounds]
+        out = [docs.column("doc_id").combine_chunks(), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))]
         if not decode:
             return pa.table(out, names=["doc_id", "ids"])
-        pieces = answers.column("piece").cast(pa.string()).combine_chunks().take(place)
-        sizes = pc.binary_length(pieces).to_numpy(zero_copy_only=False)
+        text: list[str] = [""] * n
+        for owner, at, packed in zip(sent.column("owner").to_pylist(), numbers, sent.column("packed").to_pylist(), strict=True):
+            read = [w.replace(MARK, " ") for w in unpack(packed)]
+            for x in told[owner]["odd"]:
+                read[x["at"]] = x["text"]
+            for i, w in zip(at.tolist(), read, strict=True):
+                text[i] = w
+        pieces = pa.array(text, pa.string()).take(pa.array(place))
         # the pieces of a text lie side by side, so the text is the bytes between its bounds
-        texts = pa.StringArray.from_buffers(len(words), pa.py_buffer(at_bounds(sizes, bounds)), pieces.buffers()[2] or pa.py_buffer(b""))
+        cuts = np.concatenate([[0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False))])[bounds].astype(np.int32)
+        texts = pa.StringArray.from_buffers(len(words), pa.py_buffer(cuts), pieces.buffers()[2] or pa.py_buffer(b""))
         return pa.table([*out, pc.utf8_slice_codeunits(texts, 1)], names=["doc_id", "ids", "decoded"])
 
     return run
@@ -160,11 +223,12 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    split = bucketed(rows.mapInArrow(_split(block_chars), _SPLIT), "block", parts(spark), "split")
-    words = split.where("chunk IS NOT NULL").select("block", "number", "chunk").repartition("chunk").sortWithinPartitions("chunk")
-    answers = words.mapInArrow(_segment(model, decode), "of long, number int, ids array<int>, piece string")
-    whole = split.where("chunk IS NULL").select("block", "doc_id", "words").groupBy("block").cogroup(answers.groupBy("of"))
-    return whole.applyInArrow(_joined(decode), "doc_id long, ids array<int>" + ", decoded string" * decode)
+    size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    owners = max(parts(spark), size // OWNER_CHARS + 1)
+    split = bucketed(rows.mapInArrow(_split(block_chars, owners), _SPLIT), "block", parts(spark), "split")
+    messages = split.where("owner IS NOT NULL").select("block", "owner", "packed")
+    answers = messages.groupBy("owner").applyInArrow(_segmented(model), _ANSWER)
+    return split.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(_joined(decode), "doc_id long, ids array<int>" + ", decoded string" * decode)
 
 
 def default_model() -> str:
