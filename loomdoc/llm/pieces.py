@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import bucketed, parts, str_texts, table
 
 #: Characters of text that a block holds, but for its last document; a task holds one block.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 8 << 20
 #: Characters of all texts to one owner of words; a task holds the distinct words of one owner's share.
 OWNER_CHARS = 16 << 20
 MARK = "▁"
@@ -117,7 +117,8 @@ def _split(block_chars: int, owners: int):
         known = list(number)
         whose = np.fromiter((zlib.crc32(w.encode()) % owners for w in known), np.int32, len(known))
         order = np.argsort(whose, kind="stable").astype(np.int32)
-        mine = [m for m in np.split(order, np.flatnonzero(np.diff(whose[order])) + 1) if len(m)]
+        # words in order share their beginnings with their neighbours, and their first ids: both pack better
+        mine = [sorted(m.tolist(), key=known.__getitem__) for m in np.split(order, np.flatnonzero(np.diff(whose[order])) + 1) if len(m)]
         m = len(mine)
         columns = [pa.array(np.full(m, block)), pa.nulls(m, pa.int64()), pa.nulls(m, lists), pa.array([whose[x[0]] for x in mine], i32), pa.array(mine, lists), pa.array([pack([known[i] for i in x]) for x in mine], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names)
@@ -179,7 +180,8 @@ def _joined(decode: bool):
         sent = mine.filter(pc.is_valid(mine.column("owner")))
         docs = mine.filter(pc.is_null(mine.column("owner")))
         told = {r["owner"]: r for r in answers.to_pylist()}
-        numbers = [np.array(x, np.int64) for x in sent.column("numbers").to_pylist()]
+        ends = np.cumsum(pc.list_value_length(sent.column("numbers")).to_numpy())
+        numbers = np.split(sent.column("numbers").combine_chunks().flatten().to_numpy(), ends[:-1]) if len(sent) else []
         n = sum(map(len, numbers))
         parts_ = [unpack_lists(told[o]["ids"]) for o in sent.column("owner").to_pylist()]
         # the answers laid end to end, and for each word of the block where its own begins
