@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -29,7 +30,9 @@ def docs(spark):
 def odd(spark):
     """Null ids, repeated rows, and extra columns that clash with names the operators use."""
     rows = [(None, "a b c", "x", 1, 1), (None, "a b c", "x", 1, 1), (5, "a b c", None, 2, 2), (5, "a b c", None, 2, 2), (6, None, None, None, None), (7, "A b C", "y", 0, 0)]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, fp long, votes long")
+    more = ("at_id", "times", "copy", "_id", "_n", "_i", "block", "number", "body", "ids", "unit", "row", "h", "score", "toxic", "size", "taken", "root", "first", "kept", "order")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, fp long, votes long")
+    return df.withColumns({c: F.lit(c) for c in more})
 
 
 @pytest.fixture(scope="session")

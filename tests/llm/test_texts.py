@@ -110,15 +110,26 @@ def test_token_counts(spark):
     assert token_counts.length_histogram(hist.select("n_tokens").where("false")).count() == 0
 
 
+def test_token_counts_odd_rows(odd, empty):
+    import public_tokenizers as P
+
+    lengths = lambda df: token_counts.token_lengths(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    hist = {r.n_tokens: r for r in token_counts.length_histogram(lengths(odd)).collect()}
+    # two rows without an id and two of one id count each; the null text has no token
+    assert hist[0].n_docs == 1 and sum(r.n_docs for r in hist.values()) == 6 and hist[0].docs_from == 6
+    assert token_counts.length_histogram(lengths(empty)).count() == 0
+
+
 # op 4
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     out = {r.doc_id: r for r in toxicity.op4_toxicity(spark, sf).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     pos = [out[i].score for i, y in labels.items() if out[i].held_out and y]
     neg = [out[i].score for i, y in labels.items() if out[i].held_out and not y]
     auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
-    assert auc > 0.75 and all(r.predicted == (r.score >= 0.3) for r in out.values())
+    print("held out:", auc, sum(x >= 0.3 for x in pos), len(pos), sum(x >= 0.3 for x in neg), len(neg))
+    assert auc > 0.9 and all(r.predicted == (r.score >= 0.3) for r in out.values())
 
 
 def test_toxicity_edges(spark, odd, empty):
@@ -132,21 +143,43 @@ def test_toxicity_edges(spark, odd, empty):
     assert score[1] > score[2]
 
 
-def test_label_model_finds_accuracies_and_correlation():
+def test_trust_never_falls_with_the_level():
+    tried = {("w", 0): (2, 20), ("w", 1): (9, 10), ("w", 3): (4, 10), ("w", 5): (50, 50)}
+    got = [toxicity.trust(tried, 0.1)["w", k] for k in range(len(toxicity.LEVELS))]
+    assert got == sorted(got) and got[0] == pytest.approx(2.2 / 22) and got[1] == got[4] == pytest.approx(13.2 / 22) and got[-1] > 0.9
+    assert toxicity.terms_of({"abcdx", "abcdy", "no"}) >= {"w:no", "s:abcd", "d:abcd"} and "d:abcdx" not in toxicity.terms_of({"abcdx", "abcdy"})
+
+
+def test_label_model_finds_accuracies_and_correlation(spark):
     import numpy as np
 
     r = np.random.default_rng(0)
+    voters = 12
     y = r.random(20000) < 0.1
-    rates = np.linspace(0.3, 0.7, toxicity.CLEAN)
-    fires = r.random((len(y), toxicity.CLEAN)) < np.where(y[:, None], rates, 0.01)
+    rates = np.linspace(0.3, 0.7, voters)
+    fires = r.random((len(y), voters)) < np.where(y[:, None], rates, 0.01)
     fires[:, 1] = fires[:, 0]  # one voter copies another
-    fires = np.concatenate([fires, ~fires.any(1, keepdims=True)], 1)
-    sets, counts = np.unique((fires << np.arange(toxicity.VOTERS)).sum(1), return_counts=True)
-    known = np.zeros((len(sets), 2))
-    np.add.at(known, (np.searchsorted(sets, (fires[:500] << np.arange(toxicity.VOTERS)).sum(1)), y[:500].astype(int)), 1)
-    m = toxicity.LabelModel().fit(sets, counts.astype(float), known)
-    assert abs(m.prior[1] - 0.1) < 0.06 and abs(m.rate[2:-1, 1] - rates[2:]).max() < 0.25
-    assert m.correlation[0, 1] > 0.8 and m.weight[0] < 0.7
+    rows = [(tuple(np.flatnonzero(f).tolist()) or (voters,), k < 200, bool(t)) for k, (f, t) in enumerate(zip(fires, y, strict=True))]
+    sets = defaultdict(lambda: [0.0, 0.0, 0.0])
+    for v, known, t in rows:
+        sets[v][0] += 1
+        sets[v][1 + t] += known
+    df = spark.createDataFrame([(list(v), *x) for v, x in sets.items()], "votes array<int>, n double, clean double, toxic double").repartition(3)
+    m = toxicity.LabelModel([0.8] * voters + [0.01]).fit(df)
+    assert abs(1 / (1 + np.exp(-m.bias)) - 0.1) < 0.03 and abs(m.rate[2:-1, 1] - rates[2:]).max() < 0.15
+    assert m.correlation[0, 1] > 0.8 and m.weight[0] < 0.7 and m.correlation[2, 3] < 0.3
+
+
+def test_linear_classifier_fits_soft_labels():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = r.random((400, 6)) * (r.random((400, 6)) < 0.5)
+    true = np.array([3.0, -2, 0, 1, 0, 4])
+    target = 1 / (1 + np.exp(-(x @ true - 1)))
+    rows = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in x]
+    w = toxicity.fit_linear(rows, target, np.full(6, 1e-6))
+    assert abs(w - [*true, -1]).max() < 0.05
 
 
 # op 5
