@@ -153,20 +153,21 @@ def test_trust_never_falls_with_the_level():
 def test_label_model_finds_accuracies_and_correlation(spark):
     import numpy as np
 
+    # toxic texts make few voters fire, as each voter knows one term: abstaining is no evidence
     r = np.random.default_rng(0)
     voters = 12
     y = r.random(20000) < 0.1
-    rates = np.linspace(0.3, 0.7, voters)
-    fires = r.random((len(y), voters)) < np.where(y[:, None], rates, 0.01)
+    rates = np.linspace(0.05, 0.3, voters)
+    fires = r.random((len(y), voters)) < np.where(y[:, None], rates, 0.002)
     fires[:, 1] = fires[:, 0]  # one voter copies another
-    rows = [(tuple(np.flatnonzero(f).tolist()) or (voters,), k < 200, bool(t)) for k, (f, t) in enumerate(zip(fires, y, strict=True))]
+    rows = [(tuple(np.flatnonzero(f).tolist()) or (voters,), k < 2000, bool(t)) for k, (f, t) in enumerate(zip(fires, y, strict=True))]
     sets = defaultdict(lambda: [0.0, 0.0, 0.0])
     for v, known, t in rows:
         sets[v][0] += 1
         sets[v][1 + t] += known
     df = spark.createDataFrame([(list(v), *x) for v, x in sets.items()], "votes array<int>, n double, clean double, toxic double").repartition(3)
     m = toxicity.LabelModel([0.8] * voters + [0.01]).fit(df)
-    assert abs(1 / (1 + np.exp(-m.bias)) - 0.1) < 0.03 and abs(m.rate[2:-1, 1] - rates[2:]).max() < 0.15
+    assert abs(1 / (1 + np.exp(-m.bias)) - 0.1) < 0.03 and abs(m.rate[2:-1, 1] - rates[2:]).max() < 0.06
     assert m.correlation[0, 1] > 0.8 and m.weight[0] < 0.7 and m.correlation[2, 3] < 0.3
 
 
