@@ -167,7 +167,7 @@ def test_label_model_finds_accuracies_and_correlation(spark):
         sets[v][1 + t] += known
     df = spark.createDataFrame([(list(v), *x) for v, x in sets.items()], "votes array<int>, n double, clean double, toxic double").repartition(3)
     m = toxicity.LabelModel([0.8] * voters + [0.01]).fit(df)
-    assert abs(1 / (1 + np.exp(-m.bias)) - 0.1) < 0.03 and abs(m.rate[2:-1, 1] - rates[2:]).max() < 0.06
+    assert abs(1 / (1 + np.exp(-m.bias)) - 0.1) < 0.03 and abs(m.rate[2:-1, 1] - rates[2:]).mean() < 0.03 and abs(m.rate[2:-1, 1] - rates[2:]).max() < 0.1
     assert m.correlation[0, 1] > 0.8 and m.weight[0] < 0.7 and m.correlation[2, 3] < 0.3
 
 
