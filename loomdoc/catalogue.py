@@ -91,11 +91,11 @@ nodes("sel_slice_negative", ITEMS.slice(-2).name("qty"), _SEL.format("qty") + "W
 nodes("sel_slice_zero", ITEMS.slice(0, 9, 0).name("qty"), _SEL.format("qty") + "WHERE false")
 add("sel_slice_reverse", I + "SELECT key, cnt - 1 - pos AS ord, qty AS value FROM i", lambda s, sf: N.query(order_docs(s, sf), ITEMS.slice(None, None, -1).name("qty"), "doc", ("key",)).select("key", F.col("ord").cast("long").alias("ord"), "value"))
 nodes("sel_wildcard_array", ITEMS.each().name("qty"), _SEL.format("qty"))
-nodes("sel_wildcard_object", ITEMS.index(0).union(Path().name("qty"), Path().name("price")), _SEL.format("qty") + "WHERE pos = 0 UNION ALL " + _SEL.format("price") + "WHERE pos = 0")
+add("sel_wildcard_object", I + "SELECT key, '/items/0/' || unnest(['n', 'qty', 'price', 'disc', 'flag']) AS pointer, unnest([n::varchar, qty::int::varchar, round(price)::bigint::varchar, round(disc * 100)::int::varchar, flag]) AS value FROM i WHERE pos = 0", lambda s, sf: N.query(order_docs(s, sf), ITEMS.index(0).each(), "doc", ("key",)).withColumn("d", F.col("value").try_cast("double")).select("key", "pointer", F.when(F.col("pointer").endswith("/disc"), F.round(F.col("d") * 100).cast("int").cast("string")).when(F.col("d").isNotNull(), F.round("d").cast("long").cast("string")).otherwise(F.col("value")).alias("value")))
 nodes("sel_union_names", ITEMS.each().union(Path().name("qty"), Path().name("disc")), _SEL.format("qty") + "UNION ALL " + _SEL.format("disc"))
 nodes("sel_union_dup", ITEMS.union(Path().index(0), Path().index(0)).name("qty"), _SEL.format("qty") + "WHERE pos = 0 UNION ALL " + _SEL.format("qty") + "WHERE pos = 0")
 nodes("seg_descendant_name", Path().descend("qty"), _SEL.format("qty"))
-add("sel_parent", I + "SELECT key, '/items/' || pos AS pointer FROM i", lambda s, sf: N.parents(N.query(order_docs(s, sf), ITEMS.each().name("qty"), "doc", ("key",)), ("key",)))
+add("sel_parent", I + "SELECT key, '/items/' || pos AS pointer, pos AS ord FROM i", lambda s, sf: N.parents(N.query(order_docs(s, sf), ITEMS.each().name("qty"), "doc", ("key",)), ("key",)))
 add("sel_property", I + "SELECT key, unnest(['n', 'qty', 'price', 'disc', 'flag']) AS name FROM i WHERE pos = 0", lambda s, sf: order_docs(s, sf).select("key", F.explode(V.keys(ITEMS.index(0).one(N.root(order_docs(s, sf), "doc"))).col).alias("name")))
 
 # filters
@@ -126,7 +126,7 @@ for _name, _make, _sql in (
     per_doc(f"fn_{_name}", _make, f"SELECT key, {_sql} AS value{_G}")
 
 # node lists and the facade
-add("res_normalized_paths", I + "SELECT key, '$[''items''][' || pos || '][''qty'']' AS path FROM i", lambda s, sf: N.query(order_docs(s, sf), ITEMS.each().name("qty"), "doc", ("key",)).select("key", N.normalized(F.col("pointer")).alias("path")))
+add("res_normalized_paths", I + "SELECT key, '$[''items''][' || pos || '][''qty'']' AS path FROM i", lambda s, sf: N.query(order_docs(s, sf), ITEMS.each().name("qty"), "doc", ("key",), segments=True).select("key", N.normalized(F.col("pointer")).alias("path")))
 add("facade_exists", I + "SELECT key, bool_or(qty > 45) AS found FROM i GROUP BY key", lambda s, sf: (lambda d: d.select("key", N.exists(d, ITEMS.where(lambda v: v["qty"] > 45), "doc").alias("found")))(order_docs(s, sf)))
 add("facade_count", I + "SELECT key, count(*) FILTER (qty > 45) AS n FROM i GROUP BY key", lambda s, sf: (lambda d: d.select("key", N.count(d, ITEMS.where(lambda v: v["qty"] > 45), "doc").alias("n")))(order_docs(s, sf)))
 add("facade_first_last", I + "SELECT key, arg_min(qty, pos) AS a, arg_max(qty, pos) AS b FROM i GROUP BY key", lambda s, sf: (lambda d: d.select("key", N.first(d, ITEMS.each().name("qty"), "doc").alias("a"), N.last(d, ITEMS.each().name("qty"), "doc").alias("b")))(order_docs(s, sf)))
@@ -164,21 +164,31 @@ add("mergepatch_apply", I + "SELECT key, 'Q' AS prio, CAST(NULL AS varchar) AS s
 
 # leaf tables
 _D = lambda s, sf: L.shred(order_docs(s, sf), "doc", "key")
-add("leaf_shred", I + "SELECT key, '/items/' || pos || '/flag' AS pointer, 'string' AS type, flag AS value FROM i UNION ALL SELECT key, '/items', 'array', NULL FROM i GROUP BY key", lambda s, sf: _D(s, sf).where(F.col("pointer").rlike(r"\A/items(/\d+/flag)?\z")).drop("size"))
+add("leaf_shred", I + "SELECT key, '' AS pointer, 'object' AS type, NULL AS value, 4 AS size FROM i WHERE pos = 0 UNION ALL SELECT key, '/key', 'number', key::varchar, NULL FROM i WHERE pos = 0 UNION ALL SELECT key, '/prio', 'string', prio, NULL FROM i WHERE pos = 0 UNION ALL SELECT key, '/status', 'string', status, NULL FROM i WHERE pos = 0 UNION ALL SELECT key, '/items', 'array', NULL, cnt FROM i WHERE pos = 0 UNION ALL SELECT key, '/items/' || pos, 'object', NULL, 5 FROM i UNION ALL SELECT key, '/items/' || pos || '/n', 'number', n::varchar, NULL FROM i UNION ALL SELECT key, '/items/' || pos || '/qty', 'number', qty::varchar, NULL FROM i UNION ALL SELECT key, '/items/' || pos || '/price', 'number', round(price)::bigint::varchar, NULL FROM i UNION ALL SELECT key, '/items/' || pos || '/disc', 'number', disc::varchar, NULL FROM i UNION ALL SELECT key, '/items/' || pos || '/flag', 'string', flag, NULL FROM i", lambda s, sf: _D(s, sf).withColumn("value", F.when(F.col("pointer").endswith("/price"), F.round(F.col("value").cast("double")).cast("long").cast("string")).otherwise(F.col("value"))))
 add("leaf_subtree", I + "SELECT key, 6 AS n FROM i WHERE pos = 0", lambda s, sf: _D(s, sf).where(L.subtree("/items/0")).groupBy("key").agg(F.count("*").alias("n")))
 _log = lambda s, sf: table(s, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "ts", F.concat(F.lit("/"), "event_type").alias("pointer"), F.col("value").cast("decimal(20,4)").cast("string").alias("value"), F.lit(None).cast("string").alias("previous_value"))
-add("leaf_latest", "SELECT user_id AS key, '/' || event_type AS pointer, arg_max(event_id, event_id) AS seq, count(*) AS version FROM events GROUP BY ALL", lambda s, sf: L.latest(_log(s, sf).withColumn("value", F.col("seq")), "key").withColumnRenamed("value", "seq"))
-add("diff_docs", I + "SELECT key, 'replace' AS op, '/items/' || pos || '/qty' AS pointer FROM i WHERE qty > 45 UNION ALL SELECT key, 'remove', '/status' FROM i WHERE status = 'F' GROUP BY key", lambda s, sf: (lambda d, v: L.diff(L.shred(d, "doc", "key"), L.shred(d.select("key", reshape.transform(v, ITEMS.where(lambda x: x["qty"] > 45).name("qty"), lambda x: x.col + 1).withField("status", F.when(F.col("doc.status") != "F", F.col("doc.status"))).alias("doc")), "doc", "key"), "key").drop("value").where("pointer <> ''"))(*_doc(s, sf)))
+add("leaf_latest", "SELECT user_id AS key, '/' || event_type AS pointer, arg_max(CAST(value AS decimal(20,4)), event_id)::varchar AS value, count(*) AS version FROM events GROUP BY ALL", lambda s, sf: L.latest(_log(s, sf), "key"))
+add("leaf_deleted", "SELECT user_id AS key, '/' || event_type AS pointer, count(*) AS version FROM events GROUP BY ALL HAVING max(event_id) % 3 <> 0", lambda s, sf: L.latest(_log(s, sf).withColumn("value", F.when(F.col("seq") % 3 != 0, F.coalesce("value", F.lit("0")))), "key").select("key", "pointer", "version"))
+_D2 = lambda s, sf: order_docs(s, sf).select("key", F.struct("doc.*", F.array(F.lit("a")).alias("tags"), F.lit("x").alias("gone")).alias("a")).withColumn("b", F.struct("a.key", "a.prio", F.when(F.col("a.status") != "F", F.col("a.status")).alias("status"), reshape.transform(Value(F.col("a.items"), order_docs(s, sf).schema["doc"].dataType["items"].dataType), Path().where(lambda x: x["qty"] > 45).name("qty"), lambda x: x.col + 1).alias("items"), F.when(F.col("key") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("c"))).alias("tags"), F.struct(F.struct(F.col("key").alias("k")).alias("in")).alias("extra")))
+_diff = lambda tests: lambda s, sf: (lambda d: d.select("key", F.explode(patches.diff(N.root(d, "a"), N.root(d, "b"), tests)).alias("d")).select("key", "d.*"))(_D2(s, sf))
+_D2SQL = {"replace": ["'/items/' || pos || '/qty', CAST(qty + 1 AS varchar) FROM i WHERE qty > 45", "'/tags', '[\"a\",\"b\"]' FROM i WHERE pos = 0 AND key % 3 = 0", "'/tags/0', '\"c\"' FROM i WHERE pos = 0 AND key % 3 <> 0"], "remove": ["'/status', NULL FROM i WHERE status = 'F' AND pos = 0", "'/gone', NULL FROM i WHERE pos = 0"], "add": ["'/extra', '{\"in\":{\"k\":' || key || '}}' FROM i WHERE pos = 0"], "test": ["'/items/' || pos || '/qty', CAST(qty AS varchar) FROM i WHERE qty > 45", "'/tags', '[\"a\"]' FROM i WHERE pos = 0 AND key % 3 = 0", "'/tags/0', '\"a\"' FROM i WHERE pos = 0 AND key % 3 <> 0", "'/status', '\"F\"' FROM i WHERE status = 'F' AND pos = 0", "'/gone', '\"x\"' FROM i WHERE pos = 0"]}
+_union = lambda ops: " UNION ALL ".join(f"SELECT key, '{op}' AS op, {x.split(',', 1)[0]} AS pointer, {x.split(',', 1)[1].split(' FROM ')[0]} AS value FROM {x.split(' FROM ')[1]}" for op in ops for x in _D2SQL[op])
+add("diff_docs", I + _union(("replace", "remove", "add")), _diff(False))
+add("diff_tests", I + _union(("replace", "remove", "add", "test")), _diff(True))
+add("diff_order", I + "SELECT key, CASE WHEN status = 'F' THEN 2 ELSE 1 END AS removals_first FROM i WHERE pos = 0", lambda s, sf: (lambda d: d.select("key", patches.diff(N.root(d, "a"), N.root(d, "b")).alias("d")).select("key", F.size(F.filter(F.slice("d", 1, 2), lambda x: x["op"] == "remove")).cast("long").alias("removals_first")))(_D2(s, sf)))
+add("diff_frames", "SELECT o_orderkey AS key, 'replace' AS op, '/s' AS pointer, '\"Z\"' AS value FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey, 'add', '', '{\"k\":' || o_orderkey || ',\"s\":\"O\"}' FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'remove', '', NULL FROM orders WHERE o_orderstatus = 'F'", lambda s, sf: (lambda o: patches.diff_frames(o.where("s <> 'O'").select("key", F.struct(F.col("key").alias("k"), "s").alias("doc")), o.where("s <> 'F'").select("key", F.struct(F.col("key").alias("k"), F.when(F.col("s") == "P", "Z").otherwise(F.col("s")).alias("s")).alias("doc")), "key", "doc"))(table(s, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("s"))))
 
 # stored arrays
-_arr = lambda make: lambda s, sf: (lambda d, v: d.select("key", make(_Q(v).col).alias("a")).select("key", F.size("a").cast("long").alias("n"), F.get("a", F.lit(0)).alias("head"), F.try_element_at("a", F.lit(-1)).alias("tail")))(*_doc(s, sf))
-add("arr_push", I + "SELECT key, count(*) + 1 AS n, arg_min(qty, pos) AS head, 9.0 AS tail FROM i GROUP BY key", _arr(lambda a: A.push(a, F.lit(9.0))))
-add("arr_unshift", I + "SELECT key, count(*) + 1 AS n, 9.0 AS head, arg_max(qty, pos) AS tail FROM i GROUP BY key", _arr(lambda a: A.unshift(a, F.lit(9.0))))
-add("arr_pop", I + "SELECT key, cnt - 1 AS n, max(qty) FILTER (pos = 0 AND cnt > 1) AS head, max(qty) FILTER (pos = cnt - 2) AS tail FROM i GROUP BY key, cnt", _arr(A.pop))
-add("arr_shift", I + "SELECT key, cnt - 1 AS n, max(qty) FILTER (pos = 1) AS head, max(qty) FILTER (pos = cnt - 1 AND cnt > 1) AS tail FROM i GROUP BY key, cnt", _arr(A.shift))
-add("arr_splice", I + "SELECT key, cnt - CASE WHEN cnt > 1 THEN 1 ELSE 0 END + 1 AS n, max(qty) FILTER (pos = 0) AS head, CASE WHEN cnt > 2 THEN max(qty) FILTER (pos = cnt - 1) ELSE 9.0 END AS tail FROM i GROUP BY key, cnt", _arr(lambda a: A.splice(a, 1, 1, F.lit(9.0))))
-add("arr_sort", I + "SELECT key, count(*) AS n, min(qty) AS head, max(qty) AS tail FROM i GROUP BY key", _arr(A.sort))
-add("arr_reverse", I + "SELECT key, count(*) AS n, arg_max(qty, pos) AS head, arg_min(qty, pos) AS tail FROM i GROUP BY key", _arr(A.reverse))
+_arr = lambda make: lambda s, sf: (lambda d, v: d.select("key", F.array_join(F.transform(make(_Q(v).col), lambda x: x.cast("int").cast("string")), ",").alias("a")))(*_doc(s, sf))
+_all = lambda order="pos", where="true": f"string_agg(CAST(qty::int AS varchar), ',' ORDER BY {order}) FILTER ({where})"
+_joined = lambda *parts: I + f"SELECT key, concat_ws(',', {', '.join(parts)}) AS a FROM i GROUP BY key"
+add("arr_push", _joined(_all(), "'9'"), _arr(lambda a: A.push(a, F.lit(9.0))))
+add("arr_unshift", _joined("'9'", _all()), _arr(lambda a: A.unshift(a, F.lit(9.0))))
+add("arr_pop", _joined(_all(where="pos < cnt - 1")), _arr(A.pop))
+add("arr_shift", _joined(_all(where="pos > 0")), _arr(A.shift))
+add("arr_splice", _joined(_all(where="pos = 0"), "'9'", _all(where="pos > 1")), _arr(lambda a: A.splice(a, 1, 1, F.lit(9.0))))
+add("arr_sort", _joined(_all("qty")), _arr(A.sort))
+add("arr_reverse", _joined(_all("pos DESC")), _arr(A.reverse))
 
 # collections: a customer's orders by price; ties by key
 _coll = lambda s, sf: C.numbered(table(s, sf, "orders").select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price")), F.desc("price"), "key", by=("cust",))
@@ -191,15 +201,16 @@ add("coll_take", _C + "SELECT cust, key FROM c WHERE pos < 2", lambda s, sf: C.t
 add("coll_take_right", _C + "SELECT cust, key FROM c WHERE pos < n - 2", lambda s, sf: C.take(_coll(s, sf), 2, right=True, by=_by)[1].select("cust", "key"))
 add("coll_find", _C + "SELECT cust, arg_min(key, pos) AS key FROM c WHERE status = 'O' GROUP BY cust", lambda s, sf: C.find(_coll(s, sf), F.col("status") == "O", by=_by).select("cust", "key"))
 add("coll_reverse", _C + "SELECT cust, key, n - 1 - pos AS pos FROM c", lambda s, sf: C.reverse(_coll(s, sf), by=_by).select("cust", "key", "pos"))
-_grouped = lambda d: C.group_lists(d, F.col("status"), "key").groupBy("key").agg(F.sum(F.size("rows").cast("long")).alias("n"))
-add("coll_group", "SELECT o_orderstatus AS key, count(*) AS n FROM orders WHERE o_custkey < 50 GROUP BY 1", lambda s, sf: _grouped(_coll(s, sf).where("cust < 50")))
-add("coll_group_all", "SELECT o_orderstatus AS key, count(*) AS n FROM orders GROUP BY 1", lambda s, sf: _grouped(_coll(s, sf)))
+_runs = lambda d: C.group_lists(d, F.col("status"), "key").select(F.col("key").alias("status"), F.explode("rows").alias("r")).select("status", "r.key")
+add("coll_group", "SELECT o_orderstatus AS status, o_orderkey AS key FROM orders", lambda s, sf: _runs(_coll(s, sf)))
+add("coll_group_all", "SELECT o_orderstatus AS key, count(*) AS n FROM orders GROUP BY 1", lambda s, sf: _runs(_coll(s, sf)).groupBy(F.col("status").alias("key")).agg(F.count("*").alias("n")))
 add("coll_has_any", _C + "SELECT cust, bool_or(status = 'P') AS has FROM c GROUP BY cust", lambda s, sf: C.has_any(_coll(s, sf), F.col("status") == "P", _by))
 add("coll_has_all", _C + "SELECT cust, bool_or(status = 'P') AND bool_or(status = 'O') AS has FROM c GROUP BY cust", lambda s, sf: C.has_all(_coll(s, sf), [F.col("status") == "P", F.col("status") == "O"], _by))
 add("coll_cross", "SELECT r_name AS a, n_name AS b FROM region CROSS JOIN nation", lambda s, sf: C.cross(table(s, sf, "region").select(F.col("r_name").alias("a")), table(s, sf, "nation").select(F.col("n_name").alias("b"))))
 add("coll_numbered", "SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS pos FROM customer", lambda s, sf: C.numbered(table(s, sf, "customer"), "c_name", "c_custkey").select("c_custkey", "pos"))
 add("coll_packed_id", "SELECT n_nationkey, n_nationkey * 256 + n_regionkey AS id FROM nation", lambda s, sf: table(s, sf, "nation").select("n_nationkey", C.packed_id({"n_nationkey": 8, "n_regionkey": 0}).alias("id")))
 add("coll_shuffle", None, lambda s, sf: C.shuffle(_coll(s, sf), 5, "key", by=_by).select("cust", "key", "pos"))
+add("coll_shuffle_whole", "SELECT o_custkey AS cust, count(*) AS n, count(*) * (count(*) - 1) / 2.0 AS places, sum(o_orderkey) AS keys FROM orders GROUP BY 1", lambda s, sf: C.shuffle(_coll(s, sf), 5, "key", by=_by).groupBy("cust").agg(F.count("*").alias("n"), F.sum("pos").cast("double").alias("places"), F.sum("key").alias("keys")))
 add("coll_take_random", None, lambda s, sf: C.take_random(table(s, sf, "customer").select("c_custkey"), 10, 3, "c_custkey"))
 
 # subscriptions
@@ -244,6 +255,8 @@ def conversation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("geo_names", "SELECT r_regionkey, '/name' AS pointer, r_name AS value FROM region UNION ALL SELECT n_regionkey, '/nations/' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) || '/name', n_name FROM nation", lambda s, sf: N.query(region_docs(s, sf), Path().descend("name"), "doc", ("r_regionkey",)).drop("ord"))
+_geo = lambda s, sf: table(s, sf, "customer").join(F.broadcast(table(s, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(s, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", F.struct(F.col("r_name").alias("name"), F.struct(F.col("n_name").alias("name"), F.struct(F.col("c_name").alias("name")).alias("customer")).alias("nation")).alias("doc"))
+add("geo_customers", "SELECT c_custkey, unnest(['/name', '/nation/name', '/nation/customer/name']) AS pointer, unnest([r_name, n_name, c_name]) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", lambda s, sf: N.query(_geo(s, sf), Path().descend("name"), "doc", ("c_custkey",)).drop("ord"))
 add("conv_user_turns", "SELECT conv_id, '/turns/' || p || '/text' AS pointer, text AS value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations) WHERE role = 'user' AND text IS NOT NULL", lambda s, sf: N.query(conversation_docs(s, sf), Path().name("turns").where(lambda v: v["role"] == "user").name("text"), "doc", ("conv_id",)).drop("ord"))
 _variant = lambda s, sf: order_docs(s, sf).select("key", F.expr("to_variant_object(doc)").alias("v"))
 add("variant_descend", I + _SEL.format("qty"), lambda s, sf: S.descend(_variant(s, sf), "v", "qty", ("key",), depth=3).select("key", "pointer", F.expr("cast(value as double)").alias("value")))
@@ -276,9 +289,9 @@ add("leaf_matching", I + "SELECT key, '/items/' || pos || '/flag' AS pointer, fl
 add("leaf_replace_subtree", I + "SELECT key, count(*) AS n FROM (SELECT key, unnest(['', '/key', '/prio', '/status', '/items']) FROM i WHERE pos = 0) GROUP BY key", lambda s, sf: (lambda d: L.replace_subtree(d, "/items", d.where("pointer = '/items'").withColumn("size", F.lit(0))).groupBy("key").agg(F.count("*").alias("n")))(_D(s, sf)))
 
 # the rest of stored arrays and collections
-add("arr_insert", I + "SELECT key, cnt + 1 AS n, max(qty) FILTER (pos = 0) AS head, CASE WHEN cnt = 1 THEN 9.0 ELSE max(qty) FILTER (pos = cnt - 1) END AS tail FROM i GROUP BY key, cnt", _arr(lambda a: A.insert(a, 1, F.lit(9.0))))
-add("arr_sort_text", I + "SELECT key, count(*) AS n, arg_min(qty, CAST(qty AS varchar)) AS head, arg_max(qty, CAST(qty AS varchar)) AS tail FROM i GROUP BY key", _arr(lambda a: A.sort(a, by="string")))
-add("arr_shuffle", None, _arr(lambda a: A.shuffle(a, 5)))
+add("arr_insert", _joined(_all(where="pos = 0"), "'9'", _all(where="pos > 0")), _arr(lambda a: A.insert(a, 1, F.lit(9.0))))
+add("arr_sort_text", _joined(_all("CAST(qty AS varchar)")), _arr(lambda a: A.sort(a, by="string")))
+add("arr_shuffle", _joined(_all("qty")), _arr(lambda a: A.sort(A.shuffle(a, 5))))
 add("coll_fold", _C + "SELECT cust, string_agg(status, '' ORDER BY pos DESC) AS value FROM c GROUP BY cust", lambda s, sf: C.fold(_coll(s, sf), F.lit(""), lambda a, r: F.concat(a, r["status"]), "status", by=_by, right=True))
 add("coll_give", "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN (row_number() OVER (PARTITION BY n_regionkey = 0 ORDER BY n_nationkey)) + 1 ELSE (row_number() OVER (PARTITION BY n_regionkey = 0 ORDER BY n_nationkey)) - 1 + CASE WHEN (row_number() OVER (PARTITION BY n_regionkey = 0 ORDER BY n_nationkey)) > 2 THEN (SELECT count(*) FROM nation WHERE n_regionkey = 0) ELSE 0 END END AS pos FROM nation", lambda s, sf: C.give(C.numbered(table(s, sf, "nation").where("n_regionkey <> 0"), "n_nationkey"), C.numbered(table(s, sf, "nation").where("n_regionkey = 0"), "n_nationkey"), 2).select("n_nationkey", "pos"))
 add("coll_hex_id", "SELECT n_nationkey, printf('%08x', n_nationkey * 256 + n_regionkey) AS id, n_nationkey AS field FROM nation", lambda s, sf: table(s, sf, "nation").withColumn("p", C.packed_id({"n_nationkey": 8, "n_regionkey": 0})).select("n_nationkey", C.hex_id(F.col("p")).alias("id"), C.field_of_id(F.col("p"), 8).cast("int").alias("field")))
@@ -287,6 +300,54 @@ _tree = lambda s, sf: table(s, sf, "customer").select(F.concat(F.lit("c"), "c_cu
 add("coll_ancestors", "SELECT 'c' || c_custkey AS key, 'n' || c_nationkey AS ancestor, 1 AS distance FROM customer UNION ALL SELECT 'c' || c_custkey, 'r' || n_regionkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1 FROM nation", lambda s, sf: C.ancestors(_tree(s, sf), "id", "up", depth=2))
 add("coll_score", "SELECT n_regionkey, CAST(least(40, sum(n_nationkey)) AS double) AS score FROM nation GROUP BY 1", lambda s, sf: table(s, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.col("n_nationkey").cast("double"))).alias("c")).select("n_regionkey", C.clamped_score(0, F.col("c"), 0, 40).alias("score")))
 
+# JSON nulls, absent members and types in VARIANT documents: one event in five has each kind of x
+_KINDS = ('{}', '{"x":null}', '{"x":false}', '{"x":0}', '{"x":""}')
+_truth = lambda s, sf: table(s, sf, "events").select("event_id", F.parse_json(F.concat(F.lit('{"xs":['), F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 5 + 1).cast("int")), F.lit("]}"))).alias("v"))
+for _name, _test, _kinds in (
+    ("exists", lambda v: v["x"].exists(), "1, 2, 3, 4"), ("is_null", lambda v: v["x"] == None, "1"), ("is_missing", lambda v: v["x"] == v["missing"], "0"),  # noqa: E711
+    ("not_one", lambda v: v["x"] != 1, "0, 1, 2, 3, 4"), ("below_one", lambda v: v["x"] < 1, "3"), ("at_most_missing", lambda v: v["x"] <= v["missing"], "0"), ("not_exists", lambda v: ~v["x"].exists(), "0"),
+    ("is_false", lambda v: v["x"] == False, "2"), ("is_empty", lambda v: v["x"] == "", "4"), ("is_object", lambda v: v == {"x": 0}, "3"), ("type_null", lambda v: V.is_type(v["x"], "null"), "1"), ("to_boolean", lambda v: V.to_boolean(v), "1, 2, 3, 4"), ("below_text", lambda v: v["x"] < "a", "4"), ("plus", lambda v: v["x"] + 1 == 1, "3"), ("length", lambda v: V.length(v["x"]).col == 0, "4"),  # noqa: E712
+):
+    add(f"truth_{_name}", f"SELECT event_id, '/xs/0' AS pointer FROM events WHERE event_id % 5 IN ({_kinds})", lambda s, sf, t=_test: N.query(_truth(s, sf), Path().name("xs").where(t), "v", ("event_id",)).select("event_id", "pointer"))
+_nulls = lambda s, sf: order_docs(s, sf).select("key", F.struct(F.transform("doc.items", lambda x: F.when(x["qty"] > 25, x["qty"])).alias("q")).alias("doc"))
+_NQ = "SELECT key, '/q/' || pos AS pointer, CASE WHEN qty > 25 THEN qty END AS value FROM i"
+add("sel_null_elements", I + _NQ, lambda s, sf: N.query(_nulls(s, sf), Path().name("q").each(), "doc", ("key",)).drop("ord"))
+add("filt_null_elements", I + _NQ + " WHERE qty <= 25", lambda s, sf: N.query(_nulls(s, sf), Path().name("q").where(lambda v: v == None), "doc", ("key",)).drop("ord"))  # noqa: E711
+add("sel_variant", I + "SELECT key, '/items/' || pos || '/' || f AS pointer, v AS value FROM (SELECT key, pos, qty, unnest(['qty', 'flag']) AS f, unnest([qty::int::varchar, flag]) AS v FROM i) WHERE qty > 40", lambda s, sf: N.query(_variant(s, sf), ITEMS.where(lambda v: v["qty"] > 40).union(Path().name("qty"), Path().name("flag")), "v", ("key",)).select("key", "pointer", F.coalesce(F.try_variant_get("value", "$", "double").cast("int").cast("string"), F.try_variant_get("value", "$", "string")).alias("value")))
+add("sel_variant_index", I + "SELECT key, '/items/' || pos || '/qty' AS pointer, qty AS value FROM i WHERE pos = cnt - 1", lambda s, sf: N.query(_variant(s, sf), ITEMS.index(-1).name("qty"), "v", ("key",)).select("key", "pointer", F.try_variant_get("value", "$", "double").alias("value")))
+add("filt_embedded", I + "SELECT key, '/pairs/0' AS pointer FROM i GROUP BY key HAVING count(*) FILTER (qty > 45) > 1", lambda s, sf: N.query(order_docs(s, sf).select("key", F.struct(F.array("doc").alias("pairs")).alias("d")), Path().name("pairs").where(lambda v: V.count(ITEMS.where(lambda w: w["qty"] > 45).array(v)).col > 1), "d", ("key",)).select("key", "pointer"))
+add("res_segments", I + "SELECT key, 'items' AS a, pos AS b, 'qty' AS c, '$[''items''][' || pos || '][''qty'']' AS path, '/items/' || pos || '/qty' AS pointer FROM i", lambda s, sf: N.query(order_docs(s, sf), ITEMS.each().name("qty"), "doc", ("key",), segments=True).select("key", F.col("pointer")[0]["name"].alias("a"), F.col("pointer")[1]["index"].alias("b"), F.col("pointer")[2]["name"].alias("c"), N.normalized(F.col("pointer")).alias("path"), N.pointer_of(F.col("pointer")).alias("pointer")))
+add("res_numeric_names", "SELECT o_orderkey AS key, '$[''m''][''0'']' AS path FROM orders", lambda s, sf: N.query(table(s, sf, "orders").select(F.col("o_orderkey").alias("key"), F.struct(F.create_map(F.lit("0"), "o_totalprice").alias("m")).alias("d")), Path().name("m").each(), "d", ("key",), segments=True).select("key", N.normalized(F.col("pointer")).alias("path")))
+add("multi_query_nodes", I + "SELECT key, count(*) AS n, '/items/' || max(cnt) - 1 || '/qty' AS last FROM i GROUP BY key", lambda s, sf: N.query_set_nodes(order_docs(s, sf), {"q": ITEMS.each().name("qty")}, "doc").select("key", F.size("q").cast("long").alias("n"), F.try_element_at("q", F.lit(-1))["pointer"].alias("last")))
+
+# functions on odd values
+_lit = lambda x: Value(F.lit(x), V.S)
+for _name, _make, _sql in (
+    ("match_malformed", lambda d: V.match(d["prio"], "[a") | V.search(d["prio"], "*a") | V.search(d["prio"], "a{2,1}") | V.search(d["prio"], "(a") | V.match(d["prio"], "a)") | V.search(d["prio"], "[b-a]") | V.search(d["prio"], "a++"), "false"),
+    ("search_class", lambda d: V.search(d["prio"], "^[0-9]-[A-Z]+$"), "regexp_matches(prio, '^[0-9]-[A-Z]+$')"), ("match_category", lambda d: V.match(d["status"], "\\p{Lu}"), "true"), ("match_dot", lambda d: V.match(Value(F.concat(d["status"].col, F.lit("\n")), V.S), ".."), "false"),
+    ("to_string_null", lambda d: V.to_string(Value(F.when(d["status"].col != "F", d["status"].col), V.S, F.lit(True))).col, "CASE WHEN status = 'F' THEN 'null' ELSE status END"), ("to_number_hex", lambda d: V.to_number(Value(F.concat(F.lit("0x1"), F.hex(d["key"].col % 16), F.lit("0" * 17)), V.S)).col, "(16 + key % 16) * pow(16.0, 17)"),
+    ("to_boolean_empty", lambda d: V.to_boolean(_map(d)) & ~V.to_boolean(Value(F.from_json(F.lit("{}"), "map<string,string>"), _M)), "true"), ("is_null", lambda d: V.is_type(Value(F.when(d["status"].col != "F", d["status"].col), V.S, F.lit(True)), "null"), "status = 'F'"),
+    ("is_number", lambda d: V.is_type(d["key"], "number") & ~V.is_type(d["prio"], "number"), "true"), ("is_boolean", lambda d: V.is_type(Value(d["status"].col == "F", V.B), "boolean"), "true"), ("is_type_object", lambda d: V.is_type(d["items"][0], "object") & ~V.is_type(d["items"][99], "object"), "true"),
+    ("sort_whole", lambda d: F.array_join(F.transform(V.sort(_Q(d)).col, lambda x: x.cast("int").cast("string")), ","), "string_agg(qty::int::varchar, ',' ORDER BY qty)"), ("unique_whole", lambda d: F.array_join(F.array_sort(V.unique(_F(d)).col), ","), "array_to_string(list_sort(list_distinct(list(flag))), ',')"), ("flatten_whole", lambda d: F.array_join(V.flatten(Value(F.array(_F(d).col, _F(d).col), T.ArrayType(T.ArrayType(T.StringType())))).col, ""), "string_agg(flag, '' ORDER BY pos) || string_agg(flag, '' ORDER BY pos)"),
+    ("type_of_all", lambda d: F.concat_ws(",", V.type_of(d["key"]).col, V.type_of(d["prio"]).col, V.type_of(d).col, V.type_of(d["zz"]).col), "'number,string,object'"),
+):
+    per_doc(f"fn_{_name}", _make, f"SELECT key, {_sql} AS value{_G}")
+
+# more patches, pointers, limits and collections
+add("patch_if_exists", I + "SELECT key, status AS was, CASE WHEN cnt > 2 THEN 'Z' ELSE status END AS status, CASE WHEN cnt <= 2 THEN 'n' END AS note FROM i WHERE pos = 0", lambda s, sf: patches.PatchBuilder().if_exists("/items/2").replace("/status", "Z").if_not_exists("/items/2").add("/note", "n").apply(order_docs(s, sf).withColumn("was", F.col("doc.status")), "doc").select("key", "was", "doc.status", "doc.note"))
+add("patch_all", I + "SELECT key, 7.0 * count(*) AS q, 1.0 * count(*) AS d, count(*) FILTER (flag <> 'R') AS n FROM (SELECT *, 1 AS one FROM i WHERE flag <> 'R') GROUP BY key UNION ALL SELECT key, 0, 0, 0 FROM i GROUP BY key HAVING count(*) FILTER (flag <> 'R') = 0", lambda s, sf: patches.PatchBuilder().remove_all(ITEMS.where(lambda v: v["flag"] == "R")).replace_all(ITEMS.each().name("qty"), 7.0).add_all(ITEMS.each().name("disc"), 1.0).apply(order_docs(s, sf), "doc").select("key", _sum(F.col("doc.items"), "qty").alias("q"), _sum(F.col("doc.items"), "disc").alias("d"), F.size("doc.items").cast("long").alias("n")))
+add("patch_operations", I + "SELECT key, 'remove' AS op, '/items/' || pos AS path, NULL AS value, row_number() OVER (PARTITION BY key ORDER BY pos DESC) - 1 AS ord FROM i WHERE qty > 45", lambda s, sf: (lambda d, v: d.select("key", F.posexplode(patches.operations(v, ITEMS.where(lambda x: x["qty"] > 45), "remove")).alias("ord", "o")).select("key", "o.*", F.col("ord").cast("long").alias("ord")))(*_doc(s, sf)))
+add("reshape_transform_all", I + "SELECT key, sum(qty * 2 + 1) AS q, prio || '!' AS prio FROM i GROUP BY key, prio", lambda s, sf: reshape.transform_all(order_docs(s, sf), "doc", [(ITEMS.each().name("qty"), lambda x: x.col * 2), (ITEMS.each().name("qty"), lambda x: x.col + 1), (Path().name("prio"), lambda x: F.concat(x.col, F.lit("!")))]).select("key", _sum(F.col("doc.items"), "qty").alias("q"), "doc.prio"))
+add("merge_union", I + "SELECT key, list_sort(list_distinct(list_concat(list(flag), ['Z'])))::varchar AS flags FROM i GROUP BY key", lambda s, sf: (lambda d: d.select("key", F.concat(F.lit("["), F.array_join(F.array_sort(reshape.merge_deep(_F(N.root(d, "doc")), Value(F.array(F.lit("Z")), T.ArrayType(V.S)), "union")), ", "), F.lit("]")).alias("flags")))(order_docs(s, sf)))
+add("ptr_relative_to", I + "SELECT key, disc AS value FROM i WHERE pos = 0", lambda s, sf: (lambda d, v: d.select("key", P.get(v, P.relative("/items/0/qty", P.relative_to("/items/0/qty", P.concat("/items", "/0", "/disc")))).col.alias("value")))(*_doc(s, sf)))
+add("ptr_with_parent", I + "SELECT key, qty AS value, 5 AS members FROM i WHERE pos = 0", lambda s, sf: (lambda d, v: d.select("key", P.with_parent(v, "/items/0/qty")[0].col.alias("value"), V.length(P.with_parent(v, "/items/0/qty")[1]).col.alias("members")))(*_doc(s, sf)))
+add("ptr_get_or_raise", I + "SELECT key, qty AS value FROM i WHERE pos = 0", lambda s, sf: (lambda d, v: d.select("key", P.get_or_raise(v, "/items/0/qty").alias("value")))(*_doc(s, sf)))
+add("limits_secure", I + _SEL.format("qty"), lambda s, sf: limits.secure_query(order_docs(s, sf), ITEMS.each().name("qty"), "doc", ("key",)).drop("ord"))
+add("limits_block", I + _SEL.format("qty") + "WHERE pos <> 0", lambda s, sf: N.query(order_docs(s, sf), ITEMS.each().name("qty"), "doc", ("key",)).where(limits.allowed(block=("/items/0",))).drop("ord"))
+add("coll_find_index", _C + "SELECT cust, max(pos) AS pos FROM c WHERE status = 'O' GROUP BY cust", lambda s, sf: C.find(_coll(s, sf), F.col("status") == "O", right=True, by=_by).select("cust", "pos"))
+add("coll_give_right", _C + "SELECT cust, key, CASE WHEN status = 'P' THEN greatest(f - 1, 0) + row_number() OVER (PARTITION BY cust, status = 'P' ORDER BY pos) - 1 ELSE r + CASE WHEN r >= f - 1 THEN p ELSE 0 END END AS pos FROM (SELECT *, row_number() OVER (PARTITION BY cust, status = 'P' ORDER BY pos) - 1 AS r, count(*) FILTER (status = 'P') OVER (PARTITION BY cust) AS p, count(*) FILTER (status <> 'P') OVER (PARTITION BY cust) AS f FROM c)", lambda s, sf: (lambda d: C.give(C.sort_by(d.where("status <> 'P'"), by=_by), C.sort_by(d.where("status = 'P'"), by=_by), 1, by=_by, right=True).select("cust", "key", "pos"))(_coll(s, sf)))
+add("sub_query_computed", "SELECT user_id AS key, count(DISTINCT event_type) AS value FROM events GROUP BY 1", lambda s, sf: B.query_computed(L.latest(_log(s, sf).withColumn("value", F.coalesce("value", F.lit("0"))), "key"), "key", Path().each(), lambda f: F.size(f).cast("long")))
+
 
 def queries() -> dict[str, Callable]:
     return dict(Q)

@@ -5,6 +5,7 @@
 A path lowers to plain expressions: field access where each step yields one node, higher-order
 functions where a step yields many. No rows are exploded until rows are asked for, so column
 pruning and filters reach the scan. Nodes keep document order and are never deduplicated.
+Over VARIANT columns each node is a VARIANT; descend() there needs the depth that sources.documents asks for.
 """
 
 from __future__ import annotations
@@ -86,9 +87,12 @@ class Path:
             v = v[key]
         return v
 
-    def nodes(self, v: Value, pointer: Column | None = None) -> tuple[Column, T.DataType]:
-        """An array of the nodes, as (pointer, value) structs, and the values' type."""
-        return _nodes(self.steps, v, F.lit("") if pointer is None else pointer)
+    def nodes(self, v: Value, segments: bool = False) -> tuple[Column, T.DataType]:
+        """An array of the nodes, as (pointer, value) structs, and the values' type.
+
+        segments: pointer is an array of (name, index) structs, of which one is null, instead of text.
+        """
+        return _nodes(self.steps, v, F.array().cast(SEGMENTS) if segments else F.lit(""), segments=segments)
 
     def array(self, v: Value) -> Value:
         """The node values as one array value."""
@@ -96,28 +100,43 @@ class Path:
         return Value(F.transform(arr, lambda n: n["value"]), T.ArrayType(t))
 
 
-def _struct(pointer: Column, value: Column) -> Column:
-    return F.struct(pointer.alias("pointer"), value.alias("value"))
+#: Where a node is, step by step.
+SEGMENTS = T.ArrayType(T.StructType().add("name", T.StringType()).add("index", T.IntegerType()))
 
 
-def _present(arr: Column) -> Column:
-    return F.filter(arr, lambda n: n["value"].isNotNull())
+def _below(at: Column, token: Column | str, index: bool, segments: bool) -> Column:
+    """The place of a child: its container's with a name or an index."""
+    if segments:
+        name, number = (F.lit(None), token) if index else (token if isinstance(token, Column) else F.lit(token), F.lit(None))
+        return F.array_append(at, F.struct(name.cast("string").alias("name"), number.cast("int").alias("index")))
+    return F.concat(at, F.lit("/" + escape(token))) if isinstance(token, str) else F.concat(at, F.lit("/"), token.cast("string") if index else escape(token))
+
+
+def _struct(pointer: Column, value: Column) -> Column:
+    return F.struct(pointer.alias("pointer"), value.alias("value"))
 
 
-def _none(t: T.DataType) -> tuple[Column, T.DataType]:
-    return F.array().cast(T.ArrayType(T.StructType().add("pointer", T.StringType()).add("value", t))), t
+def _none(t: T.DataType, segments: bool = False) -> tuple[Column, T.DataType]:
+    return F.array().cast(T.ArrayType(T.StructType().add("pointer", SEGMENTS if segments else T.StringType()).add("value", t))), t
 
 
-def _children(v: Value, pointer: Column) -> tuple[Column, T.DataType]:
+def _children(v: Value, pointer: Column, segments: bool) -> tuple[Column, T.DataType]:
+    """All elements or member values; null ones too, but for a struct's, which are absent."""
     t = v.dtype
+    elements = lambda col: F.transform(col, lambda x, i: _struct(_below(pointer, i, True, segments), x))
+    members = lambda col: F.transform(F.map_entries(col), lambda e: _struct(_below(pointer, e["key"], False, segments), e["value"]))
     if isinstance(t, T.ArrayType):
-        return F.coalesce(F.transform(v.col, lambda x, i: _struct(F.concat(pointer, F.lit("/"), i.cast("string")), x)), _none(t.elementType)[0]), t.elementType
+        return F.coalesce(elements(v.col), _none(t.elementType, segments)[0]), t.elementType
     if isinstance(t, T.MapType):
-        return F.coalesce(F.transform(F.map_entries(v.col), lambda e: _struct(F.concat(pointer, F.lit("/"), escape(e["key"])), e["value"])), _none(t.valueType)[0]), t.valueType
+        return F.coalesce(members(v.col), _none(t.valueType, segments)[0]), t.valueType
+    if isinstance(t, T.VariantType):
+        as_map, as_array = F.try_variant_get(v.col, "$", "map<string,variant>"), F.try_variant_get(v.col, "$", "array<variant>")
+        return F.coalesce(members(as_map), elements(as_array), _none(t, segments)[0]), t
     if isinstance(t, T.StructType):
         common = _common([f.dataType for f in t])
-        return F.array(*(_struct(F.concat(pointer, F.lit("/" + escape(f.name))), _as(v.col[f.name], f.dataType, common)) for f in t)), common
-    return _none(t or T.StringType())
+        all_ = F.array(*(_struct(_below(pointer, f.name, False, segments), _as(v.col[f.name], f.dataType, common)) for f in t))
+        return F.filter(all_, lambda n: n["value"].isNotNull()), common
+    return _none(t or T.StringType(), segments)
 
 
 def _common(types: list[T.DataType]) -> T.DataType:
@@ -169,58 +188,64 @@ def _descendants(t: T.DataType, key: str | None) -> list[tuple]:
     return found
 
 
-def _token(pointer: Column) -> Column:
+def _token(pointer: Column, segments: bool) -> Column:
     """The last token of a pointer."""
+    if segments:
+        last = F.try_element_at(pointer, F.lit(-1))
+        return F.coalesce(last["name"], last["index"].cast("string"))
     last = F.regexp_extract(pointer, r"[^/]*\z", 0)
     return F.replace(F.replace(last, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
 
 
-def _nodes(steps: tuple, v: Value, pointer: Column, above: tuple = ()) -> tuple[Column, T.DataType]:
+def _nodes(steps: tuple, v: Value, pointer: Column, above: tuple = (), segments: bool = False) -> tuple[Column, T.DataType]:
     """The nodes of steps from v; above has the containers of v with their pointers, inner ones first."""
     if not steps:
-        return _present(F.array(_struct(pointer, v.col))), v.dtype or T.StringType()
+        t = v.dtype or T.StringType()
+        return F.when(v.exists(), F.array(_struct(pointer, v.col.cast(t) if v.dtype is None else v.col))).otherwise(_none(t, segments)[0]), t
     (kind, *args), rest = steps[0], steps[1:]
     inside = ((v, pointer), *above)
     if kind in ("parent", "key") and not above:
-        return _none(v.dtype or T.StringType())
+        return _none(v.dtype or T.StringType(), segments)
     if kind == "parent":
         holder, at = above[0]
-        return _nodes(rest, Value(F.when(v.exists(), holder.col), holder.dtype), at, above[1:])
+        return _nodes(rest, Value(holder.col, holder.dtype, v.exists() & holder.exists()), at, above[1:], segments)
     if kind == "key":
         of = T.LongType() if above[0][0].kind == "array" else T.StringType()
-        return _nodes(rest, Value(F.when(v.exists(), _token(pointer).cast(of)), of), pointer, above)
+        return _nodes(rest, Value(F.when(v.exists(), _token(pointer, segments).cast(of)), of), pointer, above, segments)
     if kind == "name":
-        return _nodes(rest, v[args[0]], F.concat(pointer, F.lit("/" + escape(args[0]))), inside)
+        return _nodes(rest, v[args[0]], _below(pointer, args[0], False, segments), inside, segments)
     if kind == "index":
         i = args[0]
-        at = F.lit(str(i)) if i >= 0 else (F.size(v.col) + i).cast("string") if v.kind == "array" else F.lit("")
-        return _nodes(rest, v[i], F.concat(pointer, F.lit("/"), at), inside)
+        size = F.size(F.try_variant_get(v.col, "$", "array<variant>") if v.kind == "variant" else v.col) if v.kind in ("array", "variant") else F.lit(0)
+        return _nodes(rest, v[i], _below(pointer, F.lit(i) if i >= 0 else size + i, True, segments), inside, segments)
     if kind in ("union", "descend"):
         paths = [p.steps for p in args[0]] if kind == "union" else _descendants(v.dtype, args[0])
-        parts = [_nodes((*p, *rest), v, pointer, above) for p in paths]
+        parts = [_nodes((*p, *rest), v, pointer, above, segments) for p in paths]
         if not parts:
-            return _none(T.StringType())
+            return _none(T.StringType(), segments)
         common = _common([t for _, t in parts])
         alike = lambda a, t: F.transform(a, lambda n: _struct(n["pointer"], _as(n["value"], t, common)))
         kept = [alike(a, t) for a, t in parts]
         return F.concat(*kept), common
-    arr, t = _children(v, pointer)
+    arr, t = _children(v, pointer, segments)
     if kind == "slice":
-        if v.kind != "array":
-            return _none(T.StringType())
+        if v.kind not in ("array", "variant"):
+            return _none(T.StringType(), segments)
         arr = F.transform(_positions(F.size(arr), *args), lambda i: F.get(arr, i))
+        if v.kind == "variant":
+            arr = F.when(v.runtime_kind() == "array", arr).otherwise(_none(t, segments)[0])
     elif kind == "where":
-        arr = F.filter(arr, lambda n: n["value"].isNotNull() & args[0](Value(n["value"], t)))
+        arr = F.filter(arr, lambda n: args[0](Value(n["value"], t, F.lit(True))))
     if not rest:
-        return _present(arr), t
+        return arr, t
     below: list[T.DataType] = []
 
     def step(n: Column) -> Column:
-        sub, kind_below = _nodes(rest, Value(n["value"], t), n["pointer"], inside)
+        sub, kind_below = _nodes(rest, Value(n["value"], t, F.lit(True)), n["pointer"], inside, segments)
         below.append(kind_below)
         return sub
 
-    return F.flatten(F.transform(_present(arr), step)), below[-1]
+    return F.flatten(F.transform(arr, step)), below[-1]
 
 
 def root(df: DataFrame, column: str | None = None) -> Value:
@@ -230,9 +255,9 @@ def root(df: DataFrame, column: str | None = None) -> Value:
     return Value(F.col(column), df.schema[column].dataType)
 
 
-def query(df: DataFrame, path: Path, column: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a node: the kept columns, ord (0 upwards in a document), pointer and value."""
-    arr, _ = path.nodes(root(df, column))
+def query(df: DataFrame, path: Path, column: str | None = None, keep: tuple[str, ...] = (), segments: bool = False) -> DataFrame:
+    """One row a node: the kept columns, ord (0 upwards in a document), pointer (or its segments) and value."""
+    arr, _ = path.nodes(root(df, column), segments)
     return df.select(*keep, F.posexplode(arr).alias("ord", "node")).select(*keep, "ord", "node.pointer", "node.value")
 
 
@@ -263,16 +288,22 @@ def last(df: DataFrame, path: Path, column: str | None = None) -> Column:
     return path.array(root(df, column))[-1].col
 
 
-def normalized(pointer: Column) -> Column:
-    """A pointer as a normalized path; digits alone are taken as an index."""
-    token = lambda t: F.when(t.rlike(r"\A(0|[1-9][0-9]*)\z"), F.concat(F.lit("["), t, F.lit("]"))).otherwise(F.concat(F.lit("['"), F.replace(F.replace(F.replace(F.replace(t, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("']")))
-    return F.concat(F.lit("$"), F.array_join(F.transform(F.slice(F.split(pointer, "/"), 2, 1 << 20), token), ""))
+def normalized(segments: Column) -> Column:
+    """The normalized path of a node's segments; a member named 0 stays a name."""
+    quoted = lambda t: F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    step = lambda s: F.coalesce(F.concat(F.lit("['"), quoted(s["name"]), F.lit("']")), F.concat(F.lit("["), s["index"].cast("string"), F.lit("]")))
+    return F.concat(F.lit("$"), F.array_join(F.transform(segments, step), ""))
+
+
+def pointer_of(segments: Column) -> Column:
+    """The pointer of a node's segments."""
+    return F.array_join(F.transform(segments, lambda s: F.concat(F.lit("/"), F.coalesce(escape(s["name"]), s["index"].cast("string")))), "")
 
 
 def parents(nodes: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The distinct parents' pointers of nodes, from the pointer column; a root has none."""
+    """The distinct parents' pointers of nodes, with ord, the place at which each is first seen; a root has none."""
     parent = F.regexp_replace("pointer", r"/[^/]*\z", "")
-    return nodes.where("pointer <> ''").select(*keep, parent.alias("pointer")).distinct()
+    return nodes.where("pointer <> ''").groupBy(*keep, parent.alias("pointer")).agg(F.min("ord").alias("ord"))
 
 
 def query_set(df: DataFrame, paths: dict[str, Path], column: str | None = None) -> DataFrame:
@@ -280,6 +311,11 @@ def query_set(df: DataFrame, paths: dict[str, Path], column: str | None = None)
     return df.withColumns({name: p.array(root(df, column)).col for name, p in paths.items()})
 
 
+def query_set_nodes(df: DataFrame, paths: dict[str, Path], column: str | None = None, segments: bool = False) -> DataFrame:
+    """As query_set, with the nodes' pointers (or segments) beside their values."""
+    return df.withColumns({name: p.nodes(root(df, column), segments)[0] for name, p in paths.items()})
+
+
 def pattern(path: Path) -> str:
     """The regular expression of the pointers that a path of names, indexes, each() and descend() takes in."""
     out = ""

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 def numbered(df: DataFrame, *order, by: tuple[str, ...] = ()) -> DataFrame:
     """df with pos in that order. Without `by` the frame is numbered by a range sort and counts
-    per partition, so no task sees all rows."""
+    per partition, so no task sees all rows. Both read one sorted copy, checkpointed where the
+    session names a folder for it (spark.checkpoint.dir), so ties can't fall differently."""
     if by:
         return df.withColumn("pos", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
     part = df.sort(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        part = part.checkpoint()
     first = part.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("low"))
     first = first.withColumn("before", F.sum("n").over(Window.orderBy("_p")) - F.col("n")).select("_p", "low", "before")
     return part.join(F.broadcast(first), "_p").withColumn("pos", F.col("before") + F.col("_i") - F.col("low")).drop("_p", "_i", "low", "before")
@@ -58,10 +61,13 @@ def take(df: DataFrame, n: int, right: bool = False, offset: int = 0, by: tuple[
     return df.where(inside), df.where(~inside)
 
 
-def give(df: DataFrame, rows: DataFrame, offset: int = 0) -> DataFrame:
-    """df with rows (of the same columns, with a pos of their own) put in at offset from the left."""
-    n = rows.count()
-    return df.withColumn("pos", F.when(F.col("pos") >= offset, F.col("pos") + n).otherwise(F.col("pos"))).unionByName(rows.withColumn("pos", F.col("pos") + offset))
+def give(df: DataFrame, rows: DataFrame, offset: int = 0, by: tuple[str, ...] = (), right: bool = False) -> DataFrame:
+    """df with rows (of the same columns, with a pos of their own) put in at offset from the left, or from the right end."""
+    sized = lambda d, other, name: d.join(other.groupBy(*by).agg(F.count("*").alias(name)), list(by), "left") if by else d.crossJoin(F.broadcast(other.agg(F.count("*").alias(name))))
+    both = lambda d: sized(sized(d, rows, "_m"), df, "_k").withColumns({"_m": F.coalesce("_m", F.lit(0)), "_k": F.coalesce("_k", F.lit(0))})
+    at = F.greatest(F.col("_k") - offset, F.lit(0)) if right else F.least(F.lit(offset), F.col("_k"))
+    old = both(df).withColumn("pos", F.col("pos") + F.when(F.col("pos") >= at, F.col("_m")).otherwise(0))
+    return old.unionByName(both(rows).withColumn("pos", F.col("pos") + at)).drop("_m", "_k")
 
 
 def group_lists(df: DataFrame, key: Column, *cols: str, size: int = 4096) -> DataFrame:

@@ -6,25 +6,35 @@ whole patch one projection. Columns are immutable: a failed row leaves nothing h
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomdoc.functions.paths import Path, escape
 from loomdoc.functions.values import Value, literal
 
 from . import pointers as P
+from . import reshape
 
 #: The operations and what each must have besides op and path.
 NEEDS = {"add": ("value",), "remove": (), "replace": ("value",), "move": ("from",), "copy": ("from",), "test": ("value",)}
 
 
+#: Operations of a builder on all nodes of a path.
+ALL = {"replace_all": ("value",), "remove_all": (), "add_all": ("value",)}
+
+
 class PatchError(ValueError):
     """An operation that is malformed, or names a place that the column does not have."""
 
 
 def validate(patch: list[dict]) -> None:
     for i, op in enumerate(patch):
-        if op.get("op") not in NEEDS or "path" not in op or any(k not in op for k in NEEDS[op["op"]]):
+        needs = (NEEDS | ALL).get(op.get("op"))
+        if needs is None or "path" not in op or any(k not in op for k in needs):
             raise PatchError(f"operation {i} is malformed: {op}")
 
 
@@ -35,9 +45,15 @@ def _value(x) -> Column:
 def apply_patch(df: DataFrame, column: str, patch: list[dict]) -> DataFrame:
     """df with the patched column. A row that fails a test, or lacks what an operation needs, stops the query."""
     validate(patch)
+    if any("when" in op for op in patch):
+        return _apply_where(df, column, patch)
     for op in patch:
         v = Value(F.col(column), df.schema[column].dataType)
         kind, path = op["op"], op["path"]
+        if kind in ALL:
+            change = {"remove_all": lambda v, p: reshape.omit(v, p)}.get(kind, lambda v, p, x=op.get("value"): reshape.transform(v, p, lambda _: _value(x)))
+            df = df.withColumn(column, change(v, path))
+            continue
         if kind == "test":
             new = F.when(P.get(v, path) == Value(_value(op["value"]), _typed(op["value"])), v.col).otherwise(F.raise_error(F.lit(f"test failed at {path}")).cast(v.dtype))
         elif kind == "add":
@@ -62,6 +78,22 @@ def apply_patch(df: DataFrame, column: str, patch: list[dict]) -> DataFrame:
     return df
 
 
+def _apply_where(df: DataFrame, column: str, patch: list[dict]) -> DataFrame:
+    """As apply_patch, with operations that hold in some rows only: those where `when` holds of the unpatched document."""
+    start = Value(F.col(column), df.schema[column].dataType)
+    df = df.withColumns({f"_when{i}": op["when"](start) for i, op in enumerate(patch) if "when" in op})
+    for i, op in enumerate(patch):
+        plain = {k: x for k, x in op.items() if k != "when"}
+        if "when" not in op:
+            df = apply_patch(df, column, [plain])
+            continue
+        old = df.schema[column].dataType
+        # a row in which the operation does not hold must not fail for it
+        done = apply_patch(df.withColumn("_done", F.when(F.col(f"_when{i}"), F.col(column))), "_done", [plain])
+        df = done.withColumn(column, F.when(F.col(f"_when{i}"), F.col("_done")).otherwise(_fitted(F.col(column), old, done.schema["_done"].dataType))).drop("_done", f"_when{i}")
+    return df
+
+
 def _typed(x) -> T.DataType | None:
     return None if isinstance(x, Column) else literal(x).dtype
 
@@ -140,22 +172,55 @@ def _fitted(col: Column, given: T.DataType, wanted: T.DataType) -> Column:
     return col.cast(wanted)
 
 
+def operations(v: Value, path: Path, op: str, value=None) -> Column:
+    """A row's operations of one kind at all nodes of a path, as an array of (op, path, value), value as JSON text.
+
+    Removals come in reverse order, so that positions in arrays hold until they are used.
+    """
+    nodes, _ = path.nodes(v)
+    text = F.lit(None).cast("string") if op == "remove" else _json(Value(_value(value), _typed(value), F.lit(True)))
+    made = F.transform(nodes, lambda n: F.struct(F.lit(op).alias("op"), n["pointer"].alias("path"), text.alias("value")))
+    return F.reverse(made) if op == "remove" else made
+
+
 class PatchBuilder:
-    """Builds a patch step by step; `when` takes or leaves the operations after it, until the next."""
+    """Builds a patch step by step; when, if_exists and if_not_exists decide on the next operation alone."""
 
     def __init__(self) -> None:
         self.ops: list[dict] = []
-        self._on = True
+        self._next: bool | Callable[[Value], Column] = True
 
     def when(self, condition: bool) -> PatchBuilder:
-        self._on = condition
+        self._next = condition
+        return self
+
+    def if_exists(self, path: str) -> PatchBuilder:
+        """The next operation holds in rows whose unpatched document has something at path."""
+        self._next = lambda v: P.exists(v, path)
+        return self
+
+    def if_not_exists(self, path: str) -> PatchBuilder:
+        self._next = lambda v: ~P.exists(v, path)
         return self
 
     def _op(self, **op) -> PatchBuilder:
-        if self._on:
-            self.ops.append(op)
+        on, self._next = self._next, True
+        if on is not False:
+            self.ops.append(op if on is True else op | {"when": on})
         return self
 
+    def replace_all(self, path: Path, value) -> PatchBuilder:
+        return self._op(op="replace_all", path=path, value=value)
+
+    def add_all(self, path: Path, value) -> PatchBuilder:
+        """Adds at every node of a path that ends in a name, which replaces it."""
+        if path.steps[-1][0] != "name":
+            raise PatchError("add_all wants a path that ends in a name; operations() gives insertions into arrays")
+        return self._op(op="add_all", path=path, value=value)
+
+    def remove_all(self, path: Path) -> PatchBuilder:
+        return self._op(op="remove_all", path=path)
+
     def add(self, path: str, value) -> PatchBuilder:
         return self._op(op="add", path=path, value=value)
 
@@ -165,11 +230,11 @@ class PatchBuilder:
     def replace(self, path: str, value) -> PatchBuilder:
         return self._op(op="replace", path=path, value=value)
 
-    def move(self, source: str, path: str) -> PatchBuilder:
-        return self._op(op="move", path=path, **{"from": source})
+    def move(self, start: str, path: str) -> PatchBuilder:
+        return self._op(op="move", path=path, **{"from": start})
 
-    def copy(self, source: str, path: str) -> PatchBuilder:
-        return self._op(op="copy", path=path, **{"from": source})
+    def copy(self, start: str, path: str) -> PatchBuilder:
+        return self._op(op="copy", path=path, **{"from": start})
 
     def test(self, path: str, value) -> PatchBuilder:
         return self._op(op="test", path=path, value=value)
@@ -300,3 +365,65 @@ def _changes(a: Value, b: Value) -> Column:
     inner = F.array_join(F.array(*named), ",")
     whole = F.coalesce(_json(b), F.lit("null"))
     return F.when(a.exists() & b.exists(), F.when(inner != "", F.concat(F.lit("{"), inner, F.lit("}")))).when(a.exists() | b.exists(), whole)
+
+
+def is_valid_merge_patch(patch) -> bool:
+    """Whether a value can be written as JSON, which is all that a merge patch must be."""
+    try:
+        json.dumps(patch, allow_nan=False)
+    except (TypeError, ValueError, RecursionError):
+        return False
+    return True
+
+
+#: A row's differences; value is JSON text.
+DIFF = "array<struct<op:string,pointer:string,value:string>>"
+
+
+def diff(old: Value, new: Value, tests: bool = False, at: Column | None = None) -> Column:
+    """The operations that lead from one document of a row to another, removals before additions in every object.
+
+    Each is at the topmost place that differs and has the whole new value as JSON text. Arrays are
+    compared element by element if they are of one size, else replaced. tests: before a removal or
+    replacement comes a test of the old value. Both documents are in the row, so nothing is shuffled.
+    """
+    at = F.lit("") if at is None else at
+    none = F.array().cast(DIFF)
+    entry = lambda op, value, place: F.struct(F.lit(op).alias("op"), place.alias("pointer"), value.alias("value"))
+    text = lambda v: F.when(v.exists(), _json(v))
+    gone = lambda v, place: F.array(*[entry("test", text(v), place)] * tests, entry("remove", F.lit(None).cast("string"), place))
+    added = lambda v, place: F.array(entry("add", text(v), place))
+    replaced = F.array(*[entry("test", text(old), at)] * tests, entry("replace", text(new), at))
+    whole = F.when(old == new, none).otherwise(replaced)
+    both = old.exists() & new.exists() & old.col.isNotNull() & new.col.isNotNull()
+    below = lambda n: F.concat(at, F.lit("/" + escape(n)))
+    if isinstance(old.dtype, T.StructType) and isinstance(new.dtype, T.StructType):
+        out = [F.when(old[n].exists() & ~new[n].exists(), gone(old[n], below(n))).otherwise(none) for n in old.dtype.names]
+        for n in new.dtype.names:
+            inner = diff(old[n], new[n], tests, below(n)) if n in old.dtype.names else none
+            out.append(F.when(~new[n].exists(), none).when(old[n].exists(), inner).otherwise(added(new[n], below(n))))
+        return F.when(both, F.concat(*out)).otherwise(whole)
+    if isinstance(old.dtype, T.MapType) and isinstance(new.dtype, T.MapType):
+        place = lambda k: F.concat(at, F.lit("/"), escape(k))
+        member = lambda v, k: Value(F.try_element_at(v.col, k), v.dtype.valueType, F.lit(True))
+        lost = F.transform(F.filter(F.map_keys(old.col), lambda k: ~F.map_contains_key(new.col, k)), lambda k: gone(member(old, k), place(k)))
+        rest = F.transform(F.map_keys(new.col), lambda k: F.when(F.map_contains_key(old.col, k), diff(member(old, k), member(new, k), tests, place(k))).otherwise(added(member(new, k), place(k))))
+        return F.when(both, F.flatten(F.concat(lost, rest))).otherwise(whole)
+    if old.kind == new.kind == "array":
+        pairs = F.zip_with(old.col, new.col, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        each = F.transform(pairs, lambda x, i: diff(Value(x["a"], old.dtype.elementType, F.lit(True)), Value(x["b"], new.dtype.elementType, F.lit(True)), tests, F.concat(at, F.lit("/"), i.cast("string"))))
+        return F.when(both & (F.size(old.col) == F.size(new.col)), F.flatten(each)).otherwise(whole)
+    return whole
+
+
+def diff_frames(old: DataFrame, new: DataFrame, key: str, column: str, tests: bool = False) -> DataFrame:
+    """key, op, pointer, value: the differences of the documents of two frames, which meet by one join on the key.
+
+    A document that only one frame has is removed or added as a whole.
+    """
+    a, b = (df.select(key, F.struct(F.col(column).alias("doc")).alias(n)) for df, n in ((old, "_a"), (new, "_b")))
+    both = a.join(b, key, "full")
+    x, y = (Value(F.col(f"{n}.doc"), df.schema[column].dataType) for n, df in (("_a", old), ("_b", new)))
+    whole = lambda op, v: F.array(F.struct(F.lit(op).alias("op"), F.lit("").alias("pointer"), v.alias("value")))
+    ops = F.when(F.col("_a").isNull(), whole("add", _json(y))).when(F.col("_b").isNull(), whole("remove", F.lit(None).cast("string"))).otherwise(diff(x, y, tests))
+    return both.select(key, F.explode(ops).alias("d")).select(key, "d.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from os.path import commonprefix
 from urllib.parse import quote, unquote
 
 from pyspark.sql import Column
@@ -38,6 +39,31 @@ def parent(text: str) -> str:
     return pointer(*tokens(text)[:-1])
 
 
+def concat(*texts: str) -> str:
+    """Pointers one below the other."""
+    return pointer(*(t for text in texts for t in tokens(text)))
+
+
+def is_valid(text: str) -> bool:
+    try:
+        tokens(text)
+    except PointerError:
+        return False
+    return True
+
+
+def normalize(text: str | list) -> str:
+    """A pointer in its plain form, of text, a fragment or a list of tokens."""
+    return pointer(*(tokens(text) if isinstance(text, str) else text))
+
+
+def relative_to(current: str, target: str) -> str:
+    """The relative pointer that leads from one pointer to another."""
+    here, there = tokens(current), tokens(target)
+    shared = len(commonprefix([here, there]))
+    return f"{len(here) - shared}{pointer(*there[shared:])}"
+
+
 def relative(current: str, rel: str):
     """Where a relative pointer leads from current: a pointer, or with # the key's name."""
     m = re.fullmatch(r"(0|[1-9][0-9]*)(?:(#)|((?:/.*)?))", rel, re.S)

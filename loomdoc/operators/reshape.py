@@ -44,6 +44,13 @@ def transform(v: Value, path: Path, change: Callable[[Value], Column]) -> Column
     return v.col
 
 
+def transform_all(df: DataFrame, column: str, changes: list[tuple[Path, Callable[[Value], Column]]]) -> DataFrame:
+    """df with a column's nodes changed path by path, each on what the one before made."""
+    for path, change in changes:
+        df = df.withColumn(column, transform(root(df, column), path, change))
+    return df
+
+
 def omit(v: Value, path: Path) -> Column:
     """v's column without the nodes of a path; array positions are those before the removal."""
     *head, (kind, *args) = path.steps

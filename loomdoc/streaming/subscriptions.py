@@ -69,6 +69,15 @@ def computed(state: DataFrame, key: str, pointers: dict[str, str], make: Callabl
     return wanted.groupBy(key).agg(*cols).select(key, make(*(F.col(n) for n in pointers)).alias("value"))
 
 
+def query_computed(state: DataFrame, key: str, path: Path, make: Callable[[Column], Column]) -> DataFrame:
+    """key and value: a value derived from the array of (pointer, value) at all pointers that a path takes in.
+
+    Which pointers there are may change with the state; they are ordered as text.
+    """
+    found = state.where(F.col("pointer").rlike(pattern(path)))
+    return found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pointer", "value"))).alias("found")).select(key, make(F.col("found")).alias("value"))
+
+
 def attach(changes: DataFrame, on: Callable[[DataFrame], None], checkpoint: str, before: Callable[[DataFrame], DataFrame] | None = None, after: Callable[[DataFrame], None] | None = None, once: bool = True) -> StreamingQuery:
     """Runs a stream of changes through before (which may drop some), on and after, batch by batch."""
 

@@ -85,7 +85,41 @@ def test_functions(df):
     assert ask(df, V.flatten(Value(F.array(F.array(F.lit(1)), F.array(F.lit(2))), df.select(F.array(F.array(F.lit(1))).alias("x")).schema["x"].dataType)).col)[0] == [1, 2]
 
 
+@pytest.mark.parametrize("bad", ["[a", "*a", "a{2,1}", "(a", "a)", "[b-a]", "a**", "a*?", "a{,3}", "a}", "[a[b]]", "\\\\q", "\\\\p{Xx}", "(?:a)"])
+def test_malformed_patterns_match_nothing(df, bad):
+    bad = bad.replace("\\\\", "\\")
+    assert V._regex(bad) is None
+    assert ask(df, V.match(root(df, "d")["s"], bad)) == [False] * 3
+
+
+def test_diff_of_maps_nulls_and_structs(spark):
+    t = "id int, a struct<m:map<string,int>,xs:array<int>,o:struct<p:int,q:string>>, b struct<m:map<string,int>,xs:array<int>,o:struct<p:int,q:string>>"
+    rows = [(1, ({"k": 1, "l/m": 2, "n": 3}, [1, None, 3], (1, "x")), ({"k": 1, "l/m": 5, "z": None}, [1, 2, None], None)), (2, None, ({}, [], (None, None))), (3, None, None)]
+    d = spark.createDataFrame(rows, t)
+    got = {r.id: [(x.op, x.pointer, x.value) for x in r.d] for r in d.select("id", patches.diff(root(d, "a"), root(d, "b")).alias("d")).collect()}
+    assert got[1][:2] == [("remove", "/o", None), ("remove", "/m/n", None)] and got[1][4:] == [("replace", "/xs/1", "2"), ("replace", "/xs/2", "null")]
+    assert set(got[1][2:4]) == {("replace", "/m/l~1m", "5"), ("add", "/m/z", "null")}
+    assert got[2] == [("replace", "", '{"m":{},"xs":[],"o":{}}')] and got[3] == []
+
+
+def test_secure_query_refuses(df):
+    with pytest.raises(PathError):
+        limits.secure_query(df, Path().descend("x"), "d")
+    assert limits.secure_query(df, Path().name("xs").each(), "d").count() == 5
+    for over in ({"max_results": 4}, {"max_depth": 1}, {"max_nodes": 0}):
+        with pytest.raises(Exception, match="limits"):
+            limits.secure_query(df, Path().name("xs").each(), "d", **over).collect()
+
+
+def test_builder_conditions_hold_once():
+    ops = patches.PatchBuilder().when(False).add("/a", 1).add("/b", 2).if_exists("/c").remove("/c").remove("/d").ops
+    assert [(o["op"], o["path"], "when" in o) for o in ops] == [("add", "/b", False), ("remove", "/c", True), ("remove", "/d", False)]
+    assert patches.is_valid_merge_patch({"a": None}) and not patches.is_valid_merge_patch({"a": {1, 2}}) and not patches.is_valid_merge_patch(float("nan"))
+
+
 def test_pointer_algebra():
+    assert pointers.relative_to("/a/b/c", "/a/x") == "2/x" and pointers.relative_to("/a", "/a") == "0" and pointers.concat("/a", "", "/b~1c") == "/a/b~1c"
+    assert pointers.is_valid("/a") and not pointers.is_valid("a") and pointers.normalize("#/a%20b") == "/a b" and pointers.normalize(["a/b", 0]) == "/a~1b/0"
     assert pointers.tokens("/a~1b/~0c/0") == ["a/b", "~c", "0"] and pointers.tokens("#/a%20b") == ["a b"]
     assert pointers.relative("/a/b", "0/c") == "/a/b/c" and pointers.relative("/a/b", "1#") == "a" and pointers.relative("/a/b/c", "2/x/y") == "/a/x/y"
     for bad in ("a", "/~2"):
@@ -124,7 +158,7 @@ def test_patch_errors(df):
 def test_patch_conversions(df):
     merge = {"a": {"b": 1, "c": None}, "d": [1]}
     assert patches.merge_of(patches.patch_of(merge)) == merge
-    assert [o["op"] for o in patches.PatchBuilder().add("/a", 1).when(False).remove("/b").when(True).copy("/a", "/c").ops] == ["add", "copy"]
+    assert [o["op"] for o in patches.PatchBuilder().add("/a", 1).when(False).remove("/b").copy("/a", "/c").ops] == ["add", "copy"]
     both = df.select("d", df.d.withField("a", df.d.a + 1).withField("z", F.lit('q"')).dropFields("b").alias("e"))
     text = [r[0] for r in both.select(patches.create_merge_patch(root(both, "d"), root(both, "e"))).collect()]
     assert text == ['{"a":6,"b":null,"z":"q\\""}', '{"z":"q\\""}', "{}"]
@@ -169,8 +203,8 @@ def test_shred_and_diff(df):
     rows = leaves.shred(df, "d", "id")
     assert {(r.pointer, r.value, r.size) for r in rows.where("id = 2").collect()} == {("", None, 3), ("/s", "", None), ("/xs", None, 0), ("/m", None, 0)}
     new = df.select("id", reshape.transform(root(df, "d"), Path().name("xs"), lambda x: arrays.push(x.col, F.lit(7))).alias("d"))
-    ops = leaves.diff(rows, leaves.shred(new, "d", "id"), "id").where("id < 3")
-    assert {(r.op, r.pointer) for r in ops.collect()} == {("replace", "/xs")}
+    ops = patches.diff_frames(df, new, "id", "d").where("id < 3").collect()
+    assert {(r.id, r.op, r.pointer, r.value) for r in ops} == {(1, "replace", "/xs", "[1,2,3,4,5,7]"), (2, "replace", "/xs", "[7]")}
 
 
 def test_limits(spark):
