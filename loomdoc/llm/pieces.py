@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import bucketed, parts, str_texts, table
 
 #: Characters of text that a block holds, but for its last document; a task holds one block.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 32 << 20
 #: Characters of all texts to one owner of words; a task holds the distinct words of one owner's share.
 OWNER_CHARS = 16 << 20
 MARK = "▁"
@@ -101,8 +101,34 @@ def unpack_lists(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return raw[1 : 1 + raw[0]], raw[1 + raw[0] :]
 
 
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2**28 as bytes of seven bits, lowest first, the last one below 128; and the bytes of each."""
+    size = 1 + (values >= 1 << 7).astype(np.int8) + (values >= 1 << 14) + (values >= 1 << 21)
+    starts = np.cumsum(size, dtype=np.int64) - size
+    out = np.zeros(int(size.sum(dtype=np.int64)), np.uint8)
+    for k in range(4):
+        has = size > k
+        out[starts[has] + k] = (values[has] >> 7 * k & 127) | np.where(size[has] > k + 1, 128, 0)
+    return out, size
+
+
+def read_varints(raw: np.ndarray) -> np.ndarray:
+    if not len(raw):
+        return np.zeros(0, np.int32)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    out = (raw[starts] & 127).astype(np.int32)
+    for k in range(1, 4):
+        has = ends - starts >= k
+        out[has] |= (raw[starts[has] + k] & 127).astype(np.int32) << 7 * k
+    return out
+
+
+#: Words of a block that are put in place at once.
+SLICE_WORDS = 1 << 19
+
 #: A row is a document (words) or a block's message to an owner (numbers of its words in the block, and the words).
-_SPLIT = "block long, doc_id long, words array<int>, owner int, numbers array<int>, packed binary"
+_SPLIT = "block long, doc_id long, words binary, owner int, numbers array<int>, packed binary"
 
 
 def _split(block_chars: int, owners: int):
@@ -112,15 +138,22 @@ def _split(block_chars: int, owners: int):
         i32, lists = pa.int32(), pa.list_(pa.int32())
         names = [x.split()[0] for x in _SPLIT.split(", ")]
         n = len(ids)
-        words = pa.ListArray.from_arrays(pa.array(np.array([0, *ends], np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
+        # frequent words get the small numbers
+        flat = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
+        rank = np.empty(len(number), np.int32)
+        rank[np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")] = np.arange(len(number), dtype=np.int32)
+        body, size = varints(rank[flat])
+        cuts = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.array([0, *ends], np.int64)].astype(np.int32)
+        words = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts), pa.py_buffer(body)])
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(ids, pa.int64()), words, pa.nulls(n, i32), pa.nulls(n, lists), pa.nulls(n, pa.binary())], names)
+        del flat, body, size, words
         known = list(number)
         whose = np.fromiter((zlib.crc32(w.encode()) % owners for w in known), np.int32, len(known))
         order = np.argsort(whose, kind="stable").astype(np.int32)
         # words in order share their beginnings with their neighbours, and their first ids: both pack better
         mine = [sorted(m.tolist(), key=known.__getitem__) for m in np.split(order, np.flatnonzero(np.diff(whose[order])) + 1) if len(m)]
         m = len(mine)
-        columns = [pa.array(np.full(m, block)), pa.nulls(m, pa.int64()), pa.nulls(m, lists), pa.array([whose[x[0]] for x in mine], i32), pa.array(mine, lists), pa.array([pack([known[i] for i in x]) for x in mine], pa.binary())]
+        columns = [pa.array(np.full(m, block)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([whose[x[0]] for x in mine], i32), pa.array([rank[x] for x in mine], lists), pa.array([pack([known[i] for i in x]) for x in mine], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
@@ -181,36 +214,48 @@ def _joined(decode: bool):
         docs = mine.filter(pc.is_null(mine.column("owner")))
         told = {r["owner"]: r for r in answers.to_pylist()}
         ends = np.cumsum(pc.list_value_length(sent.column("numbers")).to_numpy())
-        numbers = np.split(sent.column("numbers").combine_chunks().flatten().to_numpy(), ends[:-1]) if len(sent) else []
-        n = sum(map(len, numbers))
-        parts_ = [unpack_lists(told[o]["ids"]) for o in sent.column("owner").to_pylist()]
+        number = sent.column("numbers").combine_chunks().flatten().to_numpy()
+        lists = [unpack_lists(told[o]["ids"]) for o in sent.column("owner").to_pylist()]
         # the answers laid end to end, and for each word of the block where its own begins
-        flat = np.concatenate([i for _, i in parts_]) if parts_ else np.zeros(0, np.int32)
-        sizes = np.concatenate([x for x, _ in parts_]).astype(np.int64) if parts_ else np.zeros(0, np.int64)
-        number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        start, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        flat = np.concatenate([np.zeros(0, np.int32), *(i for _, i in lists)])
+        sizes = np.concatenate([np.zeros(0, np.int32), *(x for x, _ in lists)])
+        start, size = np.zeros(len(number), np.int32), np.zeros(len(number), np.int32)
         start[number], size[number] = np.cumsum(sizes) - sizes, sizes
-        words = docs.column("words").cast(pa.list_(pa.int32())).combine_chunks()
-        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        place = words.flatten().to_numpy()
-        ends = np.cumsum(size[place])
-        ids = flat[np.repeat(start[place] - (ends - size[place]), size[place]) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[bounds]
-        out = [docs.column("doc_id").combine_chunks(), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))]
-        if not decode:
-            return pa.table(out, names=["doc_id", "ids"])
-        text: list[str] = [""] * n
-        for owner, at, packed in zip(sent.column("owner").to_pylist(), numbers, sent.column("packed").to_pylist(), strict=True):
-            read = [w.replace(MARK, " ") for w in unpack(packed)]
-            for x in told[owner]["odd"]:
-                read[x["at"]] = x["text"]
-            for i, w in zip(at.tolist(), read, strict=True):
-                text[i] = w
-        pieces = pa.array(text, pa.string()).take(pa.array(place))
-        # the pieces of a text lie side by side, so the text is the bytes between its bounds
-        cuts = np.concatenate([[0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False))])[bounds].astype(np.int32)
-        texts = pa.StringArray.from_buffers(len(words), pa.py_buffer(cuts), pieces.buffers()[2] or pa.py_buffer(b""))
-        return pa.table([*out, pc.utf8_slice_codeunits(texts, 1)], names=["doc_id", "ids", "decoded"])
+        del lists, sizes
+        pieces = None
+        if decode:
+            read: list[str] = []
+            for owner, packed in zip(sent.column("owner").to_pylist(), sent.column("packed").to_pylist(), strict=True):
+                words = [w.replace(MARK, " ") for w in unpack(packed)]
+                for x in told[owner]["odd"]:
+                    words[x["at"]] = x["text"]
+                read += words
+            where = np.empty(len(number), np.int32)
+            where[number] = np.arange(len(number), dtype=np.int32)
+            pieces = pa.array(read, pa.string()).take(pa.array(where))
+            del read, where
+        raw = docs.column("words").cast(pa.binary()).combine_chunks()
+        words = read_varints(np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in raw.to_pylist())]))
+        lengths = np.array([int((np.frombuffer(x, np.uint8) < 128).sum()) for x in raw.to_pylist()], np.int64)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        del raw
+        out, at = [], 0
+        while at < len(docs):  # some documents at a time
+            upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_WORDS, side="right")) - 1)
+            place, own = words[bounds[at] : bounds[upto]], bounds[at : upto + 1] - bounds[at]
+            ends = np.cumsum(size[place], dtype=np.int64)
+            ids = flat[np.repeat(start[place] - (ends - size[place]), size[place]) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            cuts = np.concatenate([[0], ends])[own].astype(np.int32)
+            columns = [docs.column("doc_id").slice(at, upto - at).combine_chunks(), pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))]
+            if decode:
+                # the pieces of a text lie side by side, so the text is the bytes between its bounds
+                read = pieces.take(pa.array(place))
+                cuts = np.concatenate([[0], np.cumsum(pc.binary_length(read).to_numpy(zero_copy_only=False))])[own].astype(np.int32)
+                text = pa.StringArray.from_buffers(upto - at, pa.py_buffer(cuts), read.buffers()[2] or pa.py_buffer(b""))
+                columns.append(pc.utf8_slice_codeunits(text, 1))
+            out.append(pa.table(columns, names=["doc_id", "ids", "decoded"][: len(columns)]))
+            at = upto
+        return pa.concat_tables(out)
 
     return run
 

@@ -201,6 +201,19 @@ def test_pieces(spark, docs, rows):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
 
 
+def test_packing_round_trips():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for values in (np.zeros(0, np.int32), np.array([0, 127, 128, 16383, 16384, 2097151, 2097152, (1 << 28) - 1], np.int32), r.integers(0, 1 << 22, 5000).astype(np.int32)):
+        raw, size = pieces.varints(values)
+        assert (pieces.read_varints(raw) == values).all() and size.sum() == len(raw)
+    for words in ([], ["", "▁a", "▁\u00e9\U0001f642", "▁▁"]):
+        assert pieces.unpack(pieces.pack(words)) == words
+    lengths, ids = pieces.unpack_lists(pieces.pack_lists([[1, 2], [], [70000]]))
+    assert lengths.tolist() == [2, 0, 1] and ids.tolist() == [1, 2, 70000]
+
+
 def test_pieces_edges(odd, empty):
     got = pieces.encode_decode(odd, pieces.default_model()).collect()
     assert sorted(str(r.doc_id) for r in got) == ["5", "5", "6", "7", "None", "None"] and [r.ids for r in got if r.doc_id == 6] == [[]]
