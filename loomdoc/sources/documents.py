@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdoc.functions.paths import escape
+
 
 def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
     """Documents of any format that Spark reads; JSON and CSV want a schema."""
@@ -28,27 +30,33 @@ def members(df: DataFrame, variant: str) -> DataFrame:
     return df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(variant).outer()))
 
 
-_NODE = "array<struct<pointer:string,depth:int,open:boolean,value:variant>>"
-_MEMBERS = """transform(map_entries(try_variant_get(n.value, '$', 'map<string,variant>')),
-    e -> named_struct('pointer', concat(n.pointer, '/', replace(replace(e.key, '~', '~0'), '/', '~1')), 'depth', n.depth + 1, 'open', true, 'value', e.value))"""
-_ELEMENTS = """transform(try_variant_get(n.value, '$', 'array<variant>'),
-    (e, i) -> named_struct('pointer', concat(n.pointer, '/', i), 'depth', n.depth + 1, 'open', true, 'value', e))"""
+_NODE = "array<struct<place:array<int>,pointer:string,depth:int,value:variant>>"
+
+
+def _inside(n: Column) -> Column:
+    """The members or elements of a node, as nodes."""
+    node = lambda i, token, value: F.struct(F.array_append(n["place"], i).alias("place"), F.concat(n["pointer"], F.lit("/"), token).alias("pointer"), (n["depth"] + 1).alias("depth"), value.alias("value"))
+    members = F.transform(F.map_entries(F.try_variant_get(n["value"], "$", "map<string,variant>")), lambda e, i: node(i, escape(e["key"]), e["value"]))
+    elements = F.transform(F.try_variant_get(n["value"], "$", "array<variant>"), lambda e, i: node(i, i.cast("string"), e))
+    return F.coalesce(members, elements, F.array().cast(_NODE))
 
 
 def descendants(df: DataFrame, variant: str, keep: tuple[str, ...] = (), depth: int = 16) -> DataFrame:
     """keep, pointer, depth and value: a VARIANT and all that is below it, one row a node.
 
-    Each level is one explode over the rows of the level before, in one stage without a shuffle
-    or a cap: a document with values deeper than depth stops the query with an error.
+    Nodes come in document order. Each level is an array made of the level above inside the document's row, and all levels are
+    exploded once, so every node is written once, in one stage without a shuffle or a cap: a
+    document with values deeper than depth stops the query with an error.
     """
-    root = F.array(F.expr(f"named_struct('pointer', '', 'depth', 0, 'open', true, 'value', {variant})")).cast(_NODE)
-    out = df.where(F.col(variant).isNotNull()).select(*keep, F.explode(root).alias("n"))
-    below = F.coalesce(F.expr(f"CASE WHEN n.open THEN coalesce({_MEMBERS}, {_ELEMENTS}) END"), F.array()).cast(_NODE)
-    closed = F.array(F.struct("n.pointer", "n.depth", F.lit(False).alias("open"), "n.value")).cast(_NODE)
-    for _ in range(depth):
-        out = out.select(*keep, F.explode(F.concat(closed, below)).alias("n"))
-    fits = F.when(F.size(below) == 0, True).otherwise(F.raise_error(F.lit(f"values deeper than {depth}")).cast("boolean"))
-    return out.where(fits).select(*keep, "n.pointer", "n.depth", "n.value")
+    root = F.array(F.struct(F.array().cast("array<int>").alias("place"), F.lit("").alias("pointer"), F.lit(0).alias("depth"), F.col(variant).alias("value"))).cast(_NODE)
+    out = df.where(F.col(variant).isNotNull()).select(*keep, root.alias("_level0"))
+    for k in range(depth + 1):
+        out = out.withColumn(f"_level{k + 1}", F.flatten(F.transform(f"_level{k}", _inside)))
+    fits = F.when(F.size(f"_level{depth + 1}") == 0, F.concat(*(f"_level{k}" for k in range(depth + 1)))).otherwise(F.raise_error(F.lit(f"values deeper than {depth}")))
+    out = out.select(*keep, fits.alias("_all"))
+    # in the order of the document, containers before what they hold; VARIANT itself has no order
+    order = F.array_sort(F.transform("_all", lambda n, i: F.struct(n["place"].alias("place"), i.alias("i"))))
+    return out.select(*keep, F.explode(F.transform(order, lambda s: F.get("_all", s["i"]))).alias("n")).select(*keep, "n.pointer", "n.depth", "n.value")
 
 
 def descend(df: DataFrame, variant: str, name: str, keep: tuple[str, ...] = (), depth: int = 16) -> DataFrame:
