@@ -55,6 +55,28 @@ def terms_of(words: set[str]) -> set[str]:
     return out
 
 
+class Known:
+    """The voters' terms, laid out so that a text is asked only for what is known."""
+
+    def __init__(self, terms: list[str]):
+        self.none = len(terms)  # the voter that says no
+        kinds: dict[str, dict[str, int]] = {"w": {}, "s": {}, "d": {}}
+        for i, t in enumerate(terms):
+            kinds[t[0]][t[2:]] = i
+        self.words, starts, doubled = kinds["w"], kinds["s"], kinds["d"]
+        self.sizes = [(k, {s for s in (*starts, *doubled) if len(s) == k}) for k in STARTS]
+        self.starts, self.doubled = starts, doubled
+
+    def votes(self, words: set[str]) -> list[int]:
+        """The sorted numbers of the terms of a text's words; the voter that says no if there are none."""
+        found = [self.words[w] for w in words & self.words.keys()]
+        for k, known in self.sizes:
+            for s in {w[:k] for w in words} & known if known else ():
+                n = sum(len(w) > k and w.startswith(s) for w in words)
+                found += [kind[s] for least, kind in ((1, self.starts), (2, self.doubled)) if n >= least and s in kind]
+        return sorted(found) or [self.none]
+
+
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
@@ -118,13 +140,13 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
 
 def votes(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id and votes: the sorted numbers of the terms found, or the number after the last if there are none."""
-    number = {t: i for i, t in enumerate(terms)}
+    known = Known(terms)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = [sorted(map(number.__getitem__, terms_of(words_of(t)) & number.keys())) or [len(number)] for t in str_texts(batch.column(1))]
+            out = [known.votes(words_of(t)) for t in str_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "votes"])
 
     return docs.mapInArrow(run, "doc_id long, votes array<int>")
@@ -202,13 +224,11 @@ def _flat(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.cumsum(size) - size, size
 
 
-def features(text: str, number: dict[str, int]) -> list[tuple[int, float]]:
-    """Votes, each 1, and hashed beginnings, each the number of distinct words with it over the text's size."""
+def features(text: str, known: Known) -> tuple[list[int], dict[int, float]]:
+    """Votes, and hashed word beginnings, each with the number of distinct words that have it over the text's size."""
     words = words_of(text)
-    terms = sorted(map(number.__getitem__, terms_of(words) & number.keys())) or [len(number)]
-    starts = Counter(zlib.crc32(w[:4].encode()) % HASHED for w in words)
     scale = np.log(2 + len(words))
-    return [(j, 1.0) for j in terms] + [(len(number) + 1 + h, min(n, 4) / scale) for h, n in starts.items()]
+    return known.votes(words), {h: min(n, 4) / scale for h, n in Counter(zlib.crc32(w[:4].encode()) % HASHED for w in words).items()}
 
 
 def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ridge: np.ndarray, steps: int = 200) -> np.ndarray:
@@ -263,31 +283,35 @@ def toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
     train = F.broadcast(written(train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows), "train"))
     terms = learn_terms(written(_sample(texts.join(train, "doc_id").select("text", "toxic")), "sample"))
     cast = written(votes(texts, list(terms)), "votes")
-    known = cast.join(train, "doc_id", "left").groupBy("votes").agg(F.count("*").cast("double").alias("n"), F.sum(F.coalesce(1 - F.col("toxic"), F.lit(0))).cast("double").alias("clean"), F.sum(F.coalesce("toxic", F.lit(0))).cast("double").alias("toxic"))
-    model = LabelModel([*terms.values(), 0.01]).fit(written(known, "sets"))
-    number = {t: i for i, t in enumerate(terms)}
-    width = len(number) + 1 + HASHED
+    sets = cast.join(train, "doc_id", "left").groupBy("votes").agg(F.count("*").cast("double").alias("n"), F.sum(F.coalesce(1 - F.col("toxic"), F.lit(0))).cast("double").alias("clean"), F.sum(F.coalesce("toxic", F.lit(0))).cast("double").alias("toxic"))
+    model = LabelModel([*terms.values(), 0.01]).fit(written(sets, "sets"))
+    known = Known(list(terms))
+    votes_, width = known.none + 1, known.none + 1 + HASHED
 
     def read(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = [features(t, number) for t in str_texts(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([[i for i, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[x for _, x in r] for r in rows], pa.list_(pa.float32()))], ["at", "value"])
+            rows = [features(t, known) for t in str_texts(batch.column(0))]
+            at = [[*votes, *(votes_ + h for h in starts)] for votes, starts in rows]
+            value = [[*[1.0] * len(votes), *starts.values()] for votes, starts in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["at", "value"])
 
     # near fitted_rows documents: a hash of the text draws a text with its copies, and copies count once
     drawn = texts.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(max(1, docs.count() // fitted_rows))) == 0).dropDuplicates(["text"]).orderBy(F.xxhash64("text")).limit(fitted_rows)
     rows = [(np.array(r.at, np.int64), np.array(r.value)) for r in drawn.select("text").mapInArrow(read, "at array<int>, value array<float>").collect()]
-    fires = [i[i <= len(number)] for i, _ in rows]
+    fires = [i[i < votes_] for i, _ in rows]
     target = model.posterior(np.concatenate(fires), np.cumsum([0, *map(len, fires)])[:-1]) if rows else np.zeros(0)
-    ridge = np.where(np.arange(width) <= len(number), *RIDGE)
+    ridge = np.where(np.arange(width) < votes_, *RIDGE)
     weights = fit_linear(rows, target, ridge) if rows else np.zeros(width + 1)
 
     def run(batches):
         import pyarrow as pa
 
+        own, hashed = weights[:votes_].tolist(), weights[votes_:width].tolist()
         for batch in batches:
-            logit = [sum(weights[i] * x for i, x in features(t, number)) + weights[width] for t in str_texts(batch.column(1))]
+            rows = (features(t, known) for t in str_texts(batch.column(1)))
+            logit = [sum(own[i] for i in votes) + sum(hashed[h] * x for h, x in starts.items()) + weights[width] for votes, starts in rows]
             score = 1 / (1 + np.exp(-np.array(logit, float).clip(-30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 

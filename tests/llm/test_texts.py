@@ -150,6 +150,18 @@ def test_trust_never_falls_with_the_level():
     assert toxicity.terms_of({"abcdx", "abcdy", "no"}) >= {"w:no", "s:abcd", "d:abcd"} and "d:abcdx" not in toxicity.terms_of({"abcdx", "abcdy"})
 
 
+def test_known_terms_vote_as_all_terms_do():
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 9)))
+    terms = sorted(toxicity.terms_of({word() for _ in range(400)}))
+    terms = r.sample(terms, 300)
+    known = toxicity.Known(terms)
+    for _ in range(500):
+        words = {word() for _ in range(r.randint(0, 12))}
+        want = sorted(terms.index(t) for t in toxicity.terms_of(words) & set(terms))
+        assert known.votes(words) == (want or [300])
+
+
 def test_label_model_finds_accuracies_and_correlation(spark):
     import numpy as np
 
