@@ -30,7 +30,7 @@ from .common import str_texts, table, written
 #: Insults that are voters in every corpus.
 LEXICON = ("idiot", "moron", "stupid", "imbecile", "scum", "loser", "pathetic", "worthless", "disgusting", "dumbass", "bastard", "retard")
 #: Labelled rows that terms are learned from, and documents that the classifier is fitted to, at most.
-LABELLED_ROWS, FITTED_ROWS = 10_000, 20_000
+LABELLED_ROWS, FITTED_ROWS = 10_000, 10_000
 #: Learned terms at most; lengths of word beginnings.
 TERMS, STARTS = 512, (4, 5, 6, 7)
 #: Hits from which a new level of trust begins; folds that trust is measured on; least share of toxic
@@ -293,13 +293,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
 
         for batch in batches:
             rows = [features(t, known) for t in str_texts(batch.column(0))]
-            at = [[*votes, *(votes_ + h for h in starts)] for votes, starts in rows]
-            value = [[*[1.0] * len(votes), *starts.values()] for votes, starts in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["at", "value"])
+            at = [np.array([*votes, *(votes_ + h for h in starts)], np.int32).tobytes() for votes, starts in rows]
+            value = [np.array([*[1.0] * len(votes), *starts.values()], np.float32).tobytes() for votes, starts in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["at", "value"])
 
     # near fitted_rows documents: a hash of the text draws a text with its copies, and copies count once
     drawn = texts.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(max(1, docs.count() // fitted_rows))) == 0).dropDuplicates(["text"]).orderBy(F.xxhash64("text")).limit(fitted_rows)
-    rows = [(np.array(r.at, np.int64), np.array(r.value)) for r in drawn.select("text").mapInArrow(read, "at array<int>, value array<float>").collect()]
+    # numbers and values as bytes: some kilobytes a document on the driver
+    rows = [(np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32)) for r in drawn.select("text").mapInArrow(read, "at binary, value binary").collect()]
     fires = [i[i < votes_] for i, _ in rows]
     target = model.posterior(np.concatenate(fires), np.cumsum([0, *map(len, fires)])[:-1]) if rows else np.zeros(0)
     ridge = np.where(np.arange(width) < votes_, *RIDGE)
