@@ -303,7 +303,9 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     white space in a block becomes one space, blocks are joined by an empty line in page
     order. Rows may repeat. An empty input gives no rows; other columns pass through.
     """
-    own = [c for c in pages.columns if c != "main_text"]
+    own, page_html = [c for c in pages.columns if c != "main_text"], "html_of_page"
+    while page_html in own:
+        page_html = "_" + page_html
 
     def run(batches):
         import pyarrow as pa
@@ -313,7 +315,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             texts = [model.main_text(h) if h else "" for h in str_texts(batch.column(len(own)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(texts, pa.string())], [*own, "main_text"])
 
-    return pages.select(*own, F.col(html_col).alias("_html")).mapInArrow(run, pages.select(*own).schema.add("main_text", "string"))
+    return pages.select(*own, F.col(html_col).alias(page_html)).mapInArrow(run, pages.select(*own).schema.add("main_text", "string"))
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,11 @@ from .common import str_texts, table
 
 
 def token_lengths(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """n_tokens of each text in a byte-level BPE given as a rank file; null counts as empty."""
+    """n_tokens of each text in a byte-level BPE given as a rank file.
+
+    A null text counts as empty, with no tokens. Every row counts, repeated ones too; ids and
+    other columns, whatever their names, are not read. An empty input gives no rows.
+    """
 
     def run(batches):
         import pyarrow as pa
