@@ -114,8 +114,10 @@ def take_random(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
 
 
-def cross(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The product of two small enumerations, such as suits and ranks."""
+def cross(a: DataFrame, b: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The product of two small enumerations, such as suits and ranks; an error if it has over `most` rows."""
+    if a.limit(most + 1).count() * b.limit(most + 1).count() > most:
+        raise ValueError(f"a product of over {most} rows")
     return a.crossJoin(b)
 
 

@@ -207,6 +207,28 @@ def test_shred_and_diff(df):
     assert {(r.id, r.op, r.pointer, r.value) for r in ops} == {(1, "replace", "/xs", "[1,2,3,4,5,7]"), (2, "replace", "/xs", "[7]")}
 
 
+def test_products_are_small(spark):
+    assert collection.cross(spark.range(3), spark.range(4).withColumnRenamed("id", "b")).count() == 12
+    with pytest.raises(ValueError):
+        collection.cross(spark.range(3), spark.range(4).withColumnRenamed("id", "b"), most=11)
+
+
+def test_written_documents_come_back(spark, df, tmp_path):
+    documents.write(df, str(tmp_path / "json"), "json")
+    back = documents.read(spark, str(tmp_path / "json"), "json", DDL)
+    assert sorted(map(str, back.select("id", "d.xs", "d.o").collect())) == sorted(map(str, df.select("id", "d.xs", "d.o").collect()))
+    documents.write(df, str(tmp_path / "parts"), partition_by=("id",))
+    assert documents.read(spark, str(tmp_path / "parts")).where("id = 1").count() == 1
+
+
+def test_given_rows_from_either_end(spark):
+    df = spark.createDataFrame([("x", i, f"a{i}") for i in range(3)] + [("y", 0, "b0")], "g string, pos long, v string")
+    rows = spark.createDataFrame([("x", 0, "n0"), ("x", 1, "n1"), ("z", 0, "c0")], "g string, pos long, v string")
+    order = lambda d: [(r.g, r.v) for r in d.orderBy("g", "pos").collect()]
+    assert order(collection.give(df, rows, 1, by=("g",))) == [("x", "a0"), ("x", "n0"), ("x", "n1"), ("x", "a1"), ("x", "a2"), ("y", "b0"), ("z", "c0")]
+    assert order(collection.give(df, rows, 1, by=("g",), right=True))[:5] == [("x", "a0"), ("x", "a1"), ("x", "n0"), ("x", "n1"), ("x", "a2")]
+
+
 def test_limits(spark):
     with pytest.raises(PathError):
         limits.check(Path().descend("x"), descend=False)
