@@ -347,6 +347,8 @@ add("limits_block", I + _SEL.format("qty") + "WHERE pos <> 0", lambda s, sf: N.q
 add("coll_find_index", _C + "SELECT cust, max(pos) AS pos FROM c WHERE status = 'O' GROUP BY cust", lambda s, sf: C.find(_coll(s, sf), F.col("status") == "O", right=True, by=_by).select("cust", "pos"))
 add("coll_give_right", _C + "SELECT cust, key, CASE WHEN status = 'P' THEN greatest(f - 1, 0) + row_number() OVER (PARTITION BY cust, status = 'P' ORDER BY pos) - 1 ELSE r + CASE WHEN r >= f - 1 THEN p ELSE 0 END END AS pos FROM (SELECT *, row_number() OVER (PARTITION BY cust, status = 'P' ORDER BY pos) - 1 AS r, count(*) FILTER (status = 'P') OVER (PARTITION BY cust) AS p, count(*) FILTER (status <> 'P') OVER (PARTITION BY cust) AS f FROM c)", lambda s, sf: (lambda d: C.give(C.sort_by(d.where("status <> 'P'"), by=_by), C.sort_by(d.where("status = 'P'"), by=_by), 1, by=_by, right=True).select("cust", "key", "pos"))(_coll(s, sf)))
 add("sub_query_computed", "SELECT user_id AS key, count(DISTINCT event_type) AS value FROM events GROUP BY 1", lambda s, sf: B.query_computed(L.latest(_log(s, sf).withColumn("value", F.coalesce("value", F.lit("0"))), "key"), "key", Path().each(), lambda f: F.size(f).cast("long")))
+add("src_conforms", "SELECT event_id, event_id % 4 IN (0, 1) AS ok FROM events", lambda s, sf: table(s, sf, "events").select("event_id", S.conforms(F.element_at(F.array(*map(F.lit, ('{"k":1}', '{"z":0}', '{"k":"x"}', "{k"))), (F.col("event_id") % 4 + 1).cast("int")), "k INT").alias("ok")))
+add("sub_immediate", "SELECT event_id AS seq, value FROM (SELECT event_id, CAST(CAST(value AS decimal(20,4)) AS varchar) AS value FROM events WHERE event_type = 'click' AND event_id % 2 = 0) UNION ALL SELECT NULL, 'then' FROM region WHERE r_regionkey < 2", lambda s, sf: B.immediately(_log(s, sf).where("seq % 2 = 0"), table(s, sf, "region").where("r_regionkey < 2").select(F.lit("/click").alias("pointer"), F.lit("then").alias("value")), "/click").select("seq", "value"))
 
 
 def queries() -> dict[str, Callable]:

@@ -19,6 +19,12 @@ def parsed(text: Column, schema: str | None = None) -> Column:
     return F.from_json(text, schema) if schema else F.try_parse_json(text)
 
 
+def conforms(text: Column, schema: str) -> Column:
+    """Whether JSON text is well formed and its values fit a schema's types; members that are missing or unknown do no harm."""
+    marked = F.from_json(text, f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
+    return F.coalesce(marked.isNotNull() & marked["_bad"].isNull(), F.lit(False))
+
+
 def variant_value(v: Column, *path: str | int, kind: str = "string") -> Column:
     """The value at a singular path of a VARIANT; null where it is absent or of another shape."""
     at = "$" + "".join(f"[{p}]" if isinstance(p, int) else '["{}"]'.format(p.replace('"', '\\"')) for p in path)

@@ -22,6 +22,12 @@ def on_pointer(changes: DataFrame, pointer: str, deep: bool = False) -> DataFram
     return changes.where(here | F.col("pointer").startswith(pointer + "/") if deep else here)
 
 
+def immediately(changes: DataFrame, state: DataFrame, pointer: str, deep: bool = False) -> DataFrame:
+    """As on_pointer, with what the state has there already as first changes, which have no seq."""
+    now = on_pointer(state, pointer, deep).select([F.col(c) if c in state.columns else F.lit(None).cast(changes.schema[c].dataType).alias(c) for c in changes.columns if c != "seq"])
+    return on_pointer(changes, pointer, deep).unionByName(now.withColumn("seq", F.lit(None).cast(changes.schema["seq"].dataType)))
+
+
 def on_pattern(changes: DataFrame, path: Path) -> DataFrame:
     return changes.where(F.col("pointer").rlike(pattern(path)))
 
