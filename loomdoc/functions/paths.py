@@ -96,7 +96,8 @@ class Path:
 
     def array(self, v: Value) -> Value:
         """The node values as one array value."""
-        arr, t = self.nodes(v)
+        # without pointers, unless a step reads them
+        arr, t = self.nodes(v) if _reads_keys(self.steps) else _nodes(self.steps, v, F.lit(None).cast("string"), segments=None)
         return Value(F.transform(arr, lambda n: n["value"]), T.ArrayType(t))
 
 
@@ -104,8 +105,14 @@ class Path:
 SEGMENTS = T.ArrayType(T.StructType().add("name", T.StringType()).add("index", T.IntegerType()))
 
 
-def _below(at: Column, token: Column | str, index: bool, segments: bool) -> Column:
-    """The place of a child: its container's with a name or an index."""
+def _reads_keys(steps: tuple) -> bool:
+    return any(kind == "key" or kind == "union" and any(_reads_keys(p.steps) for p in args[0]) for kind, *args in steps)
+
+
+def _below(at: Column, token: Column | str, index: bool, segments: bool | None) -> Column:
+    """The place of a child: its container's with a name or an index; nothing if segments is None."""
+    if segments is None:
+        return at
     if segments:
         name, number = (F.lit(None), token) if index else (token if isinstance(token, Column) else F.lit(token), F.lit(None))
         return F.array_append(at, F.struct(name.cast("string").alias("name"), number.cast("int").alias("index")))
@@ -116,11 +123,11 @@ def _struct(pointer: Column, value: Column) -> Column:
     return F.struct(pointer.alias("pointer"), value.alias("value"))
 
 
-def _none(t: T.DataType, segments: bool = False) -> tuple[Column, T.DataType]:
+def _none(t: T.DataType, segments: bool | None = False) -> tuple[Column, T.DataType]:
     return F.array().cast(T.ArrayType(T.StructType().add("pointer", SEGMENTS if segments else T.StringType()).add("value", t))), t
 
 
-def _children(v: Value, pointer: Column, segments: bool) -> tuple[Column, T.DataType]:
+def _children(v: Value, pointer: Column, segments: bool | None) -> tuple[Column, T.DataType]:
     """All elements or member values; null ones too, but for a struct's, which are absent."""
     t = v.dtype
     elements = lambda col: F.transform(col, lambda x, i: _struct(_below(pointer, i, True, segments), x))
@@ -197,7 +204,7 @@ def _token(pointer: Column, segments: bool) -> Column:
     return F.replace(F.replace(last, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
 
 
-def _nodes(steps: tuple, v: Value, pointer: Column, above: tuple = (), segments: bool = False) -> tuple[Column, T.DataType]:
+def _nodes(steps: tuple, v: Value, pointer: Column, above: tuple = (), segments: bool | None = False) -> tuple[Column, T.DataType]:
     """The nodes of steps from v; above has the containers of v with their pointers, inner ones first."""
     if not steps:
         t = v.dtype or T.StringType()
