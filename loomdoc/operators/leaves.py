@@ -22,29 +22,58 @@ def _row(pointer: Column, kind: str, value: Column | None = None, size: Column |
     return F.struct(pointer.alias("pointer"), F.lit(kind).alias("type"), (none if value is None else value).cast("string").alias("value"), (none if size is None else size).cast("int").alias("size"))
 
 
+def _scalar(t: T.DataType) -> bool:
+    return not isinstance(t, T.StructType | T.MapType | T.ArrayType)
+
+
 def _leaves(v: Value, pointer: Column) -> Column:
+    """The rows of a value in document order, with a null for each scalar that is absent."""
+    none = F.array().cast(LEAF)
     if isinstance(v.dtype, T.StructType):
-        names = v.dtype.names
-        here = F.array(_row(pointer, "object", size=sum((v[n].exists().cast("int") for n in names), F.lit(0))))
-        return F.when(v.exists(), F.concat(here, *(_leaves(v[n], F.concat(pointer, F.lit("/" + escape(n)))) for n in names))).otherwise(F.array().cast(LEAF))
+        # neighbouring scalars make one array: joining arrays is what costs most here
+        runs: list[list[Column] | Column] = [[_row(pointer, "object", size=sum((v[n].exists().cast("int") for n in v.dtype.names), F.lit(0)))]]
+        for f in v.dtype:
+            below = F.concat(pointer, F.lit("/" + escape(f.name)))
+            if not _scalar(f.dataType):
+                runs.append(_leaves(v[f.name], below))
+            elif isinstance(runs[-1], list):
+                runs[-1].append(_member(v[f.name], below))
+            else:
+                runs.append([_member(v[f.name], below)])
+        arrays = [F.array(*r) if isinstance(r, list) else r for r in runs]
+        return F.when(v.exists(), F.concat(*arrays) if len(arrays) > 1 else arrays[0]).otherwise(none)
     if isinstance(v.dtype, T.MapType):
-        below = F.flatten(F.transform(F.map_entries(v.col), lambda e: _leaves(Value(e["value"], v.dtype.valueType), F.concat(pointer, F.lit("/"), escape(e["key"])))))
-        return F.when(v.exists(), F.concat(F.array(_row(pointer, "object", size=F.size(v.col))), below)).otherwise(F.array().cast(LEAF))
+        at = lambda e: F.concat(pointer, F.lit("/"), escape(e["key"]))
+        each = lambda make: F.transform(F.map_entries(v.col), lambda e: make(Value(e["value"], v.dtype.valueType), at(e)))
+        below = each(_member) if _scalar(v.dtype.valueType) else F.flatten(each(_leaves))
+        return F.when(v.exists(), F.concat(F.array(_row(pointer, "object", size=F.size(v.col))), below)).otherwise(none)
     if isinstance(v.dtype, T.ArrayType):
-        below = F.flatten(F.transform(v.col, lambda x, i: _leaves(Value(x, v.dtype.elementType), F.concat(pointer, F.lit("/"), i.cast("string")))))
-        return F.when(v.exists(), F.concat(F.array(_row(pointer, "array", size=F.size(v.col))), below)).otherwise(F.array().cast(LEAF))
-    return F.when(v.exists(), F.array(_row(pointer, type_class(v.dtype), value=v.col))).otherwise(F.array().cast(LEAF))
+        each = lambda make: F.transform(v.col, lambda x, i: make(Value(x, v.dtype.elementType), F.concat(pointer, F.lit("/"), i.cast("string"))))
+        below = each(_member) if _scalar(v.dtype.elementType) else F.flatten(each(_leaves))
+        return F.when(v.exists(), F.concat(F.array(_row(pointer, "array", size=F.size(v.col))), below)).otherwise(none)
+    return F.array(_member(v, pointer))
+
+
+def _member(v: Value, pointer: Column) -> Column:
+    """A scalar's row, null where it is absent."""
+    return F.when(v.exists(), _row(pointer, type_class(v.dtype), value=v.col))
+
+
+def packed(df: DataFrame, column: str, key: str) -> DataFrame:
+    """key and leaves, the leaf table with all rows of a document in one array, in document order."""
+    rows = _leaves(Value(F.col(column), df.schema[column].dataType), F.lit(""))
+    return df.select(key, F.array_compact(rows).alias("leaves"))
 
 
 def shred(df: DataFrame, column: str, key: str) -> DataFrame:
     """key, pointer, type, value, size: the leaves and containers of a typed column."""
-    rows = _leaves(Value(F.col(column), df.schema[column].dataType), F.lit(""))
-    return df.select(key, F.explode(rows).alias("l")).select(key, "l.*")
+    return packed(df, column, key).select(key, F.explode("leaves").alias("l")).select(key, "l.*")
 
 
-def subtree(pointer: str, column: str = "pointer") -> Column:
+def subtree(pointer: str, column: str | Column = "pointer") -> Column:
     """Whether a row is at pointer or below it."""
-    return F.lit(True) if pointer == "" else (F.col(column) == pointer) | F.col(column).startswith(pointer + "/")
+    at = F.col(column) if isinstance(column, str) else column
+    return F.lit(True) if pointer == "" else (at == pointer) | at.startswith(pointer + "/")
 
 
 def matching(leaves: DataFrame, path: Path) -> DataFrame:
@@ -65,13 +94,20 @@ def replace_subtree(leaves: DataFrame, pointer: str, rows: DataFrame) -> DataFra
 def materialise(leaves: DataFrame, key: str, dtype: T.DataType, pointer: str = "", name: str = "doc") -> DataFrame:
     """key and name: documents of a type rebuilt from their leaves, or what they have at a pointer.
 
-    One grouping gathers a document's rows, and an expression of the type reads them. Each lookup
-    scans the document's rows, so it is for documents that fit a row and have at most some
-    thousands of leaves. Documents without a row at the pointer are left out.
+    leaves are rows or packed. Packed ones are read where they are. Rows are gathered by one
+    grouping, which sorts all of them and so spills where a task's rows exceed its memory.
+    An expression of the type reads a document's rows. Each lookup scans them, so it is for
+    documents that fit a row and have at most some thousands of leaves. Documents without a row
+    at the pointer are left out.
     """
-    row = F.struct(F.col("pointer"), F.struct("type", "value", "size").alias("row"))
-    whole = leaves.where(subtree(pointer)).groupBy(key).agg(F.map_from_entries(F.collect_list(row)).alias("_m"))
-    return whole.where(F.map_contains_key("_m", F.lit(pointer))).select(key, _built(dtype, F.col("_m"), F.lit(pointer)).alias(name))
+    entry = lambda r: F.struct(r["pointer"].alias("pointer"), F.struct(r["value"].alias("value"), r["size"].alias("size")).alias("row"))
+    if "leaves" in leaves.columns:
+        rows = leaves.select(key, F.transform(F.filter("leaves", lambda r: subtree(pointer, r["pointer"])), entry).alias("_e"))
+    else:
+        rows = leaves.where(subtree(pointer)).groupBy(key).agg(F.collect_list(entry({c: F.col(c) for c in ("pointer", "value", "size")})).alias("_e"))
+    # the lookup table is bound once, and what has no row at the pointer gives no row
+    found = F.filter(F.array(F.map_from_entries("_e")), lambda m: F.map_contains_key(m, F.lit(pointer)))
+    return rows.select(key, F.explode(F.transform(found, lambda m: _built(dtype, m, F.lit(pointer)))).alias(name))
 
 
 def _built(t: T.DataType, rows: Column, at: Column) -> Column:

@@ -181,6 +181,26 @@ def test_leaves_round_trip(df):
     assert leaves.replace_subtree(rows, "/xs", rows.limit(0)).where("pointer like '/xs%'").count() == 0
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packed_leaves_are_rebuilt_where_they_are(df):
+    dtype, rows, kept = df.schema["d"].dataType, leaves.shred(df, "d", "id"), leaves.packed(df, "d", "id")
+    got = leaves.materialise(kept, "id", dtype, name="d")
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.where("d is not null").collect()))
+    assert not any(x in _plan(got) for x in ("Aggregate", "Sort", "Repartition"))
+    for at, t in (("/xs", dtype["xs"].dataType), ("/m", dtype["m"].dataType), ("/s", dtype["s"].dataType), ("/no", dtype["s"].dataType)):
+        assert sorted(map(str, leaves.materialise(kept, "id", t, at).collect())) == sorted(map(str, leaves.materialise(rows, "id", t, at).collect()))
+
+
+def test_order_of_leaves_with_absent_scalars(spark):
+    docs = spark.sql("""SELECT 1 AS id, struct(1 AS a, array(struct(null AS x, array(7, null) AS y, 'q' AS z), null) AS b, cast(null AS int) AS c, map('k', 2, 'l', null) AS m, 'e' AS e) AS d
+        UNION ALL SELECT 2, null""")
+    got = [(r.pointer, r.value, r.size) for r in leaves.shred(docs, "d", "id").collect()]
+    assert got == [("", None, 4), ("/a", "1", None), ("/b", None, 2), ("/b/0", None, 2), ("/b/0/y", None, 2), ("/b/0/y/0", "7", None), ("/b/0/z", "q", None), ("/m", None, 2), ("/m/k", "2", None), ("/e", "e", None)]
+
+
 def test_variant_descent(spark):
     texts = [(1, '{"a":{"k":1,"x":[{"k":2},3]},"k":{"k":4},"q/r":{"k":null}}'), (2, "5"), (3, None), (4, "bad{")]
     v = spark.createDataFrame(texts, "id int, t string").select("id", documents.parsed(F.col("t")).alias("v"))
