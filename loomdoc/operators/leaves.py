@@ -86,9 +86,16 @@ def lookup(leaves: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return wanted.join(leaves.select(key, "pointer", "type", "value"), [key, "pointer"], "left")
 
 
-def replace_subtree(leaves: DataFrame, pointer: str, rows: DataFrame) -> DataFrame:
-    """leaves with rows (of the same columns) in place of all that is at and below a pointer."""
-    return leaves.where(~subtree(pointer)).unionByName(rows)
+def replace_subtree(leaves: DataFrame, pointer: str, rows: DataFrame | dict[str, Column]) -> DataFrame:
+    """leaves with rows (of the same columns) in place of all that is at and below a pointer.
+
+    Columns by name instead of rows change the row at the pointer itself, and what is below goes:
+    leaves are then read once and stay where they are.
+    """
+    if isinstance(rows, DataFrame):
+        return leaves.where(~subtree(pointer)).unionByName(rows)
+    here = F.col("pointer") == pointer
+    return leaves.where(here | ~subtree(pointer)).withColumns({c: F.when(here, v).otherwise(F.col(c)) for c, v in rows.items()})
 
 
 def materialise(leaves: DataFrame, key: str, dtype: T.DataType, pointer: str = "", name: str = "doc") -> DataFrame:

@@ -201,6 +201,14 @@ def test_order_of_leaves_with_absent_scalars(spark):
     assert got == [("", None, 4), ("/a", "1", None), ("/b", None, 2), ("/b/0", None, 2), ("/b/0/y", None, 2), ("/b/0/y/0", "7", None), ("/b/0/z", "q", None), ("/m", None, 2), ("/m/k", "2", None), ("/e", "e", None)]
 
 
+def test_subtree_replaced_in_one_pass(df):
+    rows = leaves.shred(df, "d", "id")
+    want = leaves.replace_subtree(rows, "/xs", rows.where("pointer = '/xs'").withColumn("size", F.lit(0)))
+    got = leaves.replace_subtree(rows, "/xs", {"size": F.lit(0)})
+    assert got.schema.names == want.schema.names and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Union" in _plan(want) and "Union" not in _plan(got)
+
+
 def test_variant_descent(spark):
     texts = [(1, '{"a":{"k":1,"x":[{"k":2},3]},"k":{"k":4},"q/r":{"k":null}}'), (2, "5"), (3, None), (4, "bad{")]
     v = spark.createDataFrame(texts, "id int, t string").select("id", documents.parsed(F.col("t")).alias("v"))
