@@ -55,8 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row of the mix: doc_id, n_tokens, ids."""
-    return encode_decode(docs, default_model(), decode=False).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of each row of the mix, and the text they decode to: doc_id, n_tokens, ids, decoded."""
+    return encode_decode(docs, default_model()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

@@ -50,3 +50,12 @@ def test_odd_rows_pass_every_stage(spark, odd, tmp_path):
     for name, stage in P.STAGES[:-1]:
         assert stage(spark, odd, str(tmp_path)).columns == odd.columns, name
         stage(spark, odd, str(tmp_path)).count()
+
+
+def test_last_stage_encodes_and_decodes(spark, docs, rows):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=P.default_model())
+    text = {i: t or "" for i, t, *_ in rows}
+    out = P.encode(spark, docs, "").collect()
+    assert len(out) == len(text) and all(r.decoded == lib.decode(lib.encode(text[r.doc_id])) for r in out)
